@@ -8,13 +8,15 @@ and the documents of the smallest ranks are taken until the rest of the quota is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .bpe import BYTE_BPE_50K, token_counts
 
 LEVEL = 1 << 12  # cells of a level of the search for the cut
+LEVELS = 4  # levels: as fine as a double
+RANKS = 100.0  # logarithms of the odds lie within
 SOURCES_MAX = 100_000  # rows of the list of targets; a longer list is refused
 
 
@@ -64,56 +66,55 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: s
     d = sized.join(F.broadcast(quotas), "source")  # one row a source, at most SOURCES_MAX
     p = F.least(F.lit(1.0), F.when(F.col("mass") > 0, F.col("rest") * F.col("weight") / F.col("mass")).otherwise(F.lit(0.0)))
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("source"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    d = d.withColumn("p", p).withColumn("rank", F.when(F.col("p") <= 0, F.lit(float("inf"))).when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.log(u / (F.lit(1.0) - u)) - F.log(F.col("p") / (F.lit(1.0) - F.col("p")))))
-    d = d.withColumn("rank", F.when((F.col("p") >= 1), F.lit(-1e9)).otherwise(F.col("rank")))
-    taken = _cut_by_rank(d.filter((F.col("rest") > 0) & (F.col("rank") < float("inf"))), [r for r in rows if r["rest"] > 0])
+    odds = F.log(u / (F.lit(1.0) - u)) - F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
+    rank = F.when(F.col("p") <= 0, F.lit(RANKS)).when(F.col("p") >= 1, F.lit(-RANKS)).otherwise(F.greatest(F.lit(-RANKS), F.least(F.lit(RANKS), odds)))
+    d = d.withColumn("p", p).withColumn("rank", rank)
+    taken = _cut_by_rank(d, [r for r in rows if r["rest"] > 0])
     k = F.col("base") + taken
     return d.withColumn("copies", k.cast("int")).filter(F.col("copies") > 0).select(F.col("doc_id").alias(doc_id), "source", "n_tokens", "copies")
 
 
-def _cut_by_rank(d: DataFrame, rows: list[dict]):
+def _per_source(values: dict[str, float], default: float) -> Column:
+    out = F.lit(default)
+    for s, v in sorted(values.items()):
+        out = F.when(F.col("source") == s, F.lit(float(v))).otherwise(out)
+    return out
+
+
+def _cut_by_rank(d: DataFrame, rows: list[dict]) -> Column:
     """Column that is 1 for the documents of the smallest ranks of a source whose tokens fill its rest.
 
     The cut is found by counting: tokens by cell of the rank, then by cell within the one where the rest
     fills up. At most ``LEVEL`` counts of each source are brought to the driver, however large the source.
     """
-    span = {r["source"]: (-80.0, 80.0) for r in rows}
-    left = {r["source"]: r["rest"] for r in rows}
-    for _ in range(4):  # 4096^4 cells: as fine as a double
-        lo = hi = F.lit(0.0)
-        for s, (a, b) in span.items():
-            lo = F.when(F.col("source") == s, F.lit(a)).otherwise(lo)
-            hi = F.when(F.col("source") == s, F.lit(b)).otherwise(hi)
-        cell = F.floor((F.greatest(F.lit(-80.0), F.least(F.lit(79.999999), F.col("rank"))) - lo) / (hi - lo) * LEVEL).cast("int")
-        counts = d.withColumn("cell", cell).filter((F.col("cell") >= 0) & (F.col("cell") < LEVEL)).groupBy("source", "cell").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
-        by: dict[str, list] = {}
-        for r in counts.collect():
-            by.setdefault(r["source"], []).append((r["cell"], int(r["n"]), int(r["docs"])))
-        done = True
-        for s in span:
-            (a, b), width = span[s], (span[s][1] - span[s][0]) / LEVEL
-            at = None
-            for c, n, k in sorted(by.get(s, [])):
+    span = {r["source"]: (-RANKS, RANKS) for r in rows}
+    left = {r["source"]: float(r["rest"]) for r in rows}
+    bound: dict[str, float] = {}
+    for level in range(LEVELS):
+        if not span:
+            break
+        lo, hi = _per_source({s: a for s, (a, _) in span.items()}, 0.0), _per_source({s: b for s, (_, b) in span.items()}, 0.0)
+        inside = d.filter((F.col("rank") >= lo) & (F.col("rank") < hi))
+        cell = F.least(F.lit(LEVEL - 1), F.floor((F.col("rank") - lo) / (hi - lo) * F.lit(LEVEL)).cast("int"))
+        by: dict[str, list[tuple[int, int, int]]] = {s: [] for s in span}
+        for r in inside.groupBy("source", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect():
+            by[r["source"]].append((r["cell"], int(r["n"]), int(r["docs"])))
+        for s, (a, b) in list(span.items()):
+            width = (b - a) / LEVEL
+            for c, n, docs in sorted(by[s]):
                 if n > left[s]:
-                    at = (a + c * width, a + (c + 1) * width)
-                    if k > 1:
-                        done = False
-                    elif n - left[s] < left[s]:  # the document at the cut is taken if that misses the quota by less
-                        at = (at[1], at[1])
+                    x, y = a + c * width, a + (c + 1) * width
+                    if docs > 1 and level < LEVELS - 1:
+                        span[s] = (x, y)
+                    else:  # what stands at the cut is taken if the quota is missed by less that way
+                        bound[s] = y if n - left[s] < left[s] else x
                     break
                 left[s] -= n
-            span[s] = at or (b, b)
-        span_open = {s: x for s, x in span.items() if x[0] < x[1]}
-        if done or not span_open:
-            break
-        for s, x in span.items():
-            if x[0] >= x[1]:
-                left[s] = float("inf")
-                span[s] = (x[0], x[0] + 1e-12)
-    bound = F.lit(-80.0)
-    for s, (a, _) in span.items():
-        bound = F.when(F.col("source") == s, F.lit(a)).otherwise(bound)
-    return F.when((F.col("rest") > 0) & (F.greatest(F.lit(-80.0), F.col("rank")) < bound), F.lit(1)).otherwise(F.lit(0))
+            else:
+                bound[s] = b
+            if s in bound:
+                del span[s]
+    return F.when((F.col("rest") > 0) & (F.col("rank") < _per_source(bound, -RANKS)), F.lit(1)).otherwise(F.lit(0))
 
 
 def shares(taken: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:

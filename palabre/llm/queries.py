@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import encode_corpus
+from .canonical import map_column, reference
 from .glyphs import consistent_text, suspect
+from .identities import spelling_links
 from .mixing import mixture, shares
 from .spam_pages import score_documents, spam_pages
 from .survivors import Field, best_values
@@ -16,6 +18,141 @@ from .survivors import Field, best_values
 OUTCOMES = "elimine_conseil abandon_medical elimine_orientation vainqueur elimine_epreuve finaliste elimine_poteaux elimine_ambassadeurs abandon_volontaire elimine_destins_lies elimine_duel disqualifie elimine_exil".split()
 
 
+# What people call the occupations of the list.
+JOB_SYNONYMS = {
+    "Sapeur-pompier": ["pompier", "pompier pro", "sapeur pompier professionnel"],
+    "Gendarme": ["sous off gendarmerie", "gendarme mobile"],
+    "Policier municipal": ["policier munic", "police municipale"],
+    "Agent de sécurité": ["vigile", "agent secu"],
+    "Maître-nageur sauveteur": ["maitre nageur", "mns"],
+    "Ambulancier": ["chauffeur ambulance"],
+    "Militaire de carrière": ["engage dans l armee", "militaire"],
+    "Douanier": ["agent des douanes"],
+    "Coach sportif": ["coach de sport", "coach perso", "coach"],
+    "Éducateur sportif": ["educ sportif"],
+    "Moniteur de ski": ["prof de ski", "mono de ski"],
+    "Moniteur d'escalade": ["mono d escalade"],
+    "Professeur de danse": ["prof de danse"],
+    "Professeur de yoga": ["prof de yoga"],
+    "Guide de haute montagne": ["guide haute mont"],
+    "Cordiste": ["technicien cordiste"],
+    "Infirmier": ["ide", "infirmier diplome d etat", "infirmiere liberale"],
+    "Aide-soignant": ["as en clinique"],
+    "Kinésithérapeute": ["kine", "masseur kine"],
+    "Ostéopathe": ["osteo"],
+    "Médecin généraliste": ["docteur generaliste", "medecin"],
+    "Pharmacien": ["pharma"],
+    "Psychologue": ["psy"],
+    "Orthophoniste": ["ortho"],
+    "Sage-femme": ["sage femme liberale"],
+    "Opticien": ["optic lunetier", "opticien lunetier"],
+    "Vétérinaire": ["veto"],
+    "Professeur des écoles": ["instit", "instituteur", "prof des ecoles"],
+    "Professeur d'anglais": ["prof d anglais"],
+    "Professeur de mathématiques": ["prof de maths"],
+    "Assistant d'éducation": ["pion"],
+    "Auxiliaire de puériculture": ["aux puericulture"],
+    "Éducateur spécialisé": ["educ spe"],
+    "Formateur": ["formateur pour adultes"],
+    "Vendeur": ["vendeur en magasin"],
+    "Commercial": ["commercial terrain", "vrp"],
+    "Agent immobilier": ["agent immo"],
+    "Gérant de magasin": ["gerant d une boutique"],
+    "Libraire": ["libraire independant"],
+    "Fleuriste": ["artisan fleuriste"],
+    "Hôte de caisse": ["caissier"],
+    "Antiquaire": ["brocanteur antiquaire"],
+    "Boulanger": ["artisan boulanger"],
+    "Pâtissier": ["chef patissier"],
+    "Boucher-charcutier": ["boucher"],
+    "Cuisinier": ["cuistot", "chef cuistot"],
+    "Serveur": ["serveur en brasserie"],
+    "Barman": ["chef barman", "barmaid"],
+    "Restaurateur": ["patron de restaurant"],
+    "Poissonnier": ["marchand de poissons"],
+    "Maçon": ["macon coffreur"],
+    "Charpentier": ["compagnon charpentier"],
+    "Couvreur": ["couvreur zingueur"],
+    "Électricien": ["elec batiment"],
+    "Plombier-chauffagiste": ["plombier"],
+    "Menuisier": ["menuisier alu"],
+    "Paysagiste": ["jardinier paysagiste"],
+    "Conducteur de travaux": ["cond travaux"],
+    "Architecte": ["archi"],
+    "Géomètre": ["geometre topographe"],
+    "Agriculteur": ["exploitant agricole"],
+    "Éleveur de chevaux": ["eleveur equin"],
+    "Éleveur d'abeilles": ["producteur de miel", "eleveur abeilles"],
+    "Viticulteur": ["vigneron"],
+    "Marin-pêcheur": ["pecheur en mer"],
+    "Ostréiculteur": ["eleveur d huitres"],
+    "Bûcheron": ["bucheron elagueur"],
+    "Chauffeur routier": ["routier", "chauffeur poids lourd"],
+    "Chauffeur de taxi": ["taxi"],
+    "Conducteur de train": ["cheminot conducteur"],
+    "Hôte de l'air": ["steward", "pnc"],
+    "Facteur": ["prepose au courrier"],
+    "Livreur": ["livreur a velo"],
+    "Assistant de direction": ["assist direction"],
+    "Secrétaire médical": ["secr medicale"],
+    "Comptable": ["aide comptable"],
+    "Expert-comptable": ["expert comptable stagiaire"],
+    "Conseiller bancaire": ["conseiller en banque", "banquier conseil"],
+    "Chargé de communication": ["charge de com", "resp com"],
+    "Responsable des ressources humaines": ["rrh", "resp rh"],
+    "Chef de projet": ["chef de proj"],
+    "Développeur informatique": ["programmeur", "dev info"],
+    "Ingénieur en aéronautique": ["ing aeronautique"],
+    "Ingénieur agronome": ["ing agronome"],
+    "Avocat": ["avocat au barreau"],
+    "Notaire": ["notaire associe"],
+    "Huissier de justice": ["huissier"],
+    "Comédien": ["comedien de theatre"],
+    "Musicien": ["musicien de rue"],
+    "Photographe": ["photographe animalier"],
+    "Journaliste": ["journaliste radio"],
+    "Tatoueur": ["artiste tatoueur"],
+    "Esthéticien": ["esthet en institut"],
+    "Styliste": ["styliste modeliste"],
+    "Étudiant en droit": ["etud droit"],
+    "Étudiant en médecine": ["etud medecine", "carabin"],
+    "Étudiant en commerce": ["etud ecole de commerce"],
+    "Retraité": ["en retraite"],
+    "Mère au foyer": ["maman au foyer"],
+    "Chef d'entreprise": ["entrepreneur", "pdg de sa boite"],
+    "Ouvrier d'usine": ["ouvrier a la chaine"],
+    "Mécanicien automobile": ["mecano", "mecanicien auto"],
+    "Électromécanicien": ["electromeca"],
+    "Soudeur": ["chaudronnier soudeur"],
+    "Toiletteur canin": ["toilettage pour chiens"],
+}
+# Abbreviations in the names of places.
+PLACE_ABBREVIATIONS = {"st": "saint", "ste": "sainte", "hte": "haute", "ht": "haut", "bsse": "basse", "bse": "basse", "vx": "vieux", "dep": "departement", "mts": "monts"}
+
+
+def _jobs_and_places(spark: SparkSession, d: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    return reference(table(spark, d, "ref_metiers"), "code", "libelle"), reference(table(spark, d, "ref_lieux"), "code", "libelle")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    jobs, places = _jobs_and_places(spark, d)
+    p = table(spark, d, "participations")
+    job = map_column(p, "ligne", "profession", jobs, synonyms=JOB_SYNONYMS, genders=True)
+    return job.unionByName(map_column(p, "ligne", "localisation", places, abbreviations=PLACE_ABBREVIATIONS))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values that no list has, with their rows."""
+    long = table(spark, d, "participations").select("ligne", F.inline(F.array(*[F.struct(F.lit(c).alias("champ"), F.col(c).alias("valeur")) for c in ("profession", "localisation")])))
+    return p1_found(spark, d).filter(F.col("code") == "").join(long, ["ligne", "champ"]).groupBy("champ", "valeur").agg(F.count("*").alias("n"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "participations").select("ligne", "saison", "id", "nom", "nom_complet")
+    councils = table(spark, d, "conseils").select("ligne", "saison", "elimine", "elimine_rattache")
+    return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "participations").filter(F.col("retire_le").isNull()).select("ligne", "saison", "id", "age", "jour_sortie", "sort", "sources", "maj")
     days = table(spark, d, "saisons").select(F.col("id").alias("saison"), "duree_jours")
@@ -60,7 +197,8 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched,
+    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
 
