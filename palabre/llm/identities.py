@@ -113,12 +113,15 @@ def spell_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("n", F.coalesce(*full, *[F.when(t != "", t) for t in texts], F.lit("")))
 
 
-def link_people(part: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def link_people(part: DataFrame, persons: DataFrame, known: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """People of the participations: ((saison, id, n, pid or null), candidates, profiles, nicknames).
 
+    ``known`` lists (nickname, given name) pairs known beforehand, folded; those quoted in the names are added.
+
     Work is done for each different name. Rows whose id is listed keep it.
     """
-    nicks = cut(nicknames(part, "nom").unionByName(nicknames(part, "nom_complet")).groupBy("nick", "given").agg(F.sum("n").alias("n")))
+    listed_nicks = part.sparkSession.createDataFrame([(a, b, 1) for a, b in known], "nick string, given string, n bigint")
+    nicks = cut(nicknames(part, "nom").unionByName(nicknames(part, "nom_complet")).unionByName(listed_nicks).groupBy("nick", "given").agg(F.sum("n").alias("n")))
     targets = cut(profiles(persons, "id", "nom", "prenom"))
     listed = persons.select("id").dropna().distinct().withColumn("pid", F.col("id"))
     keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(listed, "id", "left")
@@ -128,7 +131,7 @@ def link_people(part: DataFrame, persons: DataFrame) -> tuple[DataFrame, DataFra
     return cut(people), found, targets, nicks
 
 
-def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame) -> DataFrame:
+def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
     """(origine, ligne, id): rows of ``part`` whose id isn't listed though the person is, and rows of ``councils``
     with an unattached label that names a listed participant of the season.
 
@@ -136,7 +139,7 @@ def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame) ->
     name has are never linked; a name that two people explain about equally well is left open. Repeated rows
     come out each. Other columns are not read.
     """
-    people, found, targets, nicks = link_people(part, persons)
+    people, found, targets, nicks = link_people(part, persons, list(known))
     listed = persons.select("id").dropna().distinct()
     mine = people.filter(F.col("pid").isNotNull() & (F.col("pid") != F.col("id")))
     mine = mine.groupBy("saison", "id").agg(F.min("pid").alias("pid"), F.countDistinct("pid").alias("k")).filter(F.col("k") == 1)

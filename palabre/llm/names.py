@@ -71,7 +71,7 @@ def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataF
     start = t.join(begins.filter(F.col("w") != F.col("g")), "w").select("w", "g", F.when(F.length("w") == 1, F.lit(1.4)).otherwise(F.lit(0.9)).alias("c"))
     initials = g.filter(F.col("g").contains(" ")).select("g", F.array_join(F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1)), " ").alias("w"))
     both = t.join(initials, "w").select("w", "g", F.lit(1.2).alias("c"))
-    slip = close_words(t.filter(F.length("w") >= 4).select(F.col("w").alias("a")), g.filter(F.length("g") >= 3).select(F.col("g").alias("b")), short=6)
+    slip = close_words(t.filter(F.length("w") >= 3).select(F.col("w").alias("a")), g.filter(F.length("g") >= 3).select(F.col("g").alias("b")), short=6)
     slip = slip.filter(F.col("edits") > 0).select(F.col("a").alias("w"), F.col("b").alias("g"), (F.lit(0.8) + F.lit(0.4) * (F.col("edits") - 1)).alias("c"))
     slip_nick = close_words(t.filter(F.length("w") >= 4).select(F.col("w").alias("a")), known.filter(F.length("nick") >= 4).select(F.col("nick").alias("b")).distinct(), short=99)
     slip_nick = slip_nick.filter(F.col("edits") == 1).join(known, F.col("b") == F.col("nick")).select(F.col("a").alias("w"), "g", F.lit(1.3).alias("c"))

@@ -129,6 +129,26 @@ JOB_SYNONYMS = {
 # Abbreviations in the names of places.
 PLACE_ABBREVIATIONS = {"st": "saint", "ste": "sainte", "hte": "haute", "ht": "haut", "bsse": "basse", "bse": "basse", "vx": "vieux", "dep": "departement", "mts": "monts"}
 
+# Nicknames known beforehand, each with its given name; more are learned from the data.
+NICKNAMES = """
+am:amelie anso:anne-sophie babeth:elisabeth bastien:sebastien ben:benoit bebert:bertrand bene:benedicte cam:camille camou:camille
+caro:caroline cath:catherine cathy:catherine ced:cedric cha:charlotte chris:christophe cilla:priscilla clem:clementine dom:dominique
+doume:dominique fab:fabien fanch:francois fanfan:francoise fanny:stephanie fifi:philippe fred:frederic fredo:frederic gaby:gabrielle
+ginie:virginie greg:gregory guigui:guillaume guill:guillaume helo:heloise isa:isabelle jl:jean-luc jp:jean-pierre jean-pi:jean-pierre
+jeannot:jean-luc jo:josephine jose:josephine juju:julie jul:julie je:jerome laeti:laetitia laurence:laurent lisbeth:elisabeth
+lolo:laurent lolo:elodie lotte:charlotte ludi:ludivine ludo:ludovic ml:marie-laure malaure:marie-laure manu:emmanuel marco:marc-antoine
+marie-clo:marie-claude math:mathilde matt:mathieu max:maxime mick:mickael mika:mickael milie:emilie mina:yasmina melie:amelie
+nat:nathalie nath:nathalie nico:nicolas nono:noemie oliv:olivier py:pierre-yves pat:patrick phil:philippe popo:pauline
+pris:priscilla quent:quentin rafa:raphael raph:raphael rom:romain sacha:alexandre sandra:alexandra sandy:sandrine seb:sebastien
+steph:stephane steph:stephanie titia:laetitia tof:christophe tom:thomas tonio:antoine toto:thomas tris:tristan val:valerie
+val:valentin valou:valerie vaness:vanessa vince:vincent virg:virginie vero:veronique will:william xav:xavier yas:yasmina
+yo:yohann zac:zacharie zaza:isabelle elo:elodie alex:alexandra alex:alexandre
+"""
+
+
+def _nicknames() -> list[tuple[str, str]]:
+    return [tuple(x.replace("-", " ").split(":")) for x in NICKNAMES.split()]
+
 
 def _jobs_and_places(spark: SparkSession, d: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return reference(table(spark, d, "ref_metiers"), "code", "libelle"), reference(table(spark, d, "ref_lieux"), "code", "libelle")
@@ -150,7 +170,7 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "participations").select("ligne", "saison", "id", "nom", "nom_complet")
     councils = table(spark, d, "conseils").select("ligne", "saison", "elimine", "elimine_rattache")
-    return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"))
+    return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"), _nicknames())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
