@@ -60,7 +60,7 @@ def close_words(left: DataFrame, right: DataFrame, short: int = 7) -> DataFrame:
 def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataFrame:
     """(w, g, gcost): the given names ``given.g`` that a typed ``typed.w`` may stand for.
 
-    Costs: 0 the same, 0.5 a nickname, 0.8 a slip, 0.9 the beginning of the name, 1.4 initials.
+    Costs: 0 the same, 0.5 a nickname, 0.6 a particle stuck to it, 0.8 a slip, 0.9 the beginning of the name, 1.4 initials.
     """
     t = typed.select("w").distinct()
     g = given.select("g").distinct()
@@ -69,13 +69,15 @@ def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataF
     nick = t.join(known, F.col("w") == F.col("nick")).select("w", "g", F.lit(0.5).alias("c"))
     begins = g.select("g", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("g") - 1)), lambda i: F.substring("g", F.lit(1), i))).alias("w"))
     start = t.join(begins.filter(F.col("w") != F.col("g")), "w").select("w", "g", F.when(F.length("w") == 1, F.lit(1.4)).otherwise(F.lit(0.9)).alias("c"))
+    glued = g.select("g", F.explode(F.array(*[F.concat("g", F.lit(p)) for p in PARTICLES if len(p) == 2])).alias("w"))
+    stuck = t.join(glued, "w").select("w", "g", F.lit(0.6).alias("c"))
     initials = g.filter(F.col("g").contains(" ")).select("g", F.array_join(F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1)), " ").alias("w"))
     both = t.join(initials, "w").select("w", "g", F.lit(1.2).alias("c"))
     slip = close_words(t.filter(F.length("w") >= 3).select(F.col("w").alias("a")), g.filter(F.length("g") >= 3).select(F.col("g").alias("b")), short=6)
     slip = slip.filter(F.col("edits") > 0).select(F.col("a").alias("w"), F.col("b").alias("g"), (F.lit(0.8) + F.lit(0.4) * (F.col("edits") - 1)).alias("c"))
     slip_nick = close_words(t.filter(F.length("w") >= 4).select(F.col("w").alias("a")), known.filter(F.length("nick") >= 4).select(F.col("nick").alias("b")).distinct(), short=99)
     slip_nick = slip_nick.filter(F.col("edits") == 1).join(known, F.col("b") == F.col("nick")).select(F.col("a").alias("w"), "g", F.lit(1.3).alias("c"))
-    every = same.unionByName(nick).unionByName(start).unionByName(both).unionByName(slip).unionByName(slip_nick)
+    every = same.unionByName(nick).unionByName(start).unionByName(stuck).unionByName(both).unionByName(slip).unionByName(slip_nick)
     return every.groupBy("w", "g").agg(F.min("c").alias("gcost"))
 
 

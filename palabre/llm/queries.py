@@ -10,6 +10,7 @@ from .bpe import encode_corpus
 from .canonical import map_column, reference
 from .glyphs import consistent_text, suspect
 from .identities import spelling_links
+from .linkage import link_sources
 from .mixing import mixture, shares
 from .spam_pages import score_documents, spam_pages
 from .survivors import Field, best_values
@@ -173,6 +174,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"), _nicknames())
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each link with its confidence."""
+    jobs, places = _jobs_and_places(spark, d)
+    t = lambda name, *cols: table(spark, d, name).select(*cols)
+    return link_sources(
+        t("participations", "saison", "id", "nom", "nom_complet", "age", "profession", "localisation", "genre"), t("fiches_wiki", "fiche", "edition", "libelle", "age", "metier", "ville", "genre"),
+        t("personnes", "id", "nom", "prenom"), t("saisons", "id", "numero", "titre", "annee"), jobs, places, {"synonyms": JOB_SYNONYMS, "genders": True}, {"abbreviations": PLACE_ABBREVIATIONS}, _nicknames(),
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_links(spark, d).select("saison", "id", "fiche")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "participations").filter(F.col("retire_le").isNull()).select("ligne", "saison", "id", "age", "jour_sortie", "sort", "sources", "maj")
     days = table(spark, d, "saisons").select(F.col("id").alias("saison"), "duree_jours")
@@ -218,7 +233,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
-    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
 
