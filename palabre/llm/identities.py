@@ -55,24 +55,21 @@ def resolve(names: DataFrame, targets: DataFrame, nicks: DataFrame) -> tuple[Dat
     Profiles take over the spellings of the names merged with them until a round merges none.
     """
     reads = cut(readings(names))
+    best = F.min_by(F.struct("cost", "f", "w"), F.struct("cost", "f", "w")).alias("b")
     found = cut(_candidates(reads, targets, nicks, 0.0))
-    linked = cut(clear_best(found, ["n"]))
-    fresh, everything = linked, found
+    merged = 0
     while True:
-        spelled = fresh.join(targets.select("f", "g", "pid"), fresh["pid"] == targets["pid"]).filter((fresh["f"] != targets["f"]) | (F.col("w") != F.col("g")))
-        spelled = spelled.filter(F.length("w") > 2).select(fresh["pid"], fresh["f"].alias("f"), F.col("w").alias("g"), F.array(fresh["f"]).alias("fs")).distinct()
-        spelled = cut(spelled.join(targets.select("pid", "f", "g"), ["pid", "f", "g"], "left_anti"))
-        rest = reads.join(linked, "n", "left_anti")
-        more = cut(_candidates(rest, spelled, nicks, AGAIN))
-        if more.isEmpty():
+        linked = clear_best(found, ["n"])
+        now = linked.count()
+        if now <= merged:
             break
-        everything = everything.unionByName(more).groupBy("n", "pid").agg(F.min_by(F.struct("cost", "f", "w"), F.struct("cost", "f", "w")).alias("b")).select("n", "pid", "b.*")
-        fresh = cut(clear_best(everything, ["n"]).join(linked, "n", "left_anti"))
-        if fresh.isEmpty():
-            break
-        linked = cut(linked.unionByName(fresh))
-        targets = targets.unionByName(spelled)
-    return linked.select("n", "pid"), everything.select("n", "pid", "cost")
+        merged = now
+        # spellings of the merged names that their profiles don't have yet
+        new = linked.filter(F.length("w") > 2).select("pid", "f", F.col("w").alias("g")).distinct().join(targets.select("pid", "f", "g"), ["pid", "f", "g"], "left_anti")
+        spelled = new.withColumn("fs", F.array("f"))
+        more = _candidates(reads.join(linked, "n", "left_anti"), spelled, nicks, AGAIN)
+        found = cut(found.unionByName(more).groupBy("n", "pid").agg(best).select("n", "pid", "b.*"))
+    return linked.select("n", "pid"), found.select("n", "pid", "cost")
 
 
 def _single_words(names: DataFrame) -> DataFrame:
@@ -113,12 +110,13 @@ def spell_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("n", F.coalesce(*full, *[F.when(t != "", t) for t in texts], F.lit("")))
 
 
-def link_people(part: DataFrame, persons: DataFrame, known: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def link_people(part: DataFrame, persons: DataFrame, known: list[tuple[str, str]], more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """People of the participations: ((saison, id, n, pid or null), candidates, profiles, nicknames).
 
     ``known`` lists (nickname, given name) pairs known beforehand, folded; those quoted in the names are added.
 
-    Work is done for each different name. Rows whose id is listed keep it.
+    Work is done for each different name. Rows whose id is listed keep it. ``more.n`` are further names that
+    shall have candidates.
     """
     listed_nicks = part.sparkSession.createDataFrame([(a, b, 1) for a, b in known], "nick string, given string, n bigint")
     nicks = cut(nicknames(part, "nom").unionByName(nicknames(part, "nom_complet")).unionByName(listed_nicks).groupBy("nick", "given").agg(F.sum("n").alias("n")))
@@ -126,7 +124,8 @@ def link_people(part: DataFrame, persons: DataFrame, known: list[tuple[str, str]
     listed = persons.select("id").dropna().distinct().withColumn("pid", F.col("id"))
     keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(listed, "id", "left")
     keyed = cut(spell_rows(keyed.withColumn("slug", F.replace("id", F.lit("-"), F.lit(" "))), ["nom_complet", "nom", "slug"]).select("saison", "id", "n", "pid"))
-    linked, found = resolve(keyed.filter(F.col("pid").isNull() & (F.col("n") != "")).select("n").distinct(), targets, nicks)
+    names = keyed.filter(F.col("pid").isNull() & (F.col("n") != "")).select("n")
+    linked, found = resolve((names if more is None else names.union(more.select("n"))).distinct(), targets, nicks)
     people = keyed.join(linked.withColumnRenamed("pid", "via"), "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
     return cut(people), found, targets, nicks
 
@@ -139,7 +138,9 @@ def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame, kno
     name has are never linked; a name that two people explain about equally well is left open. Repeated rows
     come out each. Other columns are not read.
     """
-    people, found, targets, nicks = link_people(part, persons, list(known))
+    labels = councils.filter((~F.col("elimine_rattache")) & F.col("elimine").isNotNull()).select("ligne", "saison", "elimine")
+    labels = cut(spell_rows(labels, ["elimine"]).filter(F.col("n") != "").select("ligne", "saison", "n"))
+    people, full, targets, nicks = link_people(part, persons, list(known), labels)
     listed = persons.select("id").dropna().distinct()
     mine = people.filter(F.col("pid").isNotNull() & (F.col("pid") != F.col("id")))
     mine = mine.groupBy("saison", "id").agg(F.min("pid").alias("pid"), F.countDistinct("pid").alias("k")).filter(F.col("k") == 1)
@@ -156,11 +157,8 @@ def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame, kno
     strangers = strangers.select("saison", "pid", "g", F.explode(F.transform("ws", lambda f: F.substring(f, 1, 1))).alias("i"))
     present = cut(named.unionByName(strangers).distinct())
 
-    labels = councils.filter((~F.col("elimine_rattache")) & F.col("elimine").isNotNull()).select("ligne", "saison", "elimine")
-    labels = cut(spell_rows(labels, ["elimine"]).filter(F.col("n") != "").select("ligne", "saison", "n"))
     keys = labels.select("saison", "n").distinct()
     # full names: matched against everybody, kept among those who were there
-    _, full = resolve(keys.select("n").distinct(), targets, nicks)
     there = present.select("saison", "pid").distinct()
     # spellings under which the people of a season stand in that season count as theirs
     own = people.filter(F.col("pid").isNotNull()).select("saison", "n", "pid").distinct().join(keys, ["saison", "n"]).withColumn("cost", F.lit(0.0))

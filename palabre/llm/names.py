@@ -57,28 +57,39 @@ def close_words(left: DataFrame, right: DataFrame, short: int = 7) -> DataFrame:
     return pairs.filter((F.col("edits") <= 1) | (F.least(F.length("a"), F.length("b")) >= short))
 
 
+def given_forms(given: DataFrame, nicks: DataFrame) -> DataFrame:
+    """(g, form, cost, slip): what a given name may be typed as, and whether a slip of that form counts as well."""
+    known = nicks.groupBy(F.col("given").alias("g")).agg(F.collect_set("nick").alias("nicks"))
+    g = given.select("g").distinct().join(known, "g", "left")
+    n = F.length("g")
+    one = lambda form, cost, slip: F.struct(form.alias("form"), F.lit(cost).alias("cost"), F.lit(slip).alias("slip"))
+    own = F.array(one(F.col("g"), 0.0, 0.8))
+    begun = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.struct(F.substring("g", F.lit(1), i).alias("form"), F.when(i == 1, 1.4).otherwise(0.9).alias("cost"), F.lit(-1.0).alias("slip")))
+    initials = F.filter(F.array(one(F.array_join(F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1)), " "), 1.2, -1.0)), lambda x: F.col("g").contains(" "))
+    glued = F.array(*[one(F.concat("g", F.lit(p)), 0.6, -1.0) for p in PARTICLES if len(p) == 2])
+    short = F.transform(F.coalesce("nicks", F.array().cast("array<string>")), lambda x: F.struct(x.alias("form"), F.lit(0.5).alias("cost"), F.when(F.length(x) >= 4, 1.3).otherwise(-1.0).alias("slip")))
+    return g.select("g", F.inline(F.concat(own, F.filter(begun, lambda x: n > 1), initials, glued, short))).filter(F.col("form") != "")
+
+
 def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataFrame:
     """(w, g, gcost): the given names ``given.g`` that a typed ``typed.w`` may stand for.
 
-    Costs: 0 the same, 0.5 a nickname, 0.6 a particle stuck to it, 0.8 a slip, 0.9 the beginning of the name, 1.4 initials.
+    Costs: 0 the same, 0.5 a nickname, 0.6 a particle stuck to it, 0.8 a slip, 0.9 the beginning of the
+    name, 1.2 initials, 1.3 a slip in a nickname, 1.4 one initial. Typed words and forms meet in one join
+    under the word itself or a word of their deletions.
     """
-    t = typed.select("w").distinct()
-    g = given.select("g").distinct()
-    known = nicks.join(g.withColumnRenamed("g", "given"), "given").select("nick", F.col("given").alias("g")).distinct()
-    same = t.join(g, F.col("w") == F.col("g")).select("w", "g", F.lit(0.0).alias("c"))
-    nick = t.join(known, F.col("w") == F.col("nick")).select("w", "g", F.lit(0.5).alias("c"))
-    begins = g.select("g", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("g") - 1)), lambda i: F.substring("g", F.lit(1), i))).alias("w"))
-    start = t.join(begins.filter(F.col("w") != F.col("g")), "w").select("w", "g", F.when(F.length("w") == 1, F.lit(1.4)).otherwise(F.lit(0.9)).alias("c"))
-    glued = g.select("g", F.explode(F.array(*[F.concat("g", F.lit(p)) for p in PARTICLES if len(p) == 2])).alias("w"))
-    stuck = t.join(glued, "w").select("w", "g", F.lit(0.6).alias("c"))
-    initials = g.filter(F.col("g").contains(" ")).select("g", F.array_join(F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1)), " ").alias("w"))
-    both = t.join(initials, "w").select("w", "g", F.lit(1.2).alias("c"))
-    slip = close_words(t.filter(F.length("w") >= 3).select(F.col("w").alias("a")), g.filter(F.length("g") >= 3).select(F.col("g").alias("b")), short=6)
-    slip = slip.filter(F.col("edits") > 0).select(F.col("a").alias("w"), F.col("b").alias("g"), (F.lit(0.8) + F.lit(0.4) * (F.col("edits") - 1)).alias("c"))
-    slip_nick = close_words(t.filter(F.length("w") >= 4).select(F.col("w").alias("a")), known.filter(F.length("nick") >= 4).select(F.col("nick").alias("b")).distinct(), short=99)
-    slip_nick = slip_nick.filter(F.col("edits") == 1).join(known, F.col("b") == F.col("nick")).select(F.col("a").alias("w"), "g", F.lit(1.3).alias("c"))
-    every = same.unionByName(nick).unionByName(start).unionByName(stuck).unionByName(both).unionByName(slip).unionByName(slip_nick)
-    return every.groupBy("w", "g").agg(F.min("c").alias("gcost"))
+    tagged = lambda c: F.transform(deletions(c), lambda x: F.concat(F.lit("~"), x))
+    none = F.array().cast("array<string>")
+    t = typed.select("w").distinct().select("w", F.explode(F.concat(F.array("w"), F.when(F.length("w") >= 3, tagged(F.col("w"))).otherwise(none))).alias("k"))
+    f = given_forms(given, nicks)
+    f = f.select("g", "form", "cost", "slip", F.explode(F.concat(F.array("form"), F.when((F.col("slip") > 0) & (F.length("form") >= 3), tagged(F.col("form"))).otherwise(none))).alias("k"))
+    x = t.join(f, "k")
+    edits = F.levenshtein(F.col("w"), F.col("form"), 2)
+    swapped = (F.length("w") == F.length("form")) & (F.sort_array(F.split("w", "")) == F.sort_array(F.split("form", "")))
+    x = x.withColumn("e", F.when((edits == 2) & swapped, 1).otherwise(edits)).filter(F.col("e") >= 0)
+    long = F.least(F.length("w"), F.length("form")) >= 6
+    cost = F.when(F.col("e") == 0, F.col("cost")).when((F.col("slip") > 0) & (F.col("e") == 1), F.col("slip")).when((F.col("slip") > 0) & (F.col("cost") == 0) & long, F.col("slip") + 0.4)
+    return x.withColumn("c", cost).filter(F.col("c").isNotNull()).groupBy("w", "g").agg(F.min("c").alias("gcost"))
 
 
 def readings(names: DataFrame) -> DataFrame:
