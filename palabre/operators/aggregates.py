@@ -23,7 +23,7 @@ def entropy(counts: DataFrame, by: list[str], n: str) -> DataFrame:
 
 def life_table(df: DataFrame, at: Column, width: int = 10) -> DataFrame:
     """(bin, exits, at_risk) over bins of a share of the duration, from exits alone: the rest by a running sum."""
-    g = df.select((F.floor(F.least(at, F.lit(99.999)) / width) * width).cast("int").alias("bin")).dropna().groupBy("bin").agg(F.count("*").alias("exits"))
+    g = df.filter(at.isNotNull()).select((F.floor(F.least(at, F.lit(99.999)) / width) * width).cast("int").alias("bin")).dropna().groupBy("bin").agg(F.count("*").alias("exits"))
     return g.withColumn("at_risk", F.sum("exits").over(Window.orderBy(F.desc("bin"))))  # at most 100 / width rows
 
 
