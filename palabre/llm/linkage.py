@@ -87,30 +87,38 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, chance: list[np.ndarra
 def chance_votes(cards: DataFrame, who: DataFrame) -> list[np.ndarray]:
     """How often each vote falls between a card and somebody else: from the distributions of both sides' attributes.
 
-    Values are counted on both sides and the counts joined, so what comes to the driver is one number for
-    each attribute, and for ages a count for each year.
+    One job counts the values of both sides. What comes to the driver is a row for each age, entry of the
+    lists and gender, whatever the number of cards and people.
     """
-    n, m = max(1, cards.count()), max(1, who.count())
+    one = lambda attr, x, a, b: F.struct(F.lit(attr).alias("attr"), x.cast("string").alias("x"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    attrs = [("age", "ages"), ("job", "jobs"), ("place", "places"), ("gender", "genders")]
+    left = cards.select(F.inline(F.array(one("all", F.lit(""), F.lit(1), F.lit(0)), *[one(c, F.col(c), F.lit(1), F.lit(0)) for c, _ in attrs])))
+
+    def spread(c: str, s: str) -> Column:
+        return F.transform(s, lambda x: one(c, x, F.lit(0), F.lit(1) / F.size(s)))
+
+    sets = [spread(c, s) for c, s in attrs]
+    right = who.select(F.inline(F.concat(F.array(one("all", F.lit(""), F.lit(0), F.lit(1))), *sets)))
+    counts: dict[str, list[tuple[str, float, float]]] = {c: [] for c in ("all", *(c for c, _ in attrs))}
+    for r in left.unionByName(right).filter(F.col("x").isNotNull()).groupBy("attr", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+        counts[r["attr"]].append((r["x"], r["a"], r["b"]))
+    _, n, m = (counts["all"] or [("", 0.0, 0.0)])[0]
+    n, m = max(1.0, n), max(1.0, m)
     out = [np.full(LEVELS[v], 1 / LEVELS[v]) for v in VOTES[:CELLS]]
-
-    def two(col: str, sets: str) -> tuple[DataFrame, DataFrame, float, float]:
-        a = cards.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count("*").alias("a"))
-        b = who.filter(F.size(sets) > 0).select(F.explode(sets).alias("x"), (1.0 / F.size(sets)).alias("s")).groupBy("x").agg(F.sum("s").alias("b"))
-        return a, b, cards.filter(F.col(col).isNotNull()).count() / n, who.filter(F.size(sets) > 0).count() / m
-
-    a, b, ka, kb = two("age", "ages")
-    x, y = {r["x"]: r["a"] for r in a.collect()}, {r["x"]: r["b"] for r in b.collect()}  # ages are 16 to 80
-    levels = np.zeros(5)
-    for (u, p), (v, q) in itertools.product(x.items(), y.items()):
-        levels[0 if u == v else 1 if abs(u - v) <= 2 else 2 if abs(u - v) <= 5 else 4] += p * q
-    levels = levels / max(levels.sum(), 1e-9) * ka * kb
-    levels[3] = 1 - ka * kb
-    out.append(levels)
-    for col, sets in (("job", "jobs"), ("place", "places"), ("gender", "genders")):
-        a, b, ka, kb = two(col, sets)
-        same = a.join(b, "x").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()[0]["s"] or 0.0
-        p = same / max(1e-9, (ka * n) * (kb * m)) * ka * kb
-        out.append(np.array([p, 1 - ka * kb, max(0.0, ka * kb - p)]))
+    for c, _ in attrs:
+        a, b = sum(x[1] for x in counts[c]), sum(x[2] for x in counts[c])
+        known = a / n * b / m
+        if c == "age":
+            levels = np.zeros(5)
+            for (u, p, _), (v, _, q) in itertools.product(counts[c], counts[c]):
+                gap = abs(int(u) - int(v))
+                levels[0 if gap == 0 else 1 if gap <= 2 else 2 if gap <= 5 else 4] += p * q
+            levels *= known / max(levels.sum(), 1e-9)
+            levels[3] = 1 - known
+        else:
+            same = known * sum(p * q for _, p, q in counts[c]) / max(a * b, 1e-9)
+            levels = np.array([same, 1 - known, max(0.0, known - same)])
+        out.append(levels)
     return [np.maximum(c, 1e-4) / np.maximum(c, 1e-4).sum() for c in out]
 
 
