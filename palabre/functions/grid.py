@@ -132,12 +132,12 @@ def cells(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 def unpivot_matrix(c: DataFrame, key: list[str]) -> DataFrame:
     """(key, member, session, value) of a matrix whose first row names sessions and first column members.
 
-    Roles come from the place of headers; a column equal to the one before it in all of its cells is folded.
+    Roles come from the place of headers; a column equal to the one before it below its header is folded.
     """
     head = c.filter("row = 0 and col > 0").select(*key, "col", F.col("text").alias("session"))
     side = c.filter("col = 0 and row > 0").select(*key, "row", F.col("text").alias("member"))
     body = c.filter("row > 0 and col > 0").select(*key, "row", "col", "text")
-    whole = c.filter("col > 0").groupBy(*key, "col").agg(F.array_sort(F.collect_list(F.struct("row", "text"))).alias("all"))
+    whole = c.filter("row > 0 and col > 0").groupBy(*key, "col").agg(F.array_sort(F.collect_list(F.struct("row", "text"))).alias("all"))
     before = whole.select(*key, (F.col("col") + 1).alias("col"), F.col("all").alias("prev"))
     kept = whole.join(before, [*key, "col"], "left").filter(F.col("prev").isNull() | (F.col("prev") != F.col("all"))).select(*key, "col")
     return body.join(kept, [*key, "col"], "left_semi").join(head, [*key, "col"]).join(side, [*key, "row"]).select(*key, "member", "session", F.col("text").alias("value"))

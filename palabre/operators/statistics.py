@@ -74,12 +74,13 @@ def permutation_test(observed: DataFrame, draws: DataFrame) -> DataFrame:
 
 def change_point(series: DataFrame, order: str, value: str, margin: int = 4) -> DataFrame:
     """(order, gain) of every split of a series with at least ``margin`` values on both sides: reduction of squared error."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # a row a point of the series
-    t = series.agg(F.count("*").alias("n"), F.sum(value).alias("s"))
-    x = series.select(order, F.count("*").over(w).alias("i"), F.sum(value).over(w).alias("a")).crossJoin(F.broadcast(t))
-    x = x.filter((F.col("i") >= margin) & (F.col("n") - F.col("i") >= margin))
-    rest, mean = F.col("s") - F.col("a"), F.col("s") * F.col("s") / F.col("n")
-    return x.select(order, (F.col("a") * F.col("a") / F.col("i") + rest * rest / (F.col("n") - F.col("i")) - mean).alias("gain"))
+    w = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)  # a row a point of the series
+    d = series.select(F.col(order).alias("_o"), F.col(value).alias("_v"))
+    t = d.agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    x = d.select("_o", F.count("*").over(w).alias("_i"), F.sum("_v").over(w).alias("_a")).crossJoin(F.broadcast(t))  # one row
+    i, n, a, s = (F.col(c) for c in ("_i", "_n", "_a", "_s"))
+    x = x.filter((i >= margin) & (n - i >= margin))
+    return x.select(F.col("_o").alias(order), (a * a / i + (s - a) * (s - a) / (n - i) - s * s / n).alias("gain"))
 
 
 def normal_equations(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
