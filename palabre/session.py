@@ -35,7 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     is absent (tests, a laptop) is a folder of our own made.
     """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # plans and classes of finished stages leave a small driver
+    return done
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
