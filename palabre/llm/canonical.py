@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import words
 
@@ -80,12 +82,23 @@ def expand(text: Column, abbreviations: dict[str, str]) -> Column:
     return F.trim(t)
 
 
+def _runs(most: int):
+    """A function of a text's words: every run of one to ``most`` of them, each once, in one pass."""
+
+    def run(s: pd.Series) -> pd.Series:
+        def of(t: str | None) -> list[str]:
+            w = (t or "").split()
+            return list(dict.fromkeys(" ".join(w[i : i + k]) for i in range(len(w)) for k in range(1, min(most, len(w) - i) + 1)))
+
+        return s.map(of)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, ArrayType(StringType()))
+
+
 def windows(text: Column, most: int) -> Column:
-    """Every run of one to ``most`` words."""
-    w = F.split(text, " ")
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(w, i, k), " ")))
-    return F.array_distinct(F.flatten(runs))
+    """Every run of one to ``most`` words. In Python, as a text of many words would be split anew for each run in the JVM."""
+    return _runs(most)(text)
 
 
 def _prefix(ordered: Column, n: Column, least: float) -> Column:
