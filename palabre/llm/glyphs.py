@@ -30,6 +30,7 @@ LATIN_TWINS_AS = "agivovwzI"
 HYPHENS = "‐‑‒−﹣֊˗⁃"
 # Code points that show nothing, beside the categories Cf and variation selectors.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ⠀"
+PASSES = 6  # at most; a text of one alphabet takes one that changes it
 COMPATIBLE = [(0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0xFB00, 0xFB06), (0x2100, 0x214F), (0x2160, 0x2188), (0x1D2C, 0x1D6A), (0x2C7C, 0x2C7D), (0x17F, 0x17F)]
 TWINNED = frozenset(CYRILLIC + CYRILLIC_AS + GREEK + GREEK_AS)
 JOINED = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gujarati}\p{Gurmukhi}\p{Kannada}\p{Malayalam}\p{Oriya}\p{Tamil}\p{Telugu}\p{Sinhala}\p{Extended_Pictographic}]")
@@ -146,12 +147,22 @@ def _apply(text: str, alphabet: str) -> str:
 def consistent(text: str | None) -> str | None:
     """``text`` in its consistent form; null stays null and the empty text empty.
 
-    Letters of another alphabet than the text's own are replaced only in words where they stand among
+    A text that mixes alphabets may be mostly of another one once its look-alikes are replaced; then the
+    pass is repeated, so that the form of a form is itself. Letters of another alphabet than the text's own are replaced only in words where they stand among
     letters of the text's alphabet or where all of them have a twin; a word rightly written in another
     alphabet stays.
     """
     if not text or text.isascii():
         return text
+    for _ in range(PASSES):
+        done = _one_pass(text)
+        if done == text:
+            break
+        text = done
+    return text
+
+
+def _one_pass(text: str) -> str:
     alphabet = alphabet_of(text)
     if alphabet not in ("latin", "cyrillic", "greek"):
         return _apply(text, "")
