@@ -31,6 +31,7 @@ def test_similarity_join_is_exact(spark):
     grams = lambda t: {f"_{w}_"[i : i + 2] for w in t.split() for i in range(len(w) + 1)}
     for least in (0.44, 0.7):
         want = sorted((x, y) for x in a for y in b if len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least)
+        want = sorted(want, key=str)
         got = canonical.similarity_join(spark.createDataFrame([(x,) for x in a], "seg string"), spark.createDataFrame([(y,) for y in b], "form string"), least)
         assert rows(got, "seg", "form") == want
 
