@@ -192,5 +192,5 @@ def suspect(c: Column) -> Column:
 
 
 def consistent_text(c: Column) -> Column:
-    """Column form of :func:`consistent`. Only suspect texts are sent to Python."""
-    return F.when(suspect(c), _consistent_udf(c)).otherwise(c)
+    """Column form of :func:`consistent`. Python gets only the suspect texts, and a null for each other."""
+    return F.when(suspect(c), _consistent_udf(F.when(suspect(c), c))).otherwise(c)
