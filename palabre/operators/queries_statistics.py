@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as X
 from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
-from ..session import cut, table
+from ..session import cut, spread, table
 from . import statistics as S
 from .aggregates import average_rank
 from .relational import wilson
@@ -29,7 +30,32 @@ def query(sql: str | None = None):
 R6 = lambda c, name: F.round(c.cast("double"), 6).alias(name)
 P = f"with {PARTS_SQL}"
 U = "('0x' || substr(md5({}), 1, 13))::bigint / pow(2, 52)"
-DRAWS = 50
+DRAWS = 10_000  # of every null model, as in the reference
+
+
+def _spread(groups: DataFrame, *by: str) -> DataFrame:
+    """Groups over all cores: they are small rows, their draws are the work."""
+    return groups.repartition(4 * spread(groups.sparkSession, 0, 1), *by)
+
+
+def _coins(h: np.ndarray, row: dict) -> np.ndarray:
+    """How far from half of the members a draw's coins fall: a uniform number under a half is a hash whose first bit is 0."""
+    return np.abs((h[0] >> np.uint64(63) == 0).sum(0) - row["n"] / 2.0)
+
+
+def _between_colours(h: np.ndarray, row: dict) -> np.ndarray | None:
+    """Variance of the colours' mean days, with the colours dealt in the order of the hashes; ids are sorted."""
+    names, code = np.unique(np.array(row["couleur"]), return_inverse=True)
+    if len(names) < 2:
+        return None
+    dealt = code[np.lexsort((h[1], h[0]), axis=0)]
+    days = np.array(row["jour"], float)
+    return np.var([days @ (dealt == c) / (code == c).sum() for c in range(len(names))], axis=0, ddof=1)
+
+
+def _first(h: np.ndarray, row: dict) -> np.ndarray:
+    """The value of the member whose hash comes first."""
+    return np.array(row["ns"], float)[np.lexsort((h[1], h[0]), axis=0)[0]]
 
 
 def _season_tests(spark, d):
@@ -127,9 +153,8 @@ dr as (select d.draw, s.saison, s.n from s cross join (select unnest(range(1, {D
 x as (select draw, avg(abs(k - n / cast(2 as double))) as x from b group by draw) select round((select avg(e) from s), 6) as observed, round(avg(x), 6) as expected, round(stddev_samp(x), 6) as sd from x""")
 def t01_parity(spark, d):
     s = regular(parts(spark, d)).filter("genre is not null").groupBy("saison").agg(F.count("*").alias("n"), F.abs(F.count_if(F.col("genre") == "f") - F.count("*") / 2.0).alias("e"))
-    m = s.select("saison", "n").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    k = m.groupBy("draw", "saison", "n").agg(F.count_if(S.hash_uniform("parite", F.col("draw"), F.col("saison"), F.col("i")) < 0.5).alias("k"))
-    x = k.groupBy("draw").agg(F.avg(F.abs(F.col("k") - F.col("n") / 2.0)).alias("x"))
+    keys = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.concat_ws("|", "saison", i.cast("string")))
+    x = S.null_draws(_spread(s.select("saison", "n", keys.alias("keys")), "saison").drop("saison"), "keys", DRAWS, "parite", _coins)
     return s.agg(F.avg("e").alias("o")).crossJoin(x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))).select(R6(F.col("o"), "observed"), R6(F.col("m"), "expected"), R6(F.col("s"), "sd"))
 
 
@@ -141,8 +166,8 @@ def t03_colours_within_season(spark, d):
     c = cut(regular(parts(spark, d)).filter("couleur is not null and jour is not null").select("saison", "id", "couleur", "jour"))
     stat = lambda x, by: x.groupBy(*by, "saison", "couleur").agg(F.avg("jour").alias("m")).groupBy(*by, "saison").agg(F.var_samp("m").alias("v"))
     observed = stat(c, []).agg(F.avg("v").alias("x"))
-    drawn = S.shuffled(c, ["saison"], "id", "couleur", DRAWS, "tribus").join(c.select("saison", "id", "jour"), ["saison", "id"])
-    t = S.permutation_test(observed, cut(stat(drawn, ["draw"]).groupBy("draw").agg(F.avg("v").alias("x"))))
+    g = _spread(c, "saison").groupBy("saison").agg(F.sort_array(F.collect_list(F.struct("id", "jour", "couleur"))).alias("m")).select(F.col("m.id").alias("keys"), F.col("m.jour").alias("jour"), F.col("m.couleur").alias("couleur"))
+    t = S.permutation_test(observed, cut(S.null_draws(g, "keys", DRAWS, "tribus", _between_colours)))
     return t.select(R6(F.col("observed"), "observed"), R6(F.col("expected"), "expected"), R6(F.col("sd"), "sd"), R6(F.col("z"), "z"), R6(F.col("p"), "p"), "n")
 
 
@@ -153,9 +178,9 @@ def t12_one_drawn_a_session(spark, d):
     c = ballots(spark, d).filter("type = 'elimination' and complet and cible_ok").groupBy("saison", "numero", F.col("cible").alias("id")).agg(F.count("*").alias("n"), F.max(F.coalesce((F.col("cible") == F.col("elimine")).cast("int"), F.lit(0))).alias("out"))
     k = c.groupBy("saison", "numero").agg(F.sum("out").alias("o"), F.count("*").alias("m")).filter("o = 1 and m >= 2").select("saison", "numero")
     r = cut(c.join(k, ["saison", "numero"]))
-    key = F.md5(F.concat_ws("|", F.lit("menace"), F.col("draw").cast("string"), "saison", F.col("numero").cast("string"), "id"))
-    w = r.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).groupBy("draw", "saison", "numero").agg(F.min_by("n", key).alias("n"))
-    x = w.groupBy("draw").agg(F.avg("n").alias("x"))
+    key = F.concat_ws("|", "saison", F.col("numero").cast("string"), "id")
+    g = _spread(r, "saison", "numero").groupBy("saison", "numero").agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), "n"))).alias("m")).select(F.col("m.key").alias("keys"), F.col("m.n").alias("ns"))
+    x = S.null_draws(g, "keys", DRAWS, "menace", _first)
     return r.filter("out = 1").agg(F.avg("n").alias("o")).crossJoin(x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n"))).select(R6(F.col("o"), "observed"), R6(F.col("m"), "expected"), R6(F.col("s"), "sd"), "n")
 
 

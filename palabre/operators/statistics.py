@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import md5_draws
+
 
 def hash_uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on its parts alone: the same on every engine, run and partitioning."""
@@ -60,6 +63,28 @@ def shuffled(df: DataFrame, block: list[str], key: str, label: str, draws: int,
     return a.join(b, ["draw", *block, "_i"]).select("draw", *block, F.col("_k").alias(key), F.col("_v").alias(label))
 
 
+def null_draws(groups: DataFrame, keys: str, draws: int, seed: str, statistic: Callable[[np.ndarray, dict], np.ndarray | None]) -> DataFrame:
+    """(draw, x): the mean over groups of a statistic, for each hash-driven draw.
+
+    ``groups`` has a row a group with its small arrays; ``keys`` names the array of strings that are hashed with
+    seed and draw. ``statistic`` gets the hashes (2, keys, draws) and the row and gives a value a draw, or None for
+    a group that has none. Groups stay where they are: a partition gives one sum a draw.
+    """
+
+    def sums(batches):
+        total, n = np.zeros(draws), 0
+        for b in batches:
+            for row in b.to_pylist():
+                x = statistic(md5_draws(seed, row[keys], draws), row)
+                if x is not None:
+                    total += x
+                    n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1), pa.int32()), pa.array(total), pa.array(np.full(draws, n), pa.int64())], ["draw", "s", "c"])
+
+    return groups.mapInArrow(sums, "draw int, s double, c bigint").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("x"))
+
+
 def permutation_test(observed: DataFrame, draws: DataFrame) -> DataFrame:
     """(observed, expected, sd, z, p, n): two-sided around the null mean with the +1 correction.
 

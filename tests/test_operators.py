@@ -221,3 +221,22 @@ def test_sessions_of_a_stream(spark, tmp_path):
     run_to_table(user_sessions(read_events(spark, str(tmp_path / "in"), e.schema)), "sess", str(tmp_path / "cp"), "complete" if False else "append")
     got = rows(spark.table("sess"), "user_id", "n")
     assert got in ([(1, 1), (1, 2)], [(1, 1), (1, 2), (2, 1)])
+
+
+def test_null_models_draw_by_md5(spark):
+    import hashlib
+
+    from palabre.functions.draws import md5_draws
+    from palabre.operators import queries_statistics as QS
+
+    keys = ["a", "é|b", "x" * 38, "y" * 70]
+    got = md5_draws("seed", keys, 1200)
+    assert [[f"{a:016x}{b:016x}" for a, b in got[:, i].T.tolist()] for i in range(4)] == [[hashlib.md5(f"seed|{n}|{k}".encode()).hexdigest() for n in range(1, 1201)] for k in keys]
+    assert QS.DRAWS == 10_000
+    people = [(f"s{s}", f"p{i}", "rb"[i % 2], i) for s in range(3) for i in range(6)]
+    c = spark.createDataFrame(people, "saison string, id string, couleur string, jour int")
+    drawn = S.shuffled(c, ["saison"], "id", "couleur", 11, "seed").join(c.select("saison", "id", "jour"), ["saison", "id"])
+    old = drawn.groupBy("draw", "saison", "couleur").agg(F.avg("jour").alias("m")).groupBy("draw", "saison").agg(F.var_samp("m").alias("v")).groupBy("draw").agg(F.avg("v").alias("x"))
+    g = c.groupBy("saison").agg(F.sort_array(F.collect_list(F.struct("id", "jour", "couleur"))).alias("m")).select(F.col("m.id").alias("keys"), F.col("m.jour").alias("jour"), F.col("m.couleur").alias("couleur"))
+    new = S.null_draws(g, "keys", 11, "seed", QS._between_colours)
+    assert {r["draw"]: r["x"] for r in new.collect()} == pytest.approx({r["draw"]: r["x"] for r in old.collect()})
