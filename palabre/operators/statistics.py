@@ -198,21 +198,33 @@ def conditional_logit(df: DataFrame, session: list[str], xs: list[str], chosen:
     return newton(step, k, ridge)
 
 
-def luce(wins: DataFrame, rounds: int = 12, shape: float = 1.5, rate: float = 0.5, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def luce(wins: DataFrame, rounds: int = 12, shape: float = 1.5, rate: float = 0.5, cut: Callable[[DataFrame], DataFrame] | None = None, tolerance: float | None = None, every: int = 5) -> DataFrame:
     """(id, strength) of a one-winner Luce model with a Gamma prior, by minorise-maximise steps over contests.
 
-    ``wins``: (contest, id, won). Each step sums the strengths of a contest and each member's exposure; nothing
-    leaves the executors. ``cut`` materialises a step, so the plan doesn't grow.
+    ``wins``: (contest, id, won); a contest without exactly one winner isn't in the likelihood and is left out. Each
+    step sums the strengths of a contest and each member's exposure; nothing leaves the executors. ``cut``
+    materialises every few steps, so the plan doesn't grow. With a ``tolerance`` the steps end once no strength
+    changes by as much; if ``rounds`` don't get there, it raises.
     """
-    won = wins.groupBy("id").agg(F.sum(F.col("won").cast("int")).alias("w"))
+    single = wins.groupBy("contest").agg(F.sum(F.col("won").cast("int")).alias("o")).filter("o = 1").select("contest")
+    wins = wins.join(single, "contest")
+    wins = cut(wins) if cut else wins
     field = wins.select("contest", "id")
-    theta = won.withColumn("strength", F.lit(1.0))
-    for _ in range(rounds):
-        s = field.join(theta.select("id", "strength"), "id")
-        total = s.groupBy("contest").agg((1.0 / F.sum("strength")).alias("inv"))
-        d = field.join(total, "contest").groupBy("id").agg(F.sum("inv").alias("d"))
-        theta = won.join(d, "id").select("id", "w", ((F.col("w") + shape - 1) / (F.col("d") + rate)).alias("strength"))
+    theta = wins.groupBy("id").agg(F.sum(F.col("won").cast("int")).alias("w")).withColumn("strength", F.lit(1.0))
+    change = None
+    for k in range(1, rounds + 1):
+        s = field.join(theta.select("id", "w", "strength"), "id").withColumn("inv", 1.0 / F.sum("strength").over(Window.partitionBy("contest")))
+        d = s.groupBy("id", "w", F.col("strength").alias("was")).agg(F.sum("inv").alias("d"))
+        theta = d.select("id", "w", "was", ((F.col("w") + shape - 1) / (F.col("d") + rate)).alias("strength"))
+        if k % every and k < rounds:
+            continue
         theta = cut(theta) if cut else theta
+        if tolerance is not None:
+            change = theta.agg(F.max(F.abs(F.col("strength") - F.col("was")))).collect()[0][0] or 0.0
+            if change < tolerance:
+                break
+    if tolerance is not None and (change is None or change >= tolerance):
+        raise RuntimeError(f"strengths still change by {change} after {rounds} rounds")
     return theta.select("id", F.col("w").alias("wins"), "strength")
 
 

@@ -240,3 +240,15 @@ def test_null_models_draw_by_md5(spark):
     g = c.groupBy("saison").agg(F.sort_array(F.collect_list(F.struct("id", "jour", "couleur"))).alias("m")).select(F.col("m.id").alias("keys"), F.col("m.jour").alias("jour"), F.col("m.couleur").alias("couleur"))
     new = S.null_draws(g, "keys", 11, "seed", QS._between_colours)
     assert {r["draw"]: r["x"] for r in new.collect()} == pytest.approx({r["draw"]: r["x"] for r in old.collect()})
+
+
+def test_luce_ends_at_its_fixed_point(spark):
+    from palabre.session import cut
+
+    people = [(c, f"p{(c * k) % 9}", k == (1 if c < 6 else 4)) for c in range(1, 9) for k in (1, 2, 4)] + [(99, "p1", False), (99, "p2", False)]
+    got = S.luce(spark.createDataFrame(people, "contest int, id string, won boolean"), 500, cut=cut, tolerance=1e-10)
+    s = {r["id"]: (r["wins"], r["strength"]) for r in got.collect()}
+    exposure = {i: sum(1 / sum(s[p][1] for k, p, _ in people if k == c) for c, q, _ in people if q == i and c != 99) for i in s}
+    assert {i: x for i, (_, x) in s.items()} == pytest.approx({i: (s[i][0] + 0.5) / (exposure[i] + 0.5) for i in s}, abs=1e-9)
+    with pytest.raises(RuntimeError):
+        S.luce(spark.createDataFrame(people, "contest int, id string, won boolean"), 2, cut=cut, tolerance=1e-10)
