@@ -253,19 +253,31 @@ def m01_correspondence(spark, d):
     return S.correspondence(p, ["genre", "couleur", "tranche"])
 
 
-@query()
-def m02_clusters(spark, d):
-    """Groups of participants by k-means, for k of 2 to 4, the k of the best silhouette."""
+def _best_clusters(x: DataFrame) -> DataFrame:
+    """``x`` with ``prediction``, by k-means for k of 2 to 10: the k of the best silhouette whose least group holds 2 % and three rows, else 2."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
+
+    judge = ClusteringEvaluator()
+    rows = x.count()
+    floor = max(3, int(0.02 * rows))
+    best, most = None, -2.0
+    for k in range(2, min(10, rows - 1) + 1):
+        fit = KMeans(k=k, seed=42).fit(x)
+        best = best or fit
+        if min(fit.summary.clusterSizes) >= floor and (score := judge.evaluate(fit.transform(x))) > most + 1e-9:
+            best, most = fit, score
+    return best.transform(x)
+
+
+@query()
+def m02_clusters(spark, d):
+    """Groups of participants by k-means, for k of 2 to 10, the k of the best silhouette without a group under 2 %."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     x = VectorAssembler(inputCols=["age", "vi", "votes", "survie"], outputCol="raw").transform(_model_rows(spark, d).dropna(subset=["age", "vi", "votes", "survie"]))
     x = cut(StandardScaler(inputCol="raw", outputCol="features").fit(x).transform(x).select("saison", "id", "features"))
-    judge = ClusteringEvaluator()
-    fits = [KMeans(k=k, seed=42).fit(x) for k in (2, 3, 4)]
-    best = max(fits, key=lambda m: judge.evaluate(m.transform(x)))
-    return best.transform(x).groupBy(F.col("prediction").alias("groupe")).agg(F.count("*").alias("n"))
+    return _best_clusters(x).groupBy(F.col("prediction").alias("groupe")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{P}, r as (select saison, id, 1 / cast(count(*) over (partition by saison) as double) as h, case when sort = 'vainqueur' then 1 else 0 end as y from reg) select cast(floor(h * 200) as bigint) as decile, count(*) as n, round(avg(h), 6) as attendu, round(avg(y), 6) as observe from r group by 1""")

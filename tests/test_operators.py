@@ -252,3 +252,15 @@ def test_luce_ends_at_its_fixed_point(spark):
     assert {i: x for i, (_, x) in s.items()} == pytest.approx({i: (s[i][0] + 0.5) / (exposure[i] + 0.5) for i in s}, abs=1e-9)
     with pytest.raises(RuntimeError):
         S.luce(spark.createDataFrame(people, "contest int, id string, won boolean"), 2, cut=cut, tolerance=1e-10)
+
+
+def test_clusters_beyond_four_and_without_outliers(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from palabre.operators.queries_statistics import _best_clusters
+
+    rng = np.random.default_rng(3)
+    at = [(0, 0), (10, 0), (0, 10), (10, 10), (5, 20)]
+    blobs = [Vectors.dense(*rng.normal(c, 0.3)) for c in at for _ in range(40)]
+    groups = lambda rows: sorted(r["count"] for r in _best_clusters(spark.createDataFrame([(v,) for v in rows], ["features"]).cache()).groupBy("prediction").count().collect())
+    assert groups(blobs) == [40] * 5
