@@ -32,19 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting
-    is absent (tests, a laptop) is a folder of our own made.
+    is absent and the session is local (tests, a laptop) is a folder of our own made.
     """
     checkpoint_folder(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # plans and classes of finished stages leave a small driver
-    return done
+    return df.checkpoint(eager=True)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, set for the context if it wasn't."""
+    """The shared folder for checkpoints, set for the context if it wasn't. A cluster must name one; a local session gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "palabre-checkpoint"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "palabre-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
