@@ -1,10 +1,12 @@
 """Spellings of names linked to the people they mean, by merging and matching again.
 
 Each listed person starts as a profile of one spelling. Typed names are read in every possible way and
-meet the profiles under family and given name, each exactly or by a slip, nickname, beginning or initial.
-A name that one profile explains clearly better than any other is merged with it; the profile takes over
-its spelling, and names still open are matched against the richer profiles, until nothing merges any more.
-Labels without a full name are resolved among the participants of their group alone.
+meet the profiles under a family name, exactly or by a slip; the given name may be typed as itself, by a
+slip, another known form, its beginning or initials. A name that one profile explains clearly better than
+any other is merged with it. The profile takes over its spelling, and with it the initials and beginnings
+that stand for that spelling; forms of given names that no rule knows (nicknames) are learned from names
+whose family name leaves one person alone. Names still open meet the richer profiles again, until nothing
+merges any more. Labels without a full name are resolved among the participants of their group alone.
 """
 
 from __future__ import annotations
@@ -14,67 +16,143 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import cut
-from .names import FAMILY_LETTERS, PARTICLES, close_words, given_matches, name_text, nicknames, readings, split_words, without_quoted
+from .names import PARTICLES, given_matches, matches, name_keys, name_text, nicknames, split_words, without_quoted
 
-MOST = 2.9  # greatest cost of a match
 MARGIN = 0.25  # by which the best match must be ahead of another person's
 AGAIN = 0.2  # cost of a match with a spelling taken over
+MERGED = 1.5  # greatest cost at which two spellings of unlisted people are merged
+SUPPORT = 2  # family names in which a form of a given name must be met to be learned
+EXPLAINED = 1.2  # a name that costs as much is not well explained yet
+SHARE = 0.2  # least part of a form's meetings that one given name must have
 
 
 def profiles(persons: DataFrame, pid: str, name: str, given: str) -> DataFrame:
-    """(pid, f, g, others): one row for each word of the family name."""
+    """(pid, g, sp): the given name and the spelling, given name | family words, of each person.
+
+    Particles are no family words unless the family name has no others.
+    """
     p = persons.select(F.col(pid).alias("pid"), words(F.col(name)).alias("n"), words(F.col(given)).alias("g")).filter(F.col("pid").isNotNull() & (F.col("n") != ""))
     p = p.withColumn("g", F.when(F.coalesce("g", F.lit("")) == "", F.element_at(F.split("n", " "), 1)).otherwise(F.col("g")))
     rest = F.when(F.concat(F.col("n"), F.lit(" ")).startswith(F.concat(F.col("g"), F.lit(" "))), F.substring(F.col("n"), F.length("g") + 2, F.length("n"))).otherwise(F.col("n"))
-    p = p.withColumn("fs", F.filter(split_words(rest), lambda x: ~x.isin(PARTICLES)))
-    return p.select("pid", "g", "fs", F.explode("fs").alias("f"))
-
-
-def _candidates(reads: DataFrame, targets: DataFrame, nicks: DataFrame, penalty: float) -> DataFrame:
-    """(n, pid, cost) of the readings that meet a target's family and given name."""
-    family = close_words(reads.select(F.col("f").alias("a")).distinct(), targets.filter(F.length("f") >= FAMILY_LETTERS).select(F.col("f").alias("b")).distinct())
-    family = family.select(F.col("a").alias("f"), F.col("b").alias("tf"), (F.when(F.col("edits") == 0, 0.0).otherwise(F.lit(0.6) + F.lit(0.4) * F.col("edits"))).alias("fcost"))
-    given = given_matches(reads.select("w"), targets.select("g"), nicks)
-    t = targets.select(F.col("f").alias("tf"), "g", "pid", "fs")
-    x = reads.join(family, "f").join(given, "w").join(t, ["tf", "g"])
-    missing = F.greatest(F.lit(0), F.size(F.array_except("fs", F.split("n", " "))) - (F.col("fcost") > 0).cast("int"))
-    cost = F.col("fcost") + F.col("gcost") + F.lit(0.3) * F.col("extra") + F.lit(0.25) * F.col("late") + F.lit(0.3) * missing + F.lit(penalty)
-    return x.withColumn("cost", cost).filter(F.col("cost") <= MOST).groupBy("n", "pid").agg(F.min_by(F.struct("cost", "f", "w"), F.struct("cost", "f", "w")).alias("b")).select("n", "pid", "b.*")
+    every = split_words(rest)
+    own = F.filter(every, lambda x: ~x.isin(PARTICLES))
+    fs = F.array_join(F.when(F.size(own) > 0, own).otherwise(every), " ")
+    return p.select("pid", "g", F.concat_ws("|", "g", fs).alias("sp")).filter(fs != "").distinct()
 
 
-def clear_best(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """The cheapest candidate of each group if it is ahead of every other person's by ``MARGIN``."""
-    w = Window.partitionBy(*by).orderBy("cost", "pid")
+def clear_best(candidates: DataFrame, by: list[str], who: str) -> DataFrame:
+    """The cheapest candidate of each group if it is ahead of every other ``who`` by ``MARGIN``."""
+    w = Window.partitionBy(*by).orderBy("cost", who)
     c = candidates.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("cost").over(w))
     return c.filter((F.col("r") == 1) & (F.col("next").isNull() | (F.col("next") - F.col("cost") >= MARGIN))).drop("r", "next")
 
 
-def resolve(names: DataFrame, targets: DataFrame, nicks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((n, pid), (n, pid, cost)): the person of each name that has a clear one, and all candidates.
+def other_forms(pairs: DataFrame, both: bool = False) -> DataFrame:
+    """(g, other): the known forms of each given name, parted by |, from (nick, given); with ``both``, also the given names of each form."""
+    pairs = pairs.select("nick", "given").union(pairs.select("given", "nick")) if both else pairs
+    return pairs.filter(F.col("nick") != F.col("given")).groupBy(F.col("given").alias("g")).agg(F.array_join(F.array_sort(F.collect_set("nick")), "|").alias("other"))
 
-    Profiles take over the spellings of the names merged with them until a round merges none.
+
+def learned_forms(open_names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(nick, given): forms of given names met in names that nothing explains well, beside a family name that one listed person bears.
+
+    A form counts once for each person; it must be met beside ``SUPPORT`` of them, mean the given name in
+    ``SHARE`` of its meetings and be no listed given name itself.
+    """
+    family = targets.select("sp", "g", F.explode(F.array_distinct(split_words(F.substring_index("sp", "|", -1)))).alias("f"))
+    alone = family.groupBy("f").agg(F.count("*").alias("k"), F.min("sp").alias("sp"), F.min("g").alias("g")).filter(F.col("k") == 1)
+    d = open_names.select("n", split_words(F.col("n")).alias("ws"))
+    d = d.filter(F.size("ws") > 1).select("n", "ws", F.explode(F.array_distinct("ws")).alias("f"))
+    left = F.filter("ws", lambda x: (x != F.col("f")) & ~x.isin(PARTICLES))
+    d = d.join(alone.select("f", "sp", "g"), "f").withColumn("left", left).filter(F.size("left").between(1, 2)).select("sp", "g", F.array_join("left", " ").alias("nick"))
+    d = d.filter(F.length("nick") > 1).join(targets.select(F.col("g").alias("nick")).distinct(), "nick", "left_anti")
+    votes = d.distinct().groupBy("nick", "g").agg(F.count("*").alias("n"))
+    votes = votes.withColumn("all", F.sum("n").over(Window.partitionBy("nick")))
+    return votes.filter((F.col("n") >= SUPPORT) & (F.col("n") >= F.lit(SHARE) * F.col("all"))).select("nick", F.col("g").alias("given"))
+
+
+def resolve(names: DataFrame, targets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((n, own, pid), (n, own, cost), (nick, given)): the person of each name that has a clear one, all candidates, and all forms known in the end.
+
+    ``own`` is the listed spelling of a profile; one that several persons bear has no clear person. Each
+    round is one join of the names still open with what the profiles took over in the round before.
     """
-    reads = cut(readings(names))
-    best = F.min_by(F.struct("cost", "f", "w"), F.struct("cost", "f", "w")).alias("b")
-    found = cut(_candidates(reads, targets, nicks, 0.0))
-    merged = 0
+    spellings = targets.groupBy(F.col("sp").alias("own")).agg(F.when(F.count("*") == 1, F.min("pid")).alias("pid"))
+    keys = cut(name_keys(names.select("n").distinct()))
+    best = F.min(F.struct("cost", "f", "w")).alias("b")
+    one = lambda m: m.groupBy("n", "own").agg(best).select("n", "own", "b.*")
+    listed = targets.select("sp").distinct()
+    found = cut(one(matches(keys, listed, other_forms(known)).withColumnRenamed("sp", "own")))
+    learned = learned_forms(names.select("n").distinct().join(found.filter(F.col("cost") < EXPLAINED).select("n").distinct(), "n", "left_anti"), targets)
+    known = cut(known.select("nick", "given").union(learned).distinct())
+    forms = other_forms(known)
+    linked = cut(clear_best(found, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
+    fresh, first = linked, True
     while True:
-        linked = clear_best(found, ["n"])
-        now = linked.count()
-        if now <= merged:
+        # spellings of the names merged last that their profiles don't have yet
+        spelled = fresh.filter(F.length("w") > 2).select(F.concat_ws("|", "w", "f").alias("sp"), "own").filter(F.col("sp") != F.col("own")).distinct()
+        if first:  # the forms learned enrich every profile
+            spelled = spelled.withColumn("more", F.lit(AGAIN)).unionByName(listed.select("sp", F.col("sp").alias("own"), F.lit(0.0).alias("more")))
+        else:
+            spelled = spelled.withColumn("more", F.lit(AGAIN))
+        still = keys.join(linked.select("n"), "n", "left_anti")
+        again = matches(still, spelled, forms).join(spelled, "sp").withColumn("cost", F.col("cost") + F.col("more")).select("n", "own", "cost", "f", "w")
+        open_ = found.join(linked.select("n"), "n", "left_anti").unionByName(again)
+        more = cut(one(open_))
+        fresh = cut(clear_best(more, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
+        found = more.unionByName(found.join(linked.select("n"), "n", "left_semi"))
+        first = False
+        if fresh.isEmpty():
             break
-        merged = now
-        # spellings of the merged names that their profiles don't have yet
-        new = linked.filter(F.length("w") > 2).select("pid", "f", F.col("w").alias("g")).distinct().join(targets.select("pid", "f", "g"), ["pid", "f", "g"], "left_anti")
-        spelled = new.withColumn("fs", F.array("f"))
-        more = _candidates(reads.join(linked, "n", "left_anti"), spelled, nicks, AGAIN)
-        found = cut(found.unionByName(more).groupBy("n", "pid").agg(best).select("n", "pid", "b.*"))
-    return linked.select("n", "pid"), found.select("n", "pid", "cost")
+        linked = linked.unionByName(fresh)
+    return linked.select("n", "own", "pid"), cut(found.select("n", "own", "cost")), known
+
+
+def own_spellings(people: DataFrame, given: DataFrame) -> DataFrame:
+    """(ent, g, sp) of people in no list, from their typed names: the given name may be the first two words, the first or the last.
+
+    Where one of these is a name of ``given``, the others are left out.
+    """
+    d = people.filter(F.col("n") != "").select("ent", F.filter(split_words(F.trim(F.regexp_replace("n", r"(?<=\S) [dl](?= \S)", ""))), lambda x: (F.length(x) == 1) | ~x.isin(PARTICLES)).alias("ws")).distinct().filter(F.size("ws") > 0)
+    n = F.size("ws")
+    part = lambda lo, k: F.array_join(F.slice("ws", F.lit(lo), F.greatest(F.lit(0), k)), " ")
+    cuts = F.array(
+        F.struct(F.lit(3).alias("o"), part(1, F.lit(2)).alias("g"), part(3, n - 2).alias("fs")),
+        F.struct(F.lit(2).alias("o"), F.element_at("ws", 1).alias("g"), part(2, n - 1).alias("fs")),
+        F.struct(F.lit(1).alias("o"), F.element_at("ws", -1).alias("g"), part(1, n - 1).alias("fs")),
+    )
+    d = d.select("ent", "ws", F.inline(cuts)).join(given.select("g", F.lit(True).alias("known")), "g", "left")
+    each = d.groupBy("ent", "ws").agg(F.collect_set(F.struct(F.coalesce("known", F.lit(False)).alias("known"), "o", "g", "fs")).alias("cuts"))  # three at most
+    top = F.array_max("cuts")
+    each = each.select("ent", F.inline(F.when(top["known"], F.array(top)).otherwise(F.col("cuts"))))
+    return each.select("ent", "g", F.concat_ws("|", "g", "fs").alias("sp")).distinct()
+
+
+def entities(people: DataFrame, given: DataFrame, nicks: DataFrame) -> DataFrame:
+    """``people`` (saison, id, n, pid) with ``ent``: the listed person, else one key for all spellings of an unlisted one in a season.
+
+    Unlisted people have no reference spelling, so their typed names are each other's profiles: a name is merged
+    with the spelling of the season that explains it clearly best, in two steps, so that a chain of three
+    spellings comes together. Names of the same words are one.
+    """
+    none = F.array_join(F.array_sort(split_words(F.col("n"))), " ")
+    open_ = people.filter(F.col("pid").isNull() & F.col("n").contains(" ")).select("saison", "n", none.alias("key")).distinct()
+    own = own_spellings(open_.select(F.col("n").alias("ent"), "n"), given)
+    met = matches(name_keys(open_.select("n").distinct()), own, other_forms(nicks, both=True)).filter(F.col("cost") <= MERGED)
+    met = met.join(own.select(F.col("ent").alias("m"), "sp"), "sp").groupBy("n", "m").agg(F.min("cost").alias("cost"))
+    there = open_.select("saison", F.col("n").alias("m"), F.col("key").alias("other"))
+    edges = open_.join(met, "n").join(there, ["saison", "m"]).filter(F.col("key") != F.col("other")).groupBy("saison", "key", "other").agg(F.min("cost").alias("cost"))
+    best = clear_best(edges, ["saison", "key"], "other").select("saison", "key", F.least("key", "other").alias("to"))
+    best = cut(best)
+    on = best.select("saison", F.col("key").alias("to"), F.col("to").alias("last"))
+    best = best.join(on, ["saison", "to"], "left").select("saison", "key", F.coalesce(F.least("last", "to"), F.col("to")).alias("to"))
+    keyed = people.withColumn("key", F.when(F.col("n").contains(" "), none).otherwise(F.col("id")))
+    return keyed.join(best, ["saison", "key"], "left").withColumn("ent", F.coalesce("pid", F.concat(F.lit("\u0001"), F.coalesce("to", "key")))).drop("key", "to")
 
 
 def _single_words(names: DataFrame) -> DataFrame:
     """(n, w, i): labels that are a given name, alone or with an initial of the family name on either side."""
-    d = names.select("n").distinct().withColumn("ws", split_words(F.col("n"))).filter(F.size("ws").between(1, 4))
+    d = names.select("n").distinct().withColumn("ws", split_words(F.col("n"))).filter(F.size("ws") > 0)
     ends = [F.struct(F.array_join("ws", " ").alias("w"), F.lit("").alias("i"))]
     last, first = F.element_at("ws", -1), F.element_at("ws", 1)
     with_last = F.struct(F.array_join(F.slice("ws", 1, F.size("ws") - 1), " ").alias("w"), last.alias("i"))
@@ -110,37 +188,35 @@ def spell_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("n", F.coalesce(*full, *[F.when(t != "", t) for t in texts], F.lit("")))
 
 
-def link_people(part: DataFrame, persons: DataFrame, known: list[tuple[str, str]], more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """People of the participations: ((saison, id, n, pid or null), candidates, profiles, nicknames).
 
-    ``known`` lists (nickname, given name) pairs known beforehand, folded; those quoted in the names are added.
-
     Work is done for each different name. Rows whose id is listed keep it. ``more.n`` are further names that
-    shall have candidates.
+    shall have candidates. Nicknames quoted in the names are known from the start.
     """
-    listed_nicks = part.sparkSession.createDataFrame([(a, b, 1) for a, b in known], "nick string, given string, n bigint")
-    nicks = cut(nicknames(part, "nom").unionByName(nicknames(part, "nom_complet")).unionByName(listed_nicks).groupBy("nick", "given").agg(F.sum("n").alias("n")))
+    quoted = part.select(F.explode(F.array("nom", "nom_complet")).alias("nom")).filter(F.col("nom").isNotNull()).distinct()
     targets = cut(profiles(persons, "id", "nom", "prenom"))
     listed = persons.select("id").dropna().distinct().withColumn("pid", F.col("id"))
     keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(listed, "id", "left")
     keyed = cut(spell_rows(keyed.withColumn("slug", F.replace("id", F.lit("-"), F.lit(" "))), ["nom_complet", "nom", "slug"]).select("saison", "id", "n", "pid"))
     names = keyed.filter(F.col("pid").isNull() & (F.col("n") != "")).select("n")
-    linked, found = resolve((names if more is None else names.union(more.select("n"))).distinct(), targets, nicks)
-    people = keyed.join(linked.withColumnRenamed("pid", "via"), "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
+    linked, found, nicks = resolve((names if more is None else names.union(more.select("n"))).distinct(), targets, nicknames(quoted, "nom"))
+    via = linked.filter(F.col("pid").isNotNull()).select("n", F.col("pid").alias("via"))
+    people = keyed.join(via, "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
     return cut(people), found, targets, nicks
 
 
-def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
+def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame) -> DataFrame:
     """(origine, ligne, id): rows of ``part`` whose id isn't listed though the person is, and rows of ``councils``
     with an unattached label that names a listed participant of the season.
 
-    Null, empty and blank names are linked by their id's words, or not at all; labels of more words than a
-    name has are never linked; a name that two people explain about equally well is left open. Repeated rows
-    come out each. Other columns are not read.
+    Null, empty and blank names are linked by their id's words, or not at all; a name that two people explain
+    about equally well is left open. Names may have any number of words. Repeated rows come out each. Other
+    columns are not read.
     """
     labels = councils.filter((~F.col("elimine_rattache")) & F.col("elimine").isNotNull()).select("ligne", "saison", "elimine")
     labels = cut(spell_rows(labels, ["elimine"]).filter(F.col("n") != "").select("ligne", "saison", "n"))
-    people, full, targets, nicks = link_people(part, persons, list(known), labels)
+    people, full, targets, nicks = link_people(part, persons, labels)
     listed = persons.select("id").dropna().distinct()
     mine = people.filter(F.col("pid").isNotNull() & (F.col("pid") != F.col("id")))
     mine = mine.groupBy("saison", "id").agg(F.min("pid").alias("pid"), F.countDistinct("pid").alias("k")).filter(F.col("k") == 1)
@@ -148,23 +224,24 @@ def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame, kno
 
     # who was there: listed people, and others under their own id
     who = people.select("saison", "n", F.coalesce("pid", F.concat(F.lit("\u0001"), F.col("id"))).alias("pid")).distinct()
-    known = targets.groupBy("pid").agg(F.min("g").alias("g"), F.array_distinct(F.flatten(F.collect_set("fs"))).alias("fs"))
-    named = who.join(known, "pid").select("saison", "pid", "g", F.explode(F.transform("fs", lambda f: F.substring(f, 1, 1))).alias("i"))
+    initials = F.transform(split_words(F.substring_index("sp", "|", -1)), lambda f: F.substring(f, 1, 1))
+    named = cut(who.select("saison", "pid").distinct().join(targets, "pid"))
     given = targets.select("g").distinct()
     strangers = who.filter(F.col("pid").startswith("\u0001")).select("saison", "pid", split_words(F.col("n")).alias("ws"))
     runs = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(2), F.size("ws") - s + 1)), lambda k: F.array_join(F.slice("ws", s, k), " ")))
-    strangers = strangers.filter(F.size("ws").between(1, 8)).select("saison", "pid", "ws", F.explode(F.flatten(runs)).alias("g")).join(given, "g")
-    strangers = strangers.select("saison", "pid", "g", F.explode(F.transform("ws", lambda f: F.substring(f, 1, 1))).alias("i"))
-    present = cut(named.unionByName(strangers).distinct())
+    strangers = strangers.filter(F.size("ws") > 0).select("saison", "pid", "ws", F.explode(F.array_distinct(F.flatten(runs))).alias("g")).join(given, "g")
+    strangers = strangers.select("saison", "pid", "g", F.explode(F.array_distinct(F.transform("ws", lambda f: F.substring(f, 1, 1)))).alias("i"))
+    present = cut(named.select("saison", "pid", "g", F.explode(initials).alias("i")).unionByName(strangers).distinct())
 
     keys = labels.select("saison", "n").distinct()
     # full names: matched against everybody, kept among those who were there
-    there = present.select("saison", "pid").distinct()
+    there = named.groupBy("saison", F.col("sp").alias("own")).agg(F.when(F.count("*") == 1, F.min("pid")).alias("pid"))
+    cand = keys.join(full, "n").join(there, ["saison", "own"]).select("saison", "n", "own", "pid", "cost")
     # spellings under which the people of a season stand in that season count as theirs
-    own = people.filter(F.col("pid").isNotNull()).select("saison", "n", "pid").distinct().join(keys, ["saison", "n"]).withColumn("cost", F.lit(0.0))
-    cand = keys.join(full, "n").join(there, ["saison", "pid"]).select("saison", "n", "pid", "cost").unionByName(own.select("saison", "n", "pid", "cost"))
-    cand = cand.groupBy("saison", "n", "pid").agg(F.min("cost").alias("cost"))
-    best = clear_best(cand, ["saison", "n"]).select("saison", "n", "pid")
+    own = people.filter(F.col("pid").isNotNull()).select("saison", "n", "pid").distinct().join(keys, ["saison", "n"]).join(targets.select("pid", F.col("sp").alias("own")), "pid").withColumn("cost", F.lit(0.0))
+    cand = cand.unionByName(own.select(cand.columns)).groupBy("saison", "n", "own").agg(F.min(F.struct("cost", "pid")).alias("b")).select("saison", "n", "own", "b.*")
+    cand = cut(cand)
+    best = clear_best(cand, ["saison", "n"], "own").filter(F.col("pid").isNotNull()).select("saison", "n", "pid")
     alone = _among_group(keys.join(cand.select("saison", "n").distinct(), ["saison", "n"], "left_anti"), present, nicks)
     alone = alone.join(listed.select(F.col("id").alias("pid")), "pid", "left_semi")
     hits = labels.join(best.unionByName(alone.select("saison", "n", "pid")), ["saison", "n"])

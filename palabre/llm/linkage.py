@@ -2,16 +2,18 @@
 
 Candidates come from names, group (season) and agreeing attributes. Labelling functions vote on each
 candidate: how close the names are, whether the group is the same, how far the ages are apart, whether
-job, place and gender agree. How often each vote falls by chance is known from the attributes'
-distributions; a generative model learns by EM, from counts of vote patterns alone, how often it comes
-from a match, and the share of matches among the candidates found in each way. Functions found to be
-correlated are taken together and the model is learned again. The posterior is the confidence.
+job, place and gender agree. A generative model learns by EM, from counts of vote patterns alone, how
+often each vote falls in matches and how often in others, and the share of matches. What votes an
+attribute casts by chance is known from both sides' distributions; that is where the other class starts
+from, weighing as ``CHANCE`` candidates. Functions found to be correlated within a class are taken
+together and the model is learned again, until none are. The posterior is the confidence.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import cut
-from .canonical import map_values
-from .identities import _candidates, _single_words, link_people, spell_rows
-from .names import PARTICLES, close_words, given_matches, readings, split_words
+from .identities import _single_words, entities, link_people, other_forms, own_spellings, spell_rows
+from .names import PARTICLES, close_words, given_matches, matches, name_keys, split_words
 
 VOTES = ["v_name", "v_group", "v_age", "v_job", "v_place", "v_gender"]
 LEVELS = {"v_name": 5, "v_group": 2, "v_age": 5, "v_job": 3, "v_place": 3, "v_gender": 3}
-CELLS = 2  # functions that tell how a candidate was found
+OPEN = 2  # the first functions have no chance that is known beforehand
+CHANCE = 200.0  # candidates as which the known chance weighs
 ITERATIONS = 200
 DEPENDENT = 0.25  # Cramér's V from which two functions are taken together
 SURE = 0.5  # least posterior of a match
@@ -35,26 +37,22 @@ SURE = 0.5  # least posterior of a match
 
 
 def _expectation(patterns: np.ndarray, counts: np.ndarray, groups: list[tuple[int, ...]], chance: list[np.ndarray], start: np.ndarray) -> np.ndarray:
-    """Posterior of each vote pattern.
-
-    ``groups`` are the functions with votes of known chance, those of a group taken together. The first
-    ``CELLS`` functions tell how a candidate was found; each of their combinations has a share of matches of its own.
-    """
-    cells = np.unique(patterns[:, :CELLS], axis=0, return_inverse=True)[1].ravel()
+    """Posterior of each vote pattern; the functions of a group are taken together, with a vote for each combination."""
     codes = []
     for g in groups:
         code, p0 = np.zeros(len(patterns), dtype=int), np.ones(1)
         for k in g:
             code, p0 = code * len(chance[k]) + patterns[:, k], np.outer(p0, chance[k]).ravel()
-        codes.append((code, p0))
+        codes.append((code, p0, 5.0 if min(g) < OPEN else CHANCE))
     post = start.copy()
     for _ in range(ITERATIONS):
-        w = counts * post
-        share = ((np.bincount(cells, w) + 1.0) / (np.bincount(cells, counts) + 2.0))[cells]
-        logit = np.log(share / (1 - share))
-        for code, p0 in codes:
+        w, v = counts * post, counts * (1 - post)
+        share = (w.sum() + 1.0) / (counts.sum() + 2.0)
+        logit = np.full(len(patterns), np.log(share / (1 - share)))
+        for code, p0, weight in codes:
             p1 = (np.bincount(code, w, len(p0)) + 5.0 * p0) / (w.sum() + 5.0)
-            logit += np.log(p1[code]) - np.log(p0[code])
+            q1 = (np.bincount(code, v, len(p0)) + weight * p0) / (v.sum() + weight)
+            logit += np.log(p1[code]) - np.log(q1[code])
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         moved = np.abs(new - post).max()
         post = new
@@ -63,25 +61,39 @@ def _expectation(patterns: np.ndarray, counts: np.ndarray, groups: list[tuple[in
     return post
 
 
-def _dependence(patterns: np.ndarray, weight: np.ndarray, a: int, b: int, sizes: list[int]) -> float:
-    t = np.zeros((sizes[a], sizes[b]))
-    np.add.at(t, (patterns[:, a], patterns[:, b]), weight)
+def _dependence(patterns: np.ndarray, weight: np.ndarray, a: tuple[int, ...], b: tuple[int, ...], sizes: list[int]) -> float:
+    """Cramér's V of two groups of functions over weighted patterns."""
+
+    def code(g: tuple[int, ...]) -> np.ndarray:
+        out = np.zeros(len(patterns), dtype=int)
+        for k in g:
+            out = out * sizes[k] + patterns[:, k]
+        return np.unique(out, return_inverse=True)[1].ravel()
+
+    x, y = code(a), code(b)
+    t = np.zeros((x.max() + 1, y.max() + 1))
+    np.add.at(t, (x, y), weight)
     n = t.sum()
     e = np.outer(t.sum(1), t.sum(0)) / max(n, 1e-9)
     chi = ((t - e) ** 2 / np.where(e > 0, e, 1)).sum()
-    return math.sqrt(chi / max(n, 1e-9) / max(1, min(sizes[a], sizes[b]) - 1))
+    return math.sqrt(chi / max(n, 1e-9) / max(1, min(t.shape) - 1))
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, chance: list[np.ndarray], start: np.ndarray) -> np.ndarray:
-    """Posterior of each pattern, with the most dependent pair of functions taken together if it is dependent."""
+    """Posterior of each pattern. The most dependent groups of functions are joined until none depend by ``DEPENDENT`` within a class."""
     sizes = [len(c) for c in chance]
-    voters = range(CELLS, len(sizes))
-    post = _expectation(patterns, counts, [(k,) for k in voters], chance, start)
-    found = [(_dependence(patterns, counts * post, a, b, sizes), (a, b)) for a, b in itertools.combinations(voters, 2)]
-    worst, pair = max(found)
-    if worst < DEPENDENT:
-        return post
-    return _expectation(patterns, counts, [pair, *[(k,) for k in voters if k not in pair]], chance, post)
+    groups: list[tuple[int, ...]] = [(k,) for k in range(len(sizes))]
+    post = _expectation(patterns, counts, groups, chance, start)
+    while len(groups) > 2:
+        v = lambda a, b: max(_dependence(patterns, counts * w, a, b, sizes) for w in (post, 1 - post) if (counts * w).sum() >= CHANCE)  # noqa: B023, E731
+        if max((counts * post).sum(), (counts * (1 - post)).sum()) < CHANCE:
+            return post
+        worst, a, b = max((v(a, b), a, b) for a, b in itertools.combinations(groups, 2))
+        if worst < DEPENDENT:
+            return post
+        groups = [tuple(sorted(a + b)), *[g for g in groups if g not in (a, b)]]
+        post = _expectation(patterns, counts, groups, chance, post)
+    return post
 
 
 def chance_votes(cards: DataFrame, who: DataFrame) -> list[np.ndarray]:
@@ -104,7 +116,7 @@ def chance_votes(cards: DataFrame, who: DataFrame) -> list[np.ndarray]:
         counts[r["attr"]].append((r["x"], r["a"], r["b"]))
     _, n, m = (counts["all"] or [("", 0.0, 0.0)])[0]
     n, m = max(1.0, n), max(1.0, m)
-    out = [np.full(LEVELS[v], 1 / LEVELS[v]) for v in VOTES[:CELLS]]
+    out = [np.full(LEVELS[v], 1 / LEVELS[v]) for v in VOTES[:OPEN]]
     for c, _ in attrs:
         a, b = sum(x[1] for x in counts[c]), sum(x[2] for x in counts[c])
         known = a / n * b / m
@@ -158,24 +170,8 @@ def resolve_groups(typed: DataFrame, groups: DataFrame) -> DataFrame:
     return by_number.unionByName(x.select("edition", "saison"))
 
 
-def _own_profiles(people: DataFrame, given: DataFrame, nicks: DataFrame) -> DataFrame:
-    """(pid, f, g, fs) of people in no list, from their typed names: the words that are a given name at either end, and the rest."""
-    d = people.filter(F.col("n") != "").select("ent", split_words(F.col("n")).alias("ws")).distinct().filter(F.size("ws").between(2, 8))
-    n = F.size("ws")
-    cuts = F.array(
-        F.struct(F.lit(0).alias("o"), F.array_join(F.slice("ws", 1, 2), " ").alias("w"), F.slice(F.col("ws"), F.lit(3), F.greatest(F.lit(0), n - 2)).alias("fs")),
-        F.struct(F.lit(1).alias("o"), F.element_at("ws", 1).alias("w"), F.slice(F.col("ws"), F.lit(2), n - 1).alias("fs")),
-        F.struct(F.lit(2).alias("o"), F.element_at("ws", -1).alias("w"), F.slice(F.col("ws"), F.lit(1), n - 1).alias("fs")),
-    )
-    d = d.select("ent", "ws", F.inline(cuts)).withColumn("fs", F.filter("fs", lambda x: ~x.isin(PARTICLES))).filter(F.size("fs") > 0)
-    m = given_matches(d.select("w"), given, nicks)
-    d = d.join(m, "w", "left").groupBy("ent", "ws").agg(F.min_by(F.struct(F.coalesce("g", "w").alias("g"), "fs"), F.struct(F.coalesce("gcost", F.lit(2.0)), F.col("o") % 2 == 0, "o", "g")).alias("b"))
-    return d.select(F.col("ent").alias("pid"), "b.g", "b.fs", F.explode("b.fs").alias("f"))
-
-
-def _codes(values: DataFrame, entries: list[tuple[str, str]], **how) -> DataFrame:
-    m = map_values(values.dropna().distinct(), entries, **how)
-    return m.filter(F.col("code") != "").select("v", "code")
+def _codes(values: DataFrame, mapped: Callable) -> DataFrame:
+    return cut(mapped(values.dropna().distinct()).filter(F.col("code") != "").select("v", "code"))
 
 
 def _vote_age(a: Column, ages: Column) -> Column:
@@ -188,23 +184,27 @@ def _vote_same(a: Column, values: Column) -> Column:
     return F.when(a.isNull() | (F.size(values) == 0), 1).when(F.array_contains(values, a), 0).otherwise(2)
 
 
-def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups: DataFrame, jobs: list, places: list, job_how: dict, place_how: dict, known_nicks: list[tuple[str, str]] = ()) -> DataFrame:
+def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups: DataFrame, job_map: Callable, place_map: Callable) -> DataFrame:
     """(saison, id, fiche, confidence) of each card and each id of the person that it describes in that season.
 
-    Nulls vote "unknown"; a card without a name, or whose typed season is another than the candidate's, has
-    no candidate. A card describes one person in one season: the candidate of the highest confidence, then
-    the closest name and age; of two that are alike in all none is taken. Repeated rows of a card come out
-    once; empty tables give no rows. Attributes of several rows of a person in a season count as one set.
+    ``job_map`` and ``place_map`` give (v, code) of the different values of a column v. Nulls vote "unknown"; a
+    card without a name, or whose typed season is another than the candidate's, has no candidate. A card
+    describes one person in one season: the candidate of the highest confidence, then the closest name and
+    age; of two that are alike in all none is taken. Repeated rows of a card come out once; empty tables
+    give no rows. Attributes of several rows of a person in a season count as one set.
     """
-    people, _, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, list(known_nicks))
-    people = people.withColumn("ent", F.coalesce("pid", F.concat(F.lit("\u0001"), F.col("id"))))
+    c = cards.select("fiche", "edition", "libelle", F.when(F.col("age").between(16, 80), F.col("age")).alias("age"), "metier", "ville", F.when(F.lower(F.substring("genre", 1, 1)) == "f", "f").when(F.lower(F.substring("genre", 1, 1)) == "h", "h").alias("gender"))
+    c = cut(spell_rows(c, ["libelle"]).filter(F.col("n") != "").dropDuplicates(["fiche"]))
+    people, _, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, c.select("n"))
     given = listed.select("g").distinct()
-    targets = listed.select("pid", "f", "g", "fs").unionByName(_own_profiles(people.filter(F.col("pid").isNull()), given, nicks).select("pid", "f", "g", "fs"))
-    targets = cut(targets.join(people.select(F.col("ent").alias("pid")).distinct(), "pid", "left_semi"))
+    people = entities(people, given, nicks)
+    there = people.select("saison", "ent").distinct()
+    mine = listed.select(F.col("pid").alias("ent"), "g", "sp").unionByName(own_spellings(people.filter(F.col("pid").isNull()), given))
+    bears = cut(there.join(mine, "ent"))  # (saison, ent, g, sp) of those who took part
 
     # attributes of a person in a season, as sets bounded by their domains
-    job_codes = cut(_codes(part.select(F.col("profession").alias("v")).union(cards.select("metier")), jobs, **job_how))
-    place_codes = cut(_codes(part.select(F.col("localisation").alias("v")).union(cards.select("ville")), places, **place_how))
+    job_codes = _codes(part.select(F.col("profession").alias("v")).union(cards.select("metier")), job_map)
+    place_codes = _codes(part.select(F.col("localisation").alias("v")).union(cards.select("ville")), place_map)
     usable = F.when(F.col("age").between(16, 80), F.col("age"))
     rows = part.select("saison", "id", usable.alias("age"), "profession", "localisation", F.substring("genre", 1, 1).alias("genre")).distinct()
     rows = rows.join(job_codes.select(F.col("v").alias("profession"), F.col("code").alias("job")), "profession", "left").join(place_codes.select(F.col("v").alias("localisation"), F.col("code").alias("place")), "localisation", "left")
@@ -212,23 +212,22 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     who = rows.join(ids, ["saison", "id"]).groupBy("saison", "ent").agg(F.collect_set("age").alias("ages"), F.collect_set("job").alias("jobs"), F.collect_set("place").alias("places"), F.collect_set("genre").alias("genders"))
     who = cut(who)
 
-    c = cards.select("fiche", "edition", "libelle", F.when(F.col("age").between(16, 80), F.col("age")).alias("age"), "metier", "ville", F.when(F.lower(F.substring("genre", 1, 1)) == "f", "f").when(F.lower(F.substring("genre", 1, 1)) == "h", "h").alias("gender"))
-    c = spell_rows(c, ["libelle"]).filter(F.col("n") != "").dropDuplicates(["fiche"])
     c = c.join(resolve_groups(cards, groups).withColumnRenamed("saison", "typed"), "edition", "left")
     c = c.join(job_codes.select(F.col("v").alias("metier"), F.col("code").alias("job")), "metier", "left").join(place_codes.select(F.col("v").alias("ville"), F.col("code").alias("place")), "ville", "left")
     c = cut(c.select("fiche", "n", "typed", F.col("edition").isNull().alias("unsaid"), "age", "job", "place", "gender"))
 
-    # full names
-    full = _candidates(readings(c.select("n")), targets, nicks, 0.0).select("n", F.col("pid").alias("ent"), "cost")
-    there = who.select("saison", "ent")
-    a = c.select("fiche", "n", "typed").join(full, "n").join(there, "ent").filter(F.col("typed").isNull() | (F.col("typed") == F.col("saison")))
+    # full names; a typed nickname may stand for the given name, or the given name for a nickname that is all that is known
+    forms = cut(other_forms(nicks, both=True))
+    full = matches(name_keys(c.select("n").distinct()), bears, forms).select("n", "sp", "cost")
+    a = c.select("fiche", "n", "typed").join(full, "n").join(bears.select("saison", "ent", "sp"), "sp").filter(F.col("typed").isNull() | (F.col("typed") == F.col("saison")))
     a = a.select("fiche", "saison", "ent", "cost", F.when(F.col("cost") <= 0.05, 0).when(F.col("cost") <= 1.0, 1).otherwise(2).alias("v_name"))
     # a given name, alone or with an initial: those who alone bear it in the season, or who agree in two attributes
-    bears = targets.select(F.col("pid").alias("ent"), "g", F.explode(F.transform("fs", lambda f: F.substring(f, 1, 1))).alias("i")).distinct().join(there, "ent")
+    initials = F.transform(split_words(F.substring_index("sp", "|", -1)), lambda f: F.substring(f, 1, 1))
+    bears = bears.join(given, "g", "left_semi").select("saison", "ent", "g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), initials))).alias("i")).distinct()
     singles = _single_words(c.select("n"))
     named = c.filter(F.col("typed").isNotNull()).join(singles, "n").join(given_matches(singles.select("w"), given, nicks), "w")
     named = named.select("fiche", F.col("typed").alias("saison"), "g", "i", "gcost", "age", "job", "place")
-    once = bears.select("saison", "g", "ent").distinct().groupBy("saison", "g").agg(F.count("*").alias("k"), F.min("ent").alias("ent")).withColumn("i", F.lit("")).unionByName(bears.groupBy("saison", "g", "i").agg(F.countDistinct("ent").alias("k"), F.min("ent").alias("ent")))
+    once = bears.select("saison", "g", "ent").distinct().groupBy("saison", "g").agg(F.count("*").alias("k"), F.min("ent").alias("ent")).withColumn("i", F.lit("")).unionByName(bears.filter(F.col("i") != "").groupBy("saison", "g", "i").agg(F.countDistinct("ent").alias("k"), F.min("ent").alias("ent")))
     b = named.join(once.filter(F.col("k") == 1), ["saison", "g", "i"]).select("fiche", "saison", "ent", (F.col("gcost") + 1.0).alias("cost"), F.lit(3).alias("v_name"))
     keyed = bears.join(who, ["saison", "ent"])
     key = lambda p, x, q, y: F.concat(F.lit(p), x.cast("string"), F.lit(q), y.cast("string"))

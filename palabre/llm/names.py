@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import words
 from .glyphs import consistent_text
 
-NAME_WORDS = 8  # a label of more words is no name
 PARTICLES = ["le", "la", "de", "du", "des", "d", "l", "van", "von"]
-FAMILY_LETTERS = 4  # letters of a word that may be a family name
+SLIP_LETTERS = 4  # a shorter family word must be met letter for letter: one letter off, it is another name
+LONG_LETTERS = 7  # words from this length on may differ by two edits
+MOST = 2.9  # greatest cost of a match
 
 
 def name_text(c: Column) -> Column:
@@ -65,7 +70,8 @@ def given_forms(given: DataFrame, nicks: DataFrame) -> DataFrame:
     one = lambda form, cost, slip: F.struct(form.alias("form"), F.lit(cost).alias("cost"), F.lit(slip).alias("slip"))
     own = F.array(one(F.col("g"), 0.0, 0.8))
     begun = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.struct(F.substring("g", F.lit(1), i).alias("form"), F.when(i == 1, 1.4).otherwise(0.9).alias("cost"), F.lit(-1.0).alias("slip")))
-    initials = F.filter(F.array(one(F.array_join(F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1)), " "), 1.2, -1.0)), lambda x: F.col("g").contains(" "))
+    letters = F.transform(split_words(F.col("g")), lambda x: F.substring(x, 1, 1))
+    initials = F.filter(F.array(one(F.array_join(letters, " "), 1.2, -1.0), one(F.array_join(letters, ""), 1.2, -1.0)), lambda x: F.col("g").contains(" "))
     glued = F.array(*[one(F.concat("g", F.lit(p)), 0.6, -1.0) for p in PARTICLES if len(p) == 2])
     short = F.transform(F.coalesce("nicks", F.array().cast("array<string>")), lambda x: F.struct(x.alias("form"), F.lit(0.5).alias("cost"), F.when(F.length(x) >= 4, 1.3).otherwise(-1.0).alias("slip")))
     return g.select("g", F.inline(F.concat(own, F.filter(begun, lambda x: n > 1), initials, glued, short))).filter(F.col("form") != "")
@@ -92,17 +98,134 @@ def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataF
     return x.withColumn("c", cost).filter(F.col("c").isNotNull()).groupBy("w", "g").agg(F.min("c").alias("gcost"))
 
 
-def readings(names: DataFrame) -> DataFrame:
-    """Every way to read the words of ``names.n``: (n, f, w, extra, late).
+# ---- one typed name against one spelling ---------------------------------------------------------
+
+
+@lru_cache(1 << 16)
+def edits(a: str, b: str) -> int:
+    """Letters added, lost, changed or swapped with the next between two words; 3 stands for more than two."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > 2:
+        return 3
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            v = min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1)
+            if before and j and x == b[j - 1] and y == a[i - 1]:
+                v = min(v, before[j - 1] + 1)
+            new.append(v)
+        before, row = row, new
+    return min(3, row[-1])
+
+
+def family_cost(typed: str, family: str) -> float | None:
+    e = edits(typed, family)
+    if e == 0:
+        return 0.0
+    short = min(len(typed), len(family))
+    return 0.6 + 0.4 * e if (e == 1 and short >= SLIP_LETTERS) or (e == 2 and short >= LONG_LETTERS) else None
 
-    ``f`` is the word taken as the family name, ``w`` one to three of the words left as the given name,
-    ``extra`` the number of words in neither, ``late`` 1 if words that are left stand before ``w``.
-    Names of fewer than two or more than ``NAME_WORDS`` words aren't read.
+
+@lru_cache(1 << 16)
+def given_cost(typed: str, given: str, other: tuple[str, ...] = ()) -> float | None:
+    """What it costs to read ``typed`` as ``given``, whose known other forms are ``other``; None if it can't be.
+
+    0 the same, 0.5 a known form, 0.6 a particle stuck to it, 0.8 a slip, 0.9 the beginning of it or of each of
+    its words, 1.2 its initials or two slips in a longer name, 1.3 a slip in a known form, 1.4 one initial.
+    """
+    if typed == given:
+        return 0.0
+    if typed in other:
+        return 0.5
+    if typed in {given + p for p in PARTICLES if len(p) == 2}:
+        return 0.6
+    e = edits(typed, given)
+    if e == 1 and min(len(typed), len(given)) >= 3:
+        return 0.8
+    for a, b in ((typed, given), (given, typed)):
+        if b.startswith(a) and (len(a) == 1 or len(a) > 2 or a == typed):
+            return 1.4 if len(a) == 1 else 0.9
+    t, g = typed.split(), given.split()
+    if len(g) > 1 and (t == [w[0] for w in g] or t == ["".join(w[0] for w in g)]):
+        return 1.2
+    if len(t) == len(g) > 1 and all(b.startswith(a) for a, b in zip(t, g)):
+        return 0.9
+    if e == 2 and min(len(typed), len(given)) >= 6:
+        return 1.2
+    if any(len(o) >= 4 and edits(typed, o) == 1 for o in other):
+        return 1.3
+    return None
+
+
+def reading_cost(name: str, given: str, families: list[str], other: tuple[str, ...]) -> tuple[float, str, str] | None:
+    """The cheapest way to read all words of ``name`` as this person: (cost, word of the family name, words of the given name).
+
+    Any word may be the family name and any run of the others the given name; words left over, words before
+    the given name and family words that are missing cost a little.
+    """
+    ws = name.split()
+    have = set(ws)
+    best = None
+    longest = max(3, len(given.split()) + 1)
+    for f in dict.fromkeys(ws):
+        costs = [c for t in families if (c := family_cost(f, t)) is not None]
+        if not costs:
+            continue
+        fc = min(costs)
+        missing = max(0, sum(t not in have for t in families) - (fc > 0))
+        i = ws.index(f)
+        left = [w for j, w in enumerate(ws) if j != i and (len(w) == 1 or w not in PARTICLES)]  # d and l may be initials
+        for s in range(len(left)):
+            for k in range(1, min(longest, len(left) - s) + 1):
+                gc = given_cost(" ".join(left[s : s + k]), given, other)
+                if gc is not None:
+                    cost = fc + gc + 0.3 * sum(w not in PARTICLES for w in left[:s] + left[s + k :]) + 0.25 * any(w not in PARTICLES for w in left[:s]) + 0.3 * missing
+                    if best is None or (cost, f) < best[:2]:
+                        best = (cost, f, " ".join(left[s : s + k]))
+    return best
+
+
+READING = StructType([StructField("cost", DoubleType()), StructField("f", StringType()), StructField("w", StringType())])
+
+
+@F.pandas_udf(READING)
+def read_as(name: pd.Series, spelling: pd.Series, other: pd.Series) -> pd.DataFrame:
+    """``reading_cost`` of each pair; a spelling is given name | family words, other forms are parted by |. Null beyond ``MOST``."""
+    out = []
+    for n, sp, o in zip(name, spelling, other):
+        g, _, fs = sp.partition("|")
+        r = reading_cost(n, g, fs.split(), tuple(o.split("|")) if o else ())
+        out.append(r if r and r[0] <= MOST else (None, None, None))
+    return pd.DataFrame(out, columns=["cost", "f", "w"])
+
+
+def word_keys(word: Column) -> Column:
+    """Hashes under which a family word meets those that a slip may have made of it: of the word, and of what is left when a letter is taken out."""
+    return F.transform(F.when(F.length(word) >= SLIP_LETTERS, deletions(word)).otherwise(F.array(word)), lambda x: F.xxhash64(x))
+
+
+def name_keys(names: DataFrame) -> DataFrame:
+    """(k, n, f) of every word of ``names.n`` that may be a family name: each beside at least one more."""
+    d = names.select("n").filter(F.col("n").contains(" ")).select("n", F.explode(F.array_distinct(split_words(F.col("n")))).alias("f"))
+    return d.select(F.explode(word_keys(F.col("f"))).alias("k"), "n", "f")
+
+
+def spelling_keys(spellings: DataFrame) -> DataFrame:
+    """(k, sp, t) of every family word of ``spellings.sp``."""
+    d = spellings.select("sp").distinct().select("sp", F.explode(F.array_distinct(split_words(F.substring_index("sp", "|", -1)))).alias("t"))
+    return d.select(F.explode(word_keys(F.col("t"))).alias("k"), "sp", "t")
+
+
+def matches(keys: DataFrame, spellings: DataFrame, nicks: DataFrame) -> DataFrame:
+    """(n, sp, cost, f, w): the spellings ``spellings.sp`` that the names of ``keys`` can be read as.
+
+    Names and spellings, each different one once, meet under a word of their family names in one join. A
+    family name that a large part of all names bears meets only its different spellings, one a given name.
     """
-    d = names.select("n").distinct().withColumn("ws", split_words(F.col("n"))).filter(F.size("ws").between(2, NAME_WORDS))
-    d = d.select("n", "ws", F.posexplode("ws").alias("i", "f")).filter(F.length("f") >= FAMILY_LETTERS)
-    left = F.filter(F.col("ws"), lambda x, j: (j != F.col("i")) & ~x.isin(PARTICLES))
-    d = d.withColumn("left", left).filter(F.size("left") > 0)
-    starts = F.sequence(F.lit(1), F.size("left"))
-    runs = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("left") - s + 1)), lambda k: F.struct(F.array_join(F.slice(F.col("left"), s, k), " ").alias("w"), (F.size("left") - k).alias("extra"), (s > 1).cast("int").alias("late")))))
-    return d.select("n", "f", F.inline(runs))
+    x = keys.join(spelling_keys(spellings), "k")
+    e = F.levenshtein(F.col("f"), F.col("t"), 2)
+    x = x.filter(F.when(F.col("f") == F.col("t"), F.col("k") == F.xxhash64("f")).otherwise(e >= 0)).select("n", "sp").distinct()
+    x = x.withColumn("g", F.substring_index("sp", "|", 1)).join(nicks, "g", "left")
+    return x.withColumn("r", read_as("n", "sp", F.coalesce("other", F.lit("")))).filter(F.col("r.cost").isNotNull()).select("n", "sp", "r.*")

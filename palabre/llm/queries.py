@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .bpe import encode_corpus
-from .canonical import map_column, reference
+from .canonical import learn_forms, map_column, map_values, reference
 from .glyphs import consistent_text, suspect
-from .identities import spelling_links
+from .identities import entities, link_people, spelling_links
 from .linkage import link_sources
 from .mixing import mixture, shares
 from .spam_pages import score_documents, spam_pages
@@ -19,146 +21,24 @@ from .survivors import Field, best_values
 OUTCOMES = "elimine_conseil abandon_medical elimine_orientation vainqueur elimine_epreuve finaliste elimine_poteaux elimine_ambassadeurs abandon_volontaire elimine_destins_lies elimine_duel disqualifie elimine_exil".split()
 
 
-# What people call the occupations of the list.
-JOB_SYNONYMS = {
-    "Sapeur-pompier": ["pompier", "pompier pro", "sapeur pompier professionnel"],
-    "Gendarme": ["sous off gendarmerie", "gendarme mobile"],
-    "Policier municipal": ["policier munic", "police municipale"],
-    "Agent de sécurité": ["vigile", "agent secu"],
-    "Maître-nageur sauveteur": ["maitre nageur", "mns"],
-    "Ambulancier": ["chauffeur ambulance"],
-    "Militaire de carrière": ["engage dans l armee", "militaire"],
-    "Douanier": ["agent des douanes"],
-    "Coach sportif": ["coach de sport", "coach perso", "coach"],
-    "Éducateur sportif": ["educ sportif"],
-    "Moniteur de ski": ["prof de ski", "mono de ski"],
-    "Moniteur d'escalade": ["mono d escalade"],
-    "Professeur de danse": ["prof de danse"],
-    "Professeur de yoga": ["prof de yoga"],
-    "Guide de haute montagne": ["guide haute mont"],
-    "Cordiste": ["technicien cordiste"],
-    "Infirmier": ["ide", "infirmier diplome d etat", "infirmiere liberale"],
-    "Aide-soignant": ["as en clinique"],
-    "Kinésithérapeute": ["kine", "masseur kine"],
-    "Ostéopathe": ["osteo"],
-    "Médecin généraliste": ["docteur generaliste", "medecin"],
-    "Pharmacien": ["pharma"],
-    "Psychologue": ["psy"],
-    "Orthophoniste": ["ortho"],
-    "Sage-femme": ["sage femme liberale"],
-    "Opticien": ["optic lunetier", "opticien lunetier"],
-    "Vétérinaire": ["veto"],
-    "Professeur des écoles": ["instit", "instituteur", "prof des ecoles"],
-    "Professeur d'anglais": ["prof d anglais"],
-    "Professeur de mathématiques": ["prof de maths"],
-    "Assistant d'éducation": ["pion"],
-    "Auxiliaire de puériculture": ["aux puericulture"],
-    "Éducateur spécialisé": ["educ spe"],
-    "Formateur": ["formateur pour adultes"],
-    "Vendeur": ["vendeur en magasin"],
-    "Commercial": ["commercial terrain", "vrp"],
-    "Agent immobilier": ["agent immo"],
-    "Gérant de magasin": ["gerant d une boutique"],
-    "Libraire": ["libraire independant"],
-    "Fleuriste": ["artisan fleuriste"],
-    "Hôte de caisse": ["caissier"],
-    "Antiquaire": ["brocanteur antiquaire"],
-    "Boulanger": ["artisan boulanger"],
-    "Pâtissier": ["chef patissier"],
-    "Boucher-charcutier": ["boucher"],
-    "Cuisinier": ["cuistot", "chef cuistot"],
-    "Serveur": ["serveur en brasserie"],
-    "Barman": ["chef barman", "barmaid"],
-    "Restaurateur": ["patron de restaurant"],
-    "Poissonnier": ["marchand de poissons"],
-    "Maçon": ["macon coffreur"],
-    "Charpentier": ["compagnon charpentier"],
-    "Couvreur": ["couvreur zingueur"],
-    "Électricien": ["elec batiment"],
-    "Plombier-chauffagiste": ["plombier"],
-    "Menuisier": ["menuisier alu"],
-    "Paysagiste": ["jardinier paysagiste"],
-    "Conducteur de travaux": ["cond travaux"],
-    "Architecte": ["archi"],
-    "Géomètre": ["geometre topographe"],
-    "Agriculteur": ["exploitant agricole"],
-    "Éleveur de chevaux": ["eleveur equin"],
-    "Éleveur d'abeilles": ["producteur de miel", "eleveur abeilles"],
-    "Viticulteur": ["vigneron"],
-    "Marin-pêcheur": ["pecheur en mer"],
-    "Ostréiculteur": ["eleveur d huitres"],
-    "Bûcheron": ["bucheron elagueur"],
-    "Chauffeur routier": ["routier", "chauffeur poids lourd"],
-    "Chauffeur de taxi": ["taxi"],
-    "Conducteur de train": ["cheminot conducteur"],
-    "Hôte de l'air": ["steward", "pnc"],
-    "Facteur": ["prepose au courrier"],
-    "Livreur": ["livreur a velo"],
-    "Assistant de direction": ["assist direction"],
-    "Secrétaire médical": ["secr medicale"],
-    "Comptable": ["aide comptable"],
-    "Expert-comptable": ["expert comptable stagiaire"],
-    "Conseiller bancaire": ["conseiller en banque", "banquier conseil"],
-    "Chargé de communication": ["charge de com", "resp com"],
-    "Responsable des ressources humaines": ["rrh", "resp rh"],
-    "Chef de projet": ["chef de proj"],
-    "Développeur informatique": ["programmeur", "dev info"],
-    "Ingénieur en aéronautique": ["ing aeronautique"],
-    "Ingénieur agronome": ["ing agronome"],
-    "Avocat": ["avocat au barreau"],
-    "Notaire": ["notaire associe"],
-    "Huissier de justice": ["huissier"],
-    "Comédien": ["comedien de theatre"],
-    "Musicien": ["musicien de rue"],
-    "Photographe": ["photographe animalier"],
-    "Journaliste": ["journaliste radio"],
-    "Tatoueur": ["artiste tatoueur"],
-    "Esthéticien": ["esthet en institut"],
-    "Styliste": ["styliste modeliste"],
-    "Étudiant en droit": ["etud droit"],
-    "Étudiant en médecine": ["etud medecine", "carabin"],
-    "Étudiant en commerce": ["etud ecole de commerce"],
-    "Retraité": ["en retraite"],
-    "Mère au foyer": ["maman au foyer"],
-    "Chef d'entreprise": ["entrepreneur", "pdg de sa boite"],
-    "Ouvrier d'usine": ["ouvrier a la chaine"],
-    "Mécanicien automobile": ["mecano", "mecanicien auto"],
-    "Électromécanicien": ["electromeca"],
-    "Soudeur": ["chaudronnier soudeur"],
-    "Toiletteur canin": ["toilettage pour chiens"],
-}
 # Abbreviations in the names of places.
 PLACE_ABBREVIATIONS = {"st": "saint", "ste": "sainte", "hte": "haute", "ht": "haut", "bsse": "basse", "bse": "basse", "vx": "vieux", "dep": "departement", "mts": "monts"}
 
-# Nicknames known beforehand, each with its given name; more are learned from the data.
-NICKNAMES = """
-am:amelie anso:anne-sophie babeth:elisabeth bastien:sebastien ben:benoit bebert:bertrand bene:benedicte cam:camille camou:camille
-caro:caroline cath:catherine cathy:catherine ced:cedric cha:charlotte chris:christophe cilla:priscilla clem:clementine dom:dominique
-doume:dominique fab:fabien fanch:francois fanfan:francoise fanny:stephanie fifi:philippe fred:frederic fredo:frederic gaby:gabrielle
-ginie:virginie greg:gregory guigui:guillaume guill:guillaume helo:heloise isa:isabelle jl:jean-luc jp:jean-pierre jean-pi:jean-pierre
-jeannot:jean-luc jo:josephine jose:josephine juju:julie jul:julie je:jerome laeti:laetitia laurence:laurent lisbeth:elisabeth
-lolo:laurent lolo:elodie lotte:charlotte ludi:ludivine ludo:ludovic ml:marie-laure malaure:marie-laure manu:emmanuel marco:marc-antoine
-marie-clo:marie-claude math:mathilde matt:mathieu max:maxime mick:mickael mika:mickael milie:emilie mina:yasmina melie:amelie
-nat:nathalie nath:nathalie nico:nicolas nono:noemie oliv:olivier py:pierre-yves pat:patrick phil:philippe popo:pauline
-pris:priscilla quent:quentin rafa:raphael raph:raphael rom:romain sacha:alexandre sandra:alexandra sandy:sandrine seb:sebastien
-steph:stephane steph:stephanie titia:laetitia tof:christophe tom:thomas tonio:antoine toto:thomas tris:tristan val:valerie
-val:valentin valou:valerie vaness:vanessa vince:vincent virg:virginie vero:veronique will:william xav:xavier yas:yasmina
-yo:yohann zac:zacharie zaza:isabelle elo:elodie alex:alexandra alex:alexandre
-"""
-
-
-def _nicknames() -> list[tuple[str, str]]:
-    return [tuple(x.replace("-", " ").split(":")) for x in NICKNAMES.split()]
-
-
 def _jobs_and_places(spark: SparkSession, d: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     return reference(table(spark, d, "ref_metiers"), "code", "libelle"), reference(table(spark, d, "ref_lieux"), "code", "libelle")
 
 
+def _job_forms(spark: SparkSession, d: str, jobs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """What people of `participations` call the occupations: learned from their other rows."""
+    p = table(spark, d, "participations").select("id", "profession").dropna().distinct()
+    first = cut(map_values(p.select(F.col("profession").alias("v")), jobs, genders=True))
+    return learn_forms(p, ["id"], "profession", first, jobs)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     jobs, places = _jobs_and_places(spark, d)
     p = table(spark, d, "participations")
-    job = map_column(p, "ligne", "profession", jobs, synonyms=JOB_SYNONYMS, genders=True)
+    job = map_column(p, "ligne", "profession", jobs, synonyms=_job_forms(spark, d, jobs), genders=True)
     return job.unionByName(map_column(p, "ligne", "localisation", places, abbreviations=PLACE_ABBREVIATIONS))
 
 
@@ -171,7 +51,14 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "participations").select("ligne", "saison", "id", "nom", "nom_complet")
     councils = table(spark, d, "conseils").select("ligne", "saison", "elimine", "elimine_rattache")
-    return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"), _nicknames())
+    return spelling_links(part, councils, table(spark, d, "personnes").select("id", "nom", "prenom"))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The person of every participation, listed or not: spellings of an unlisted person in a season share an entity."""
+    part = table(spark, d, "participations").select("saison", "id", "nom", "nom_complet")
+    people, _, targets, nicks = link_people(part, table(spark, d, "personnes").select("id", "nom", "prenom"))
+    return entities(people, targets.select("g").distinct(), nicks).groupBy("saison", "id").agg(F.min("ent").alias("entite"), F.max("pid").isNotNull().alias("connu"))
 
 
 def p3_links(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +67,8 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name, *cols: table(spark, d, name).select(*cols)
     return link_sources(
         t("participations", "saison", "id", "nom", "nom_complet", "age", "profession", "localisation", "genre"), t("fiches_wiki", "fiche", "edition", "libelle", "age", "metier", "ville", "genre"),
-        t("personnes", "id", "nom", "prenom"), t("saisons", "id", "numero", "titre", "annee"), jobs, places, {"synonyms": JOB_SYNONYMS, "genders": True}, {"abbreviations": PLACE_ABBREVIATIONS}, _nicknames(),
+        t("personnes", "id", "nom", "prenom"), t("saisons", "id", "numero", "titre", "annee"),
+        partial(map_values, entries=jobs, synonyms=_job_forms(spark, d, jobs), genders=True), partial(map_values, entries=places, abbreviations=PLACE_ABBREVIATIONS),
     )
 
 
@@ -233,7 +121,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
-    "p2_found": p2_found, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
 
