@@ -11,7 +11,9 @@ part of its characters.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +38,26 @@ SPAM = {"ex": -1.0, "lk": 1.0, "rp": 1.0}
 FLOOR = {"ex": 0.06, "fw": 0.06, "lk": 0.02, "sp": 0.06, "rp": 0.03, "en": 0.03}  # least standard deviation taken
 PASSAGE_WORDS = 12  # lines shorter than this without an end of sentence are read with the next
 STEPS = 3  # concentration steps
-KEEP = 0.75  # share of passages that a step keeps
+KEEP = 0.5  # share of passages that a step keeps: up to half of a language's may be anything
 CUT = 22.46  # quantile 0.999 of chi squared with 6 degrees of freedom
+# By how much the covariance of the nearer half of normal data is less than of all, for 1 to 6 features that vary.
+CONSISTENT = [7.0, 3.26, 2.45, 2.11, 1.92, 1.785]
+RELATED = 0.95  # part of a correlation that is kept, so that features that go together in all passages can be told apart from none
 AHEAD = 3.5  # robust standard deviations in one of the directions
-TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-RUN = regex.compile(r"[^\p{L}\p{M}\p{Zs}'’-]+")
+OTHER = "xx"  # language of sentences that hold next to no function words of a known one
+KNOWN = 0.2  # least part of function words in writing of a known language
+OFTEN = 4  # times from which a pair of words counts as repeated
+COMMONEST = 0.15  # most that one word makes up of writing in any language
+CELLS = 1000  # cells of the grid on which medians and limits are counted
+FAR = 200.0  # squared distances beyond are counted as this one
+TOKEN = re.compile(r"[^\W\d_]+")
+WORDS_AND_MARKS = re.compile(r"[^\W\d_]+|(?:[^\w\s'’-]|[\d_\n])+")
 LINKISH = regex.compile(r"https?://\S+|www\.\S+|\b[\p{L}\p{N}-]+\.(?:\p{L}{2,}\.)?[\p{L}]{3,}(?:/\S*)?\b|<[^<>]*>|\]\(|[#＃]\w+|\b\p{Lu}{2,}-?\p{N}{3,}\b|\p{N}+[.,]\p{N}{2}\s?[€$£]|[|»•·→►★]", regex.IGNORECASE)
-LINKED = regex.compile(r"[#＃<|»•·→►★€$£\[]|\w[.]\w|\p{N}{3}")  # what any of these holds
-SEPARATOR = regex.compile(r"[,;|»•·/*→►★\n]|\s[-–]\s|#")
-ENDED = regex.compile(r"[.!?…][\s\"'»”)\]]*$")
-SENTENCE = regex.compile(r"(?<=[.!?…][\"'»”)]?)\s+(?=[\p{Lu}«\"“¿¡—–(])")
+LINKED = re.compile(r"[#＃<|»•·→►★€$£\[]|\w[.]\w|\d{3}")  # what any of these holds
+SEPARATOR = re.compile(r"[,;|»•·/*→►★\n]|\s[-–]\s|#")
+ENDED = re.compile(r"[.!?…][\s\"'»”)\]]*$")
+SENTENCE = regex.compile(r"(?<=[.!?…][\"'»”)]?)\s+(?=[\p{Lu}«\"“¿¡—–(])|(?<=\p{Ll}[.!?…])(?=\p{Lu}\p{Ll})")
+LINES = re.compile(r"[\r\n]+")
 
 
 def passages(text: str) -> list[str]:
@@ -53,11 +65,11 @@ def passages(text: str) -> list[str]:
     out: list[str] = []
     held: list[str] = []
     n = 0
-    for line in regex.split(r"[\r\n]+", text):
+    for line in LINES.split(text):
         for piece in SENTENCE.split(line):
             if not piece.strip():
                 continue
-            if ENDED.search(piece):
+            if ENDED.search(piece[-12:]):
                 if held:
                     out.append("\n".join(held))
                     held, n = [], 0
@@ -73,39 +85,70 @@ def passages(text: str) -> list[str]:
     return out
 
 
-def language(words: list[str]) -> str:
-    n = {k: sum(w in s for w in words) for k, s in FUNCTION_SETS.items()}
-    return max(n, key=lambda k: (n[k], k))
+def language(often: Counter, sentences: float) -> str:
+    """The known language most of whose function words stand in the text; ``OTHER`` where these are too few and most of the text is sentences that don't turn on one word."""
+    n = {k: sum(often[w] for w in s if w in often) for k, s in FUNCTION_SETS.items()}
+    top = max(n, key=lambda k: (n[k], k))
+    total = often.total()
+    unknown = sentences > 0.5 and n[top] < KNOWN * total and max(often.values()) <= max(2, COMMONEST * total)
+    return OTHER if unknown else top
+
+
+def _split(piece: str) -> tuple[list[str], list[str], list[tuple[str, str]], list[bool]]:
+    """Words, words in lower case, neighbours in lower case, and for each word whether a mark of punctuation stands before it."""
+    parts = WORDS_AND_MARKS.findall(piece)
+    words, starts, new = [], [], True
+    for x in parts:
+        if x[0].isalpha():
+            words.append(x)
+            starts.append(new)
+            new = False
+        else:
+            new = True
+    low = " ".join(words).lower().split(" ") if words else []
+    if len(low) != len(words):
+        low = [w.lower() for w in words]
+    return words, low, [p for p, s in zip(zip(low, low[1:]), starts[1:]) if not s], starts
 
 
 def features(text: str) -> tuple[str, list[tuple[int, list[float]]]]:
-    """Language by function words, and size and features of each passage."""
-    pieces = passages(text)
-    runs = [[TOKEN.findall(r) for r in RUN.split(p)] for p in pieces]  # words between marks of punctuation
-    tokens = [[w for r in rs for w in r] for rs in runs]
-    lower = [[w.lower() for w in t] for t in tokens]
-    lang = language([w for t in lower for w in t])
-    own = FUNCTION_SETS[lang]
-    often = Counter(w for t in lower for w in t)
-    pair_runs = [[p for r in rs for p in zip([w.lower() for w in r], [w.lower() for w in r[1:]])] for rs in runs]
-    pairs = Counter(p for ps in pair_runs for p in ps)
+    """Language by function words, and size and features of each different passage.
+
+    A passage that stands on the page many times is one passage of that many characters, and counts less than ``OFTEN`` times among the
+    repeated pairs of words: copies of a sentence alone don't make a page of keywords.
+    """
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    times = Counter(passages(text))
+    cut = {p: _split(p) for p in times}
+    often: Counter = Counter()
+    pairs: Counter = Counter()
+    for p, (_, low, ps, _) in cut.items():
+        often.update(low)
+        for _ in range(min(OFTEN - 1, times[p])):
+            pairs.update(ps)
+    ended = sum(len(p) for p in times if ENDED.search(p[-12:]) and len(cut[p][0]) >= 4)
+    lang = language(often, ended / max(1, sum(map(len, times))))
+    own = FUNCTION_SETS.get(lang, frozenset())
     out = []
-    for piece, rs, low, ps in zip(pieces, runs, lower, pair_runs):
-        size = sum(not c.isspace() for c in piece)
+    for piece, (words, low, ps, starts) in cut.items():
+        size = len("".join(piece.split()))
         n = len(low)
         if not n:
-            out.append((size, [0.0, 0.0, 1.0, 1.0, 0.0, 1.0]))
+            out.append((size * times[piece], [0.0, 0.0, 1.0, 1.0, 0.0, 1.0]))
             continue
         linked = sum(len(m.group()) for m in LINKISH.finditer(piece)) if LINKED.search(piece) else 0
         function = sum(w in own for w in low)
         explained = function
-        for r in rs:  # names stand in pairs of capitalised words that the page doesn't keep repeating
-            name = [len(w) > 1 and w[0].isupper() and w[1:].islower() and often[w.lower()] <= 2 for w in r]
-            explained += sum(a and ((i > 0 and name[i - 1]) or (i + 1 < len(r) and name[i + 1])) and r[i].lower() not in own for i, a in enumerate(name))
+        # names stand in pairs of capitalised words that the page doesn't keep repeating
+        name = [w.istitle() and len(w) > 1 and often[x] <= 2 for w, x in zip(words, low)]
+        if True in name:
+            beside = [a and b and not s for a, b, s in zip(name, name[1:], starts[1:])]
+            explained += sum(a and (x or y) and w not in own for a, x, y, w in zip(name, [False, *beside], [*beside, False], low))
         counts = Counter(low)
         entropy = -sum(v / n * math.log(v / n) for v in counts.values()) / math.log(n) if n > 1 else 1.0
-        repeated = sum(pairs[p] >= 4 for p in ps) / max(1, len(ps))
-        out.append((size, [explained / n, function / n, min(1.0, linked / max(1, size)), min(1.0, len(SEPARATOR.findall(piece)) / n), repeated, entropy]))
+        repeated = sum(pairs[p] >= OFTEN for p in ps) / max(1, len(ps))
+        out.append((size * times[piece], [explained / n, function / n, min(1.0, linked / max(1, size)), min(1.0, len(SEPARATOR.findall(piece)) / n), repeated, entropy]))
     return lang, out
 
 
@@ -143,6 +186,7 @@ def _by_language(fit: dict[str, tuple[np.ndarray, np.ndarray]], what: str) -> Co
     for lang, (m, c) in sorted(fit.items()):
         floor = np.array([FLOOR[f] for f in FEATURES])
         c = c + np.diag(np.maximum(0.0, floor**2 - np.diag(c)))
+        c = RELATED * c + (1 - RELATED) * np.diag(np.diag(c))
         z = [F.col(f) - F.lit(float(m[i])) for i, f in enumerate(FEATURES)]
         if what == "d2":
             inv = np.linalg.inv(c)
@@ -153,28 +197,42 @@ def _by_language(fit: dict[str, tuple[np.ndarray, np.ndarray]], what: str) -> Co
     return out
 
 
+def _quantiles(df: DataFrame, columns: list[str], most: float, q: float) -> dict[tuple[str, str], float]:
+    """The ``q`` quantile of each column by language, exact on a grid of ``CELLS`` cells from 0 to ``most``: at most that many counts of each come to the driver."""
+    cell = lambda c: F.least(F.lit(CELLS), F.ceil(F.col(c) * F.lit(CELLS / most)).cast("int"))
+    long = df.select("lang", F.inline(F.array(*[F.struct(F.lit(c).alias("c"), cell(c).alias("at")) for c in columns])))
+    by: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+    for r in long.groupBy("lang", "c", "at").agg(F.count("*").alias("n")).collect():
+        by[r["lang"], r["c"]].append((r["at"], r["n"]))
+    out = {}
+    for k, counts in by.items():
+        left = q * sum(n for _, n in counts)
+        for at, n in sorted(counts):
+            left -= n
+            if left <= 0:
+                out[k] = at * most / CELLS
+                break
+    return out
+
+
 def fit(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centre and covariance of the central part of each language's passages.
 
-    Starts from medians; each step keeps the ``keep`` nearest passages and fits them anew. The covariance
-    is scaled so that the median distance is that of chi squared.
+    Starts from medians; each step keeps the ``keep`` nearest passages and fits them anew. The covariance of
+    the half kept last is scaled to that of all passages were they normal, by the number of features that
+    vary, so passages that are no writing don't widen it. Nothing depends on order or partitions.
     """
-    start = {}
-    med = [F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]
-    for r in rows.groupBy("lang").agg(*med).collect():
-        start[r["lang"]] = (np.array([r[f] for f in FEATURES]), np.diag([(2 * FLOOR[f]) ** 2 for f in FEATURES]))
-    now = start
+    med = _quantiles(rows, FEATURES, 1.0, 0.5)
+    now = {k: (np.array([med[k, f] for f in FEATURES]), np.diag([(2 * FLOOR[f]) ** 2 for f in FEATURES])) for k in sorted({k for k, _ in med})}
     for _ in range(steps):
         d = rows.withColumn("d2", _by_language(now, "d2"))
-        limits = {r["lang"]: float(r["q"]) for r in d.groupBy("lang").agg(F.percentile_approx("d2", keep, 2000).alias("q")).collect()}
         bound = F.lit(0.0)
-        for lang, q in sorted(limits.items()):
+        for (lang, _), q in sorted(_quantiles(d, ["d2"], FAR, keep).items()):
             bound = F.when(F.col("lang") == lang, F.lit(q)).otherwise(bound)
-        now = _moments(d.filter(F.col("d2") <= bound))
-    d = rows.withColumn("d2", _by_language(now, "d2"))
-    median = {r["lang"]: float(r["q"]) for r in d.groupBy("lang").agg(F.percentile_approx("d2", 0.5, 2000).alias("q")).collect()}
-    chi_median = 5.348  # of chi squared with 6 degrees of freedom
-    return {k: (m, c * max(0.25, median[k] / chi_median)) for k, (m, c) in now.items()}
+        now |= _moments(d.filter(F.col("d2") <= bound))
+    floor = np.array([FLOOR[f] for f in FEATURES])
+    varying = {k: max(1, int((np.diag(c) > 0.05 * floor**2).sum())) for k, (_, c) in now.items()}
+    return {k: (m, c * CONSISTENT[varying[k] - 1]) for k, (m, c) in now.items()}
 
 
 def score_documents(docs: DataFrame, doc_id: str, text: str, threshold: float = CUT) -> DataFrame:

@@ -274,3 +274,32 @@ def test_spam_is_told_from_writing(spark):
     n = len(prose) + len(cast)
     assert got == {*range(n, n + len(spam)), 903}
     assert spam_pages.spam_pages(d.limit(0), "doc_id", "text").count() == 0
+
+
+PARTS = {
+    "fr": ["le camp rouge|la plus jeune du groupe|un ancien pompier|mon équipe|le vent du nord|cette alliance|la pêche du matin|son meilleur ami".split("|"), "n'a pas pu garder|a perdu|cherche depuis l'aube|veut cacher|a retrouvé avec joie|ne quitte plus|aurait aimé voir|partage".split("|"), "le feu de la veille|les restes du repas|une boîte pleine de riz|son avance sur les autres|la clé du coffre|un peu de calme|le sac de toile|ses deux bulletins".split("|"), "au bord de la rivière|pendant que la pluie tombe|avant le vote du soir|sans rien dire à personne|et tout le monde le sait|sous les arbres de la plage|comme à chaque fois|pour la dernière épreuve".split("|")],
+    "it": ["il gruppo rosso|la più giovane tra loro|un vecchio pompiere|mia cugina|il vento di ieri|questa intesa|la pesca mattutina|quel ragazzo".split("|"), "non riesce a tenere|perde ancora|cerca fin dall'alba|vuole nascondere|ritrova con gioia|non lascia più|vorrebbe vedere|divide".split("|"), "il fuoco della notte|gli avanzi della cena|una scatola piena di riso|il vantaggio sugli altri|la chiave del forziere|un po' di calma|il sacco di tela|i suoi biglietti".split("|"), "lungo il fiume|mentre piove forte|prima della votazione|senza dirlo agli altri|e ognuno lo sa bene|sotto gli alberi della spiaggia|come ogni volta|per l'ultima prova".split("|")],
+}
+
+
+def _page(rng, lang):
+    """Three to seven different sentences."""
+    cols = [rng.sample(x, 7) for x in PARTS[lang]]
+    return " ".join(" ".join(c[i] for c in cols).capitalize() + "." for i in range(rng.randint(3, 7)))
+
+
+def test_a_third_of_spam_does_not_mask_itself(spark):
+    rng = random.Random(8)
+    goods = "tente sac lampe couteau gourde poncho hamac collier promo soldes avis gratuit officiel".split()
+    prose = [_page(rng, "fr") for _ in range(200)]
+    lists = [", ".join(f"{rng.choice(goods)} {rng.choice(goods)}" for _ in range(rng.randint(20, 40))) for _ in range(100)]
+    d = spark.createDataFrame(list(enumerate(prose + lists)), "doc_id int, text string")
+    got = {r["doc_id"] for r in spam_pages.spam_pages(d, "doc_id", "text").collect()}
+    assert got == set(range(200, 300))
+    assert {r["doc_id"] for r in spam_pages.spam_pages(d.repartition(7), "doc_id", "text").collect()} == got
+
+
+def test_writing_in_a_language_that_is_not_known_is_no_spam(spark):
+    rng = random.Random(9)
+    d = spark.createDataFrame(list(enumerate([_page(rng, "fr") for _ in range(150)] + [_page(rng, "it") for _ in range(20)])), "doc_id int, text string")
+    assert spam_pages.spam_pages(d, "doc_id", "text").count() == 0
