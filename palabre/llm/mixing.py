@@ -8,7 +8,7 @@ and the documents of the smallest ranks are taken until the rest of the quota is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -69,33 +69,27 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: s
     odds = F.log(u / (F.lit(1.0) - u)) - F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
     rank = F.when(F.col("p") <= 0, F.lit(RANKS)).when(F.col("p") >= 1, F.lit(-RANKS)).otherwise(F.greatest(F.lit(-RANKS), F.least(F.lit(RANKS), odds)))
     d = d.withColumn("p", p).withColumn("rank", rank)
-    taken = _cut_by_rank(d, [r for r in rows if r["rest"] > 0])
-    k = F.col("base") + taken
-    return d.withColumn("copies", k.cast("int")).filter(F.col("copies") > 0).select(F.col("doc_id").alias(doc_id), "source", "n_tokens", "copies")
+    d = _cut_by_rank(d, [r for r in rows if r["rest"] > 0])
+    return d.withColumn("copies", (F.col("base") + F.col("taken")).cast("int")).filter(F.col("copies") > 0).select(F.col("doc_id").alias(doc_id), "source", "n_tokens", "copies")
 
 
-def _per_source(values: dict[str, float], default: float) -> Column:
-    out = F.lit(default)
-    for s, v in sorted(values.items()):
-        out = F.when(F.col("source") == s, F.lit(float(v))).otherwise(out)
-    return out
-
-
-def _cut_by_rank(d: DataFrame, rows: list[dict]) -> Column:
-    """Column that is 1 for the documents of the smallest ranks of a source whose tokens fill its rest.
+def _cut_by_rank(d: DataFrame, rows: list[dict]) -> DataFrame:
+    """``d`` with ``taken``: 1 for the documents of the smallest ranks of a source whose tokens fill its rest, else 0.
 
     The cut is found by counting: tokens by cell of the rank, then by cell within the one where the rest
-    fills up. At most ``LEVEL`` counts of each source are brought to the driver, however large the source.
+    fills up. At most ``LEVEL`` counts of each source are brought to the driver, however large the source;
+    what goes back is one row a source.
     """
+    spark = d.sparkSession
     span = {r["source"]: (-RANKS, RANKS) for r in rows}
     left = {r["source"]: float(r["rest"]) for r in rows}
     bound: dict[str, float] = {}
     for level in range(LEVELS):
         if not span:
             break
-        lo, hi = _per_source({s: a for s, (a, _) in span.items()}, 0.0), _per_source({s: b for s, (_, b) in span.items()}, 0.0)
-        inside = d.filter((F.col("rank") >= lo) & (F.col("rank") < hi))
-        cell = F.least(F.lit(LEVEL - 1), F.floor((F.col("rank") - lo) / (hi - lo) * F.lit(LEVEL)).cast("int"))
+        spans = spark.createDataFrame([(s, float(a), float(b)) for s, (a, b) in sorted(span.items())], "source string, lo double, hi double")
+        inside = d.join(F.broadcast(spans), "source").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))  # at most SOURCES_MAX rows
+        cell = F.least(F.lit(LEVEL - 1), F.floor((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(LEVEL)).cast("int"))
         by: dict[str, list[tuple[int, int, int]]] = {s: [] for s in span}
         for r in inside.groupBy("source", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect():
             by[r["source"]].append((r["cell"], int(r["n"]), int(r["docs"])))
@@ -114,7 +108,8 @@ def _cut_by_rank(d: DataFrame, rows: list[dict]) -> Column:
                 bound[s] = b
             if s in bound:
                 del span[s]
-    return F.when((F.col("rest") > 0) & (F.col("rank") < _per_source(bound, -RANKS)), F.lit(1)).otherwise(F.lit(0))
+    bounds = spark.createDataFrame([(s, float(b)) for s, b in sorted(bound.items())], "source string, bound double")
+    return d.join(F.broadcast(bounds), "source", "left").withColumn("taken", ((F.col("rest") > 0) & F.coalesce(F.col("rank") < F.col("bound"), F.lit(False))).cast("int")).drop("bound")
 
 
 def shares(taken: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
@@ -76,10 +76,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_links(spark, d).select("saison", "id", "fiche")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _survivors(spark: SparkSession, d: str, hidden: Column | None = None) -> DataFrame:
+    """Best age, jour_sortie and sort of each (saison, id); rows where ``hidden`` holds count as without time."""
     p = table(spark, d, "participations").filter(F.col("retire_le").isNull()).select("ligne", "saison", "id", "age", "jour_sortie", "sort", "sources", "maj")
-    days = table(spark, d, "saisons").select(F.col("id").alias("saison"), "duree_jours")
+    days = table(spark, d, "saisons").select(F.col("id").alias("saison"), "duree_jours", "speciale")
     rows = p.join(days, "saison", "left")
+    if hidden is not None:
+        rows = rows.withColumn("maj", F.when(~F.coalesce(hidden, F.lit(False)), F.col("maj")))
     fields = [
         Field("age", F.when(F.col("age").between(16, 80), F.col("age"))),
         Field("jour_sortie", F.when(F.col("jour_sortie").between(1, F.col("duree_jours")), F.col("jour_sortie"))),
@@ -88,6 +91,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best_values(rows, table(spark, d, "preference_sources"), ["saison", "id"], "ligne", "maj", "sources", fields)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d)
+
+
+def p4_untimed(spark: SparkSession, d: str) -> DataFrame:
+    """The same where the rows of special seasons have lost their times: their values are put in the order learned from the others."""
+    return _survivors(spark, d, F.col("speciale"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "participations").select("ligne", "nom", "nom_complet")
     long = p.select("ligne", F.inline(F.array(*[F.struct(F.lit(c).alias("champ"), F.col(c).alias("v")) for c in ("nom", "nom_complet")])))
@@ -104,7 +116,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(table(spark, d, "documents"), table(spark, d, "mix_cibles"))
+    """Documents of a stated language are twice as likely to be drawn as others."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", F.when(F.col("lang").isNull(), 0.5).otherwise(1.0).alias("poids"))
+    return mixture(docs, table(spark, d, "mix_cibles"), weight="poids")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +135,37 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
-    "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_untimed": p4_untimed, "p5_found": p5_found, "p5_consistent": p5_consistent, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores,
 }
 
-SQL: dict[str, str] = {}
+_USABLE = f"""
+    utile as (
+        select p.ligne, p.saison, p.id, p.maj, c.champ, c.v,
+            ' ' || trim(regexp_replace(strip_accents(lower(c.source)), '[^a-z0-9]+', ' ', 'g')) || ' ' as source
+        from participations p left join saisons s on s.id = p.saison,
+        lateral (values
+            ('age', case when p.age between 16 and 80 then cast(p.age as varchar) end, p.sources['age']),
+            ('jour_sortie', case when p.jour_sortie between 1 and s.duree_jours then cast(p.jour_sortie as varchar) end, p.sources['jour_sortie']),
+            ('sort', case when p.sort in ({", ".join(repr(x) for x in OUTCOMES)}) then p.sort end, p.sources['sort'])
+        ) c(champ, v, source)
+        where p.retire_le is null and c.v is not null
+    )"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+        with {_USABLE},
+        liste as (select champ, ' ' || trim(regexp_replace(strip_accents(lower(source)), '[^a-z0-9]+', ' ', 'g')) || ' ' as s, rang from preference_sources),
+        note as (select u.ligne, u.champ, arg_max(l.rang, length(l.s)) as rang from utile u join liste l on l.champ = u.champ and contains(u.source, l.s) group by all),
+        rangs as (select u.*, coalesce(n.rang, 2147483647) as rang from utile u left join note n using (ligne, champ)),
+        premiers as (select *, rank() over (partition by saison, id, champ order by rang, maj desc) as r from rangs),
+        mieux as (select *, rank() over (partition by saison, id, champ order by ligne) as q from premiers where r = 1),
+        tenue as (
+            select m.saison, m.id, m.champ, min(r.ligne) as ligne
+            from mieux m join rangs r on r.saison = m.saison and r.id = m.id and r.champ = m.champ and r.v = m.v group by all
+        ),
+        groupes as (select saison, id from participations where retire_le is null group by all having count(*) >= 2)
+        select t.saison, t.id, t.champ, t.ligne from tenue t join groupes g using (saison, id)""",
+    "p5_consistent": "",
+}
+del SQL["p5_consistent"]
