@@ -13,8 +13,6 @@ initials), and forms that are learned: words typed in rows of people whose other
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .names import edits
+from .names import edits, folded
 
 LEAST = 0.44  # least Jaccard similarity of a window and a form
 SURE = 0.7  # similarity from which no further check is made
@@ -39,12 +37,6 @@ PURE = 0.5  # a form is learned if the 90 % interval of the part of its people w
 SMALL = frozenset("a au aux d de des du en et l la le les".split())
 
 
-def folded(text: str) -> str:
-    """As functions.text.words, for the driver's side lists."""
-    t = unicodedata.normalize("NFKD", text.lower().replace("œ", "oe").replace("æ", "ae").replace("ß", "ss"))
-    return " ".join(re.findall(r"[^\W_]+", "".join(c for c in t if not unicodedata.combining(c))))
-
-
 def feminine(form: str) -> set[str]:
     """Feminine forms of folded French words, by ending: each word that has one takes it."""
     def one(w: str, eur: str) -> str:

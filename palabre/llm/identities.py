@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..session import cut
-from .names import PARTICLES, given_matches, matches, name_keys, name_text, nicknames, split_words, without_quoted
+from .names import PARTICLES, given_matches, matches, name_keys, nicknames, profiled, spelled, split_words
 
 MARGIN = 0.25  # by which the best match must be ahead of another person's
 AGAIN = 0.2  # cost of a match with a spelling taken over
@@ -31,13 +30,7 @@ def profiles(persons: DataFrame, pid: str, name: str, given: str) -> DataFrame:
 
     Particles are no family words unless the family name has no others.
     """
-    p = persons.select(F.col(pid).alias("pid"), words(F.col(name)).alias("n"), words(F.col(given)).alias("g")).filter(F.col("pid").isNotNull() & (F.col("n") != ""))
-    p = p.withColumn("g", F.when(F.coalesce("g", F.lit("")) == "", F.element_at(F.split("n", " "), 1)).otherwise(F.col("g")))
-    rest = F.when(F.concat(F.col("n"), F.lit(" ")).startswith(F.concat(F.col("g"), F.lit(" "))), F.substring(F.col("n"), F.length("g") + 2, F.length("n"))).otherwise(F.col("n"))
-    every = split_words(rest)
-    own = F.filter(every, lambda x: ~x.isin(PARTICLES))
-    fs = F.array_join(F.when(F.size(own) > 0, own).otherwise(every), " ")
-    return p.select("pid", "g", F.concat_ws("|", "g", fs).alias("sp")).filter(fs != "").distinct()
+    return persons.select(F.col(pid).alias("pid"), profiled(name, given).alias("x")).filter(F.col("pid").isNotNull() & F.col("x.sp").isNotNull()).select("pid", "x.*").distinct()
 
 
 def clear_best(candidates: DataFrame, by: list[str], who: str) -> DataFrame:
@@ -78,34 +71,31 @@ def resolve(names: DataFrame, targets: DataFrame, known: DataFrame) -> tuple[Dat
     round is one join of the names still open with what the profiles took over in the round before.
     """
     spellings = targets.groupBy(F.col("sp").alias("own")).agg(F.when(F.count("*") == 1, F.min("pid")).alias("pid"))
-    keys = cut(name_keys(names.select("n").distinct()))
+    names = cut(names.select("n").distinct())
     best = F.min(F.struct("cost", "f", "w")).alias("b")
     one = lambda m: m.groupBy("n", "own").agg(best).select("n", "own", "b.*")
     listed = targets.select("sp").distinct()
-    found = cut(one(matches(keys, listed, other_forms(known)).withColumnRenamed("sp", "own")))
-    learned = learned_forms(names.select("n").distinct().join(found.filter(F.col("cost") < EXPLAINED).select("n").distinct(), "n", "left_anti"), targets)
-    known = cut(known.select("nick", "given").union(learned).distinct())
+    found = cut(one(matches(name_keys(names), listed, other_forms(known)).withColumnRenamed("sp", "own")))
+    unexplained = names.join(found.filter(F.col("cost") < EXPLAINED).select("n").distinct(), "n", "left_anti")
+    known = cut(known.select("nick", "given").union(learned_forms(unexplained, targets)).distinct())
     forms = other_forms(known)
     linked = cut(clear_best(found, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
-    fresh, first = linked, True
+    fresh = linked
+    # the forms learned enrich every profile
+    again = one(matches(name_keys(unexplained), listed, forms).withColumnRenamed("sp", "own"))
     while True:
         # spellings of the names merged last that their profiles don't have yet
         spelled = fresh.filter(F.length("w") > 2).select(F.concat_ws("|", "w", "f").alias("sp"), "own").filter(F.col("sp") != F.col("own")).distinct()
-        if first:  # the forms learned enrich every profile
-            spelled = spelled.withColumn("more", F.lit(AGAIN)).unionByName(listed.select("sp", F.col("sp").alias("own"), F.lit(0.0).alias("more")))
-        else:
-            spelled = spelled.withColumn("more", F.lit(AGAIN))
-        still = keys.join(linked.select("n"), "n", "left_anti")
-        again = matches(still, spelled, forms).join(spelled, "sp").withColumn("cost", F.col("cost") + F.col("more")).select("n", "own", "cost", "f", "w")
-        open_ = found.join(linked.select("n"), "n", "left_anti").unionByName(again)
-        more = cut(one(open_))
-        fresh = cut(clear_best(more, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
-        found = more.unionByName(found.join(linked.select("n"), "n", "left_semi"))
-        first = False
+        still = names.join(linked.select("n"), "n", "left_anti")
+        more = matches(name_keys(still), spelled, forms).join(spelled, "sp").select("n", "own", (F.col("cost") + F.lit(AGAIN)).alias("cost"), "f", "w")
+        more = found.unionByName(more) if again is None else found.unionByName(more).unionByName(again)
+        again = None
+        found = cut(one(more))
+        fresh = cut(clear_best(found.join(linked.select("n"), "n", "left_anti"), ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
         if fresh.isEmpty():
             break
         linked = linked.unionByName(fresh)
-    return linked.select("n", "own", "pid"), cut(found.select("n", "own", "cost")), known
+    return linked.select("n", "own", "pid"), found.select("n", "own", "cost"), known
 
 
 def own_spellings(people: DataFrame, given: DataFrame) -> DataFrame:
@@ -183,9 +173,7 @@ def _among_group(labels: DataFrame, present: DataFrame, nicks: DataFrame) -> Dat
 
 def spell_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` with ``n``: the folded name of the first of ``columns`` that has at least two words, else of the first not empty."""
-    texts = [F.regexp_replace(name_text(without_quoted(F.col(c))), r"\s+", " ") for c in columns]
-    full = [F.when(F.contains(t, F.lit(" ")), t) for t in texts]
-    return rows.withColumn("n", F.coalesce(*full, *[F.when(t != "", t) for t in texts], F.lit("")))
+    return rows.withColumn("n", spelled(*columns))
 
 
 def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

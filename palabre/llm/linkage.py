@@ -195,11 +195,12 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     """
     c = cards.select("fiche", "edition", "libelle", F.when(F.col("age").between(16, 80), F.col("age")).alias("age"), "metier", "ville", F.when(F.lower(F.substring("genre", 1, 1)) == "f", "f").when(F.lower(F.substring("genre", 1, 1)) == "h", "h").alias("gender"))
     c = cut(spell_rows(c, ["libelle"]).filter(F.col("n") != "").dropDuplicates(["fiche"]))
-    people, _, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, c.select("n"))
+    people, found, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, c.select("n"))
     given = listed.select("g").distinct()
     people = entities(people, given, nicks)
     there = people.select("saison", "ent").distinct()
-    mine = listed.select(F.col("pid").alias("ent"), "g", "sp").unionByName(own_spellings(people.filter(F.col("pid").isNull()), given))
+    strangers = own_spellings(people.filter(F.col("pid").isNull()), given)
+    mine = listed.select(F.col("pid").alias("ent"), "g", "sp").unionByName(strangers)
     bears = cut(there.join(mine, "ent"))  # (saison, ent, g, sp) of those who took part
 
     # attributes of a person in a season, as sets bounded by their domains
@@ -216,9 +217,10 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     c = c.join(job_codes.select(F.col("v").alias("metier"), F.col("code").alias("job")), "metier", "left").join(place_codes.select(F.col("v").alias("ville"), F.col("code").alias("place")), "ville", "left")
     c = cut(c.select("fiche", "n", "typed", F.col("edition").isNull().alias("unsaid"), "age", "job", "place", "gender"))
 
-    # full names; a typed nickname may stand for the given name, or the given name for a nickname that is all that is known
-    forms = cut(other_forms(nicks, both=True))
-    full = matches(name_keys(c.select("n").distinct()), bears, forms).select("n", "sp", "cost")
+    # full names: candidates among the listed are known, those among others are found alike; a typed nickname may
+    # stand for the given name, or the given name for a nickname that is all that is known
+    others = matches(name_keys(c.select("n").distinct()), strangers, other_forms(nicks, both=True)).select("n", "sp", "cost")
+    full = found.withColumnRenamed("own", "sp").unionByName(others)
     a = c.select("fiche", "n", "typed").join(full, "n").join(bears.select("saison", "ent", "sp"), "sp").filter(F.col("typed").isNull() | (F.col("typed") == F.col("saison")))
     a = a.select("fiche", "saison", "ent", "cost", F.when(F.col("cost") <= 0.05, 0).when(F.col("cost") <= 1.0, 1).otherwise(2).alias("v_name"))
     # a given name, alone or with an initial: those who alone bear it in the season, or who agree in two attributes

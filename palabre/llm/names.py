@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import words
-from .glyphs import consistent_text
+from .glyphs import consistent, consistent_text
 
 PARTICLES = ["le", "la", "de", "du", "des", "d", "l", "van", "von"]
 SLIP_LETTERS = 4  # a shorter family word must be met letter for letter: one letter off, it is another name
 LONG_LETTERS = 7  # words from this length on may differ by two edits
 MOST = 2.9  # greatest cost of a match
+QUOTED = re.compile(r"[«“\"„][^»”\"]*[»”\"]")
+GLUED = regex.compile(r"(\p{Ll})(\p{Lu})")
 
 
-def name_text(c: Column) -> Column:
-    """Folded words of a name in its consistent form; words glued together are parted at an inner capital."""
-    c = F.regexp_replace(consistent_text(c), r"(\p{Ll})(\p{Lu})", "$1 $2")
-    return words(c)
+def folded(text: str) -> str:
+    """Words of a text in lower case, without accents, parted by single spaces."""
+    t = text.lower()
+    if not t.isascii():
+        t = unicodedata.normalize("NFKD", t.replace("œ", "oe").replace("æ", "ae").replace("ß", "ss").replace("ø", "o").replace("đ", "d").replace("ł", "l"))
+        t = "".join(c for c in t if not unicodedata.combining(c))
+    return " ".join(re.findall(r"[^\W_]+", t))
+
+
+def folded_name(text: str | None) -> str:
+    """Folded words of a name in its consistent form, without what is quoted; words glued together are parted at an inner capital. '' for null."""
+    if not text:
+        return ""
+    t = consistent(QUOTED.sub(" ", text))
+    return folded(GLUED.sub(r"\1 \2", t) if not t.isupper() else t)
+
+
+def _spelled(*columns: pd.Series) -> pd.Series:
+    known: dict[tuple, str] = {}
+    out = []
+    for row in zip(*columns):
+        if (n := known.get(row)) is None:
+            texts = [folded_name(x) for x in row]
+            n = known[row] = next((t for t in texts if " " in t), None) or next((t for t in texts if t), "")
+        out.append(n)
+    return pd.Series(out)
+
+
+def _profiled(name: pd.Series, given: pd.Series) -> pd.DataFrame:
+    out = []
+    for n, g in zip(map(folded_name, name), map(folded_name, given)):
+        g = g or n.split(" ")[0]
+        rest = (n[len(g) :] if f"{n} ".startswith(f"{g} ") else n).split()
+        families = [w for w in rest if w not in PARTICLES] or rest
+        out.append((g, f"{g}|{' '.join(families)}") if families and g else (None, None))
+    return pd.DataFrame(out, columns=["g", "sp"])
+
+
+_spelled.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+_profiled.__annotations__ = {"name": pd.Series, "given": pd.Series, "return": pd.DataFrame}
+# in Python, where the consistent form is made: one pass for each name
+spelled = F.pandas_udf(_spelled, StringType())
+profiled = F.pandas_udf(_profiled, StructType([StructField("g", StringType()), StructField("sp", StringType())]))
 
 
 def split_words(c: Column) -> Column:
@@ -36,10 +80,6 @@ def nicknames(names: DataFrame, column: str) -> DataFrame:
     return d.filter((F.col("given") != "") & (F.col("nick") != "") & (F.col("nick") != F.col("given"))).groupBy("nick", "given").agg(F.count("*").alias("n"))
 
 
-def without_quoted(c: Column) -> Column:
-    return F.regexp_replace(c, r"[«“\"„][^»”\"]*[»”\"]", " ")
-
-
 def deletions(c: Column) -> Column:
     """The word and the words that it leaves when one letter is taken out."""
     n = F.length(c)
