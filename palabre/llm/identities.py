@@ -4,9 +4,9 @@ Each listed person starts as a profile of one spelling. Typed names are read in
 meet the profiles under a family name, exactly or by a slip; the given name may be typed as itself, by a
 slip, another known form, its beginning or initials. A name that one profile explains clearly better than
 any other is merged with it. The profile takes over its spelling, and with it the initials and beginnings
-that stand for that spelling; forms of given names that no rule knows (nicknames) are learned from names
-whose family name leaves one person alone. Names still open meet the richer profiles again, until nothing
-merges any more. Labels without a full name are resolved among the participants of their group alone.
+that stand for that spelling; forms of given names that no rule knows (nicknames) are learned beforehand
+from names whose family name leaves one person alone. Names still open meet the richer profiles again,
+until nothing merges any more. Labels without a full name are resolved among the participants of their group alone.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import PARTICLES, given_matches, matches, name_keys, nicknames, profiled, spelled, split_words
+from .names import PARTICLES, form_cost, given_matches, matches, name_keys, nicknames, profiled, spelled, split_words
 
 MARGIN = 0.25  # by which the best match must be ahead of another person's
 AGAIN = 0.2  # cost of a match with a spelling taken over
 MERGED = 1.5  # greatest cost at which two spellings of unlisted people are merged
 SUPPORT = 2  # family names in which a form of a given name must be met to be learned
-EXPLAINED = 1.2  # a name that costs as much is not well explained yet
+EXPLAINED = 1.2  # a form that costs as much is not well explained by rule
 SHARE = 0.2  # least part of a form's meetings that one given name must have
 
 
@@ -46,51 +46,46 @@ def other_forms(pairs: DataFrame, both: bool = False) -> DataFrame:
     return pairs.filter(F.col("nick") != F.col("given")).groupBy(F.col("given").alias("g")).agg(F.array_join(F.array_sort(F.collect_set("nick")), "|").alias("other"))
 
 
-def learned_forms(open_names: DataFrame, targets: DataFrame) -> DataFrame:
-    """(nick, given): forms of given names met in names that nothing explains well, beside a family name that one listed person bears.
+def learned_forms(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(nick, given): forms of given names that no rule explains well, met beside a family name that one listed person bears.
 
     A form counts once for each person; it must be met beside ``SUPPORT`` of them, mean the given name in
     ``SHARE`` of its meetings and be no listed given name itself.
     """
     family = targets.select("sp", "g", F.explode(F.array_distinct(split_words(F.substring_index("sp", "|", -1)))).alias("f"))
     alone = family.groupBy("f").agg(F.count("*").alias("k"), F.min("sp").alias("sp"), F.min("g").alias("g")).filter(F.col("k") == 1)
-    d = open_names.select("n", split_words(F.col("n")).alias("ws"))
+    d = names.select("n", split_words(F.col("n")).alias("ws"))
     d = d.filter(F.size("ws") > 1).select("n", "ws", F.explode(F.array_distinct("ws")).alias("f"))
     left = F.filter("ws", lambda x: (x != F.col("f")) & ~x.isin(PARTICLES))
     d = d.join(alone.select("f", "sp", "g"), "f").withColumn("left", left).filter(F.size("left").between(1, 2)).select("sp", "g", F.array_join("left", " ").alias("nick"))
-    d = d.filter(F.length("nick") > 1).join(targets.select(F.col("g").alias("nick")).distinct(), "nick", "left_anti")
-    votes = d.distinct().groupBy("nick", "g").agg(F.count("*").alias("n"))
-    votes = votes.withColumn("all", F.sum("n").over(Window.partitionBy("nick")))
-    return votes.filter((F.col("n") >= SUPPORT) & (F.col("n") >= F.lit(SHARE) * F.col("all"))).select("nick", F.col("g").alias("given"))
+    votes = d.filter((F.length("nick") > 1) & (F.col("nick") != F.col("g"))).distinct().groupBy("nick", "g").agg(F.count("*").alias("n"))
+    votes = votes.withColumn("all", F.sum("n").over(Window.partitionBy("nick"))).filter((F.col("n") >= SUPPORT) & (F.col("n") >= F.lit(SHARE) * F.col("all")))
+    votes = votes.join(targets.select(F.col("g").alias("nick")).distinct(), "nick", "left_anti")
+    return votes.filter(F.coalesce(form_cost("nick", "g"), F.lit(9.0)) >= EXPLAINED).select("nick", F.col("g").alias("given"))
 
 
-def resolve(names: DataFrame, targets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve(names: DataFrame, targets: DataFrame, known: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((n, own, pid), (n, own, cost), (nick, given)): the person of each name that has a clear one, all candidates, and all forms known in the end.
 
     ``own`` is the listed spelling of a profile; one that several persons bear has no clear person. Each
-    round is one join of the names still open with what the profiles took over in the round before.
+    round is one join of the names still open with what the profiles took over in the round before. ``evidence.n``
+    are further names from which forms are learned.
     """
     spellings = targets.groupBy(F.col("sp").alias("own")).agg(F.when(F.count("*") == 1, F.min("pid")).alias("pid"))
-    names = cut(names.select("n").distinct())
+    names = names.select("n").distinct()
     best = F.min(F.struct("cost", "f", "w")).alias("b")
     one = lambda m: m.groupBy("n", "own").agg(best).select("n", "own", "b.*")
-    listed = targets.select("sp").distinct()
-    found = cut(one(matches(name_keys(names), listed, other_forms(known)).withColumnRenamed("sp", "own")))
-    unexplained = names.join(found.filter(F.col("cost") < EXPLAINED).select("n").distinct(), "n", "left_anti")
-    known = cut(known.select("nick", "given").union(learned_forms(unexplained, targets)).distinct())
+    known = cut(known.select("nick", "given").union(learned_forms(names.union(evidence).distinct(), targets)).distinct())
     forms = other_forms(known)
+    found = cut(one(matches(name_keys(names), targets.select("sp").distinct(), forms).withColumnRenamed("sp", "own")))
     linked = cut(clear_best(found, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
     fresh = linked
-    # the forms learned enrich every profile
-    again = one(matches(name_keys(unexplained), listed, forms).withColumnRenamed("sp", "own"))
     while True:
         # spellings of the names merged last that their profiles don't have yet
         spelled = fresh.filter(F.length("w") > 2).select(F.concat_ws("|", "w", "f").alias("sp"), "own").filter(F.col("sp") != F.col("own")).distinct()
         still = names.join(linked.select("n"), "n", "left_anti")
         more = matches(name_keys(still), spelled, forms).join(spelled, "sp").select("n", "own", (F.col("cost") + F.lit(AGAIN)).alias("cost"), "f", "w")
-        more = found.unionByName(more) if again is None else found.unionByName(more).unionByName(again)
-        again = None
-        found = cut(one(more))
+        found = cut(one(found.unionByName(more)))
         fresh = cut(clear_best(found.join(linked.select("n"), "n", "left_anti"), ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
         if fresh.isEmpty():
             break
@@ -176,7 +171,7 @@ def spell_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("n", spelled(*columns))
 
 
-def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = None, evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """People of the participations: ((saison, id, n, pid or null), candidates, profiles, nicknames).
 
     Work is done for each different name. Rows whose id is listed keep it. ``more.n`` are further names that
@@ -188,7 +183,8 @@ def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = No
     keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(listed, "id", "left")
     keyed = cut(spell_rows(keyed.withColumn("slug", F.replace("id", F.lit("-"), F.lit(" "))), ["nom_complet", "nom", "slug"]).select("saison", "id", "n", "pid"))
     names = keyed.filter(F.col("pid").isNull() & (F.col("n") != "")).select("n")
-    linked, found, nicks = resolve((names if more is None else names.union(more.select("n"))).distinct(), targets, nicknames(quoted, "nom"))
+    names = (names if more is None else names.union(more.select("n"))).distinct()
+    linked, found, nicks = resolve(names, targets, nicknames(quoted, "nom"), names.limit(0) if evidence is None else evidence.select("n"))
     via = linked.filter(F.col("pid").isNotNull()).select("n", F.col("pid").alias("via"))
     people = keyed.join(via, "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
     return cut(people), found, targets, nicks

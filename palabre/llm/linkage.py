@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import cut
-from .identities import _single_words, entities, link_people, other_forms, own_spellings, spell_rows
-from .names import PARTICLES, close_words, given_matches, matches, name_keys, split_words
+from .identities import _single_words, link_people, other_forms, own_spellings, spell_rows
+from .names import close_words, given_matches, matches, matches_within, name_keys, split_words
 
 VOTES = ["v_name", "v_group", "v_age", "v_job", "v_place", "v_gender"]
 LEVELS = {"v_name": 5, "v_group": 2, "v_age": 5, "v_job": 3, "v_place": 3, "v_gender": 3}
@@ -195,9 +195,10 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     """
     c = cards.select("fiche", "edition", "libelle", F.when(F.col("age").between(16, 80), F.col("age")).alias("age"), "metier", "ville", F.when(F.lower(F.substring("genre", 1, 1)) == "f", "f").when(F.lower(F.substring("genre", 1, 1)) == "h", "h").alias("gender"))
     c = cut(spell_rows(c, ["libelle"]).filter(F.col("n") != "").dropDuplicates(["fiche"]))
-    people, found, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, c.select("n"))
+    people, _, listed, nicks = link_people(part.select("saison", "id", "nom", "nom_complet"), persons, evidence=c)
     given = listed.select("g").distinct()
-    people = entities(people, given, nicks)
+    # people in no list are told apart by the words of their names
+    people = people.withColumn("ent", F.coalesce("pid", F.concat(F.lit("\u0001"), F.when(F.col("n").contains(" "), F.array_join(F.array_sort(F.split("n", " ")), " ")).otherwise(F.col("id")))))
     there = people.select("saison", "ent").distinct()
     strangers = own_spellings(people.filter(F.col("pid").isNull()), given)
     mine = listed.select(F.col("pid").alias("ent"), "g", "sp").unionByName(strangers)
@@ -217,12 +218,15 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     c = c.join(job_codes.select(F.col("v").alias("metier"), F.col("code").alias("job")), "metier", "left").join(place_codes.select(F.col("v").alias("ville"), F.col("code").alias("place")), "ville", "left")
     c = cut(c.select("fiche", "n", "typed", F.col("edition").isNull().alias("unsaid"), "age", "job", "place", "gender"))
 
-    # full names: candidates among the listed are known, those among others are found alike; a typed nickname may
-    # stand for the given name, or the given name for a nickname that is all that is known
-    others = matches(name_keys(c.select("n").distinct()), strangers, other_forms(nicks, both=True)).select("n", "sp", "cost")
-    full = found.withColumnRenamed("own", "sp").unionByName(others)
-    a = c.select("fiche", "n", "typed").join(full, "n").join(bears.select("saison", "ent", "sp"), "sp").filter(F.col("typed").isNull() | (F.col("typed") == F.col("saison")))
-    a = a.select("fiche", "saison", "ent", "cost", F.when(F.col("cost") <= 0.05, 0).when(F.col("cost") <= 1.0, 1).otherwise(2).alias("v_name"))
+    # full names, within the season where it is said; a typed nickname may stand for the given name, or the given
+    # name for a nickname that is all that is known
+    forms = other_forms(nicks, both=True)
+    said = c.filter(F.col("typed").isNotNull()).select("fiche", "n", F.col("typed").alias("saison"))
+    a = said.join(matches_within(said, bears, "saison", forms), ["saison", "n"]).select("fiche", "saison", "ent", "cost")
+    unsaid = c.filter(F.col("typed").isNull() & F.col("unsaid")).select("fiche", "n")
+    any_ = matches(name_keys(unsaid.select("n").distinct()), bears, forms).select("n", "sp", "cost").join(unsaid, "n").join(bears.select("saison", "ent", "sp"), "sp")
+    a = a.unionByName(any_.select("fiche", "saison", "ent", "cost"))
+    a = a.withColumn("v_name", F.when(F.col("cost") <= 0.05, 0).when(F.col("cost") <= 1.0, 1).otherwise(2))
     # a given name, alone or with an initial: those who alone bear it in the season, or who agree in two attributes
     initials = F.transform(split_words(F.substring_index("sp", "|", -1)), lambda f: F.substring(f, 1, 1))
     bears = bears.join(given, "g", "left_semi").select("saison", "ent", "g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), initials))).alias("i")).distinct()

@@ -241,6 +241,12 @@ def read_as(name: pd.Series, spelling: pd.Series, other: pd.Series) -> pd.DataFr
     return pd.DataFrame(out, columns=["cost", "f", "w"])
 
 
+@F.pandas_udf(DoubleType())
+def form_cost(typed: pd.Series, given: pd.Series) -> pd.Series:
+    """``given_cost`` of each pair without known forms; null where the given name can't be typed so."""
+    return pd.Series([given_cost(t, g) for t, g in zip(typed, given)], dtype="float64")
+
+
 def word_keys(word: Column) -> Column:
     """Hashes under which a family word meets those that a slip may have made of it: of the word, and of what is left when a letter is taken out."""
     return F.transform(F.when(F.length(word) >= SLIP_LETTERS, deletions(word)).otherwise(F.array(word)), lambda x: F.xxhash64(x))
@@ -258,14 +264,44 @@ def spelling_keys(spellings: DataFrame) -> DataFrame:
     return d.select(F.explode(word_keys(F.col("t"))).alias("k"), "sp", "t")
 
 
+def half_keys(word: Column, typed: bool) -> Column:
+    """Beginnings and ends of a family word, one of which a slip leaves as it is: of half its length but one letter, for a typed word also those of a word one letter longer or shorter."""
+    n = F.length(word)
+    lengths = F.array_distinct(F.array(*[F.floor((n + k - 1) / 2).cast("int") for k in ((-1, 0, 1) if typed else (0,))]))
+    halves = F.flatten(F.transform(lengths, lambda h: F.array(F.concat(F.lit("<"), F.substring(word, F.lit(1), h)), F.concat(F.lit(">"), F.substring(word, n - h + 1, h)))))
+    return F.when(n >= SLIP_LETTERS, F.concat(halves, F.array(word))).otherwise(F.array(word))
+
+
+def _edited(x: DataFrame) -> DataFrame:
+    e = F.levenshtein(F.col("f"), F.col("t"), 2)
+    return x.filter((F.col("f") == F.col("t")) | (e >= 0))
+
+
+def matches_within(names: DataFrame, spellings: DataFrame, group: str, nicks: DataFrame) -> DataFrame:
+    """(group, n, ent, cost): as ``matches``, of names and spellings of one group alone, for ``spellings`` (group, sp, ent).
+
+    In a group a half of a family word tells people well enough apart, so the keys are few.
+    """
+    x = names.select(group, "n").distinct().filter(F.col("n").contains(" ")).select(group, "n", F.explode(F.array_distinct(split_words(F.col("n")))).alias("f"))
+    x = x.select(group, "n", "f", F.explode(half_keys(F.col("f"), True)).alias("k"))
+    y = spellings.select(group, "sp", "ent").distinct().select(group, "sp", "ent", F.explode(F.array_distinct(split_words(F.substring_index("sp", "|", -1)))).alias("t"))
+    y = y.select(group, "sp", "ent", "t", F.explode(half_keys(F.col("t"), False)).alias("k"))
+    return _read(_edited(x.join(y, [group, "k"])).select(group, "n", "sp", "ent").distinct(), nicks).groupBy(group, "n", "ent").agg(F.min("cost").alias("cost"))
+
+
+def _read(x: DataFrame, nicks: DataFrame) -> DataFrame:
+    """``x`` (n, sp, ...) with the cost of reading the name so, for those that can be."""
+    kept = x.columns
+    x = x.withColumn("g", F.substring_index("sp", "|", 1)).join(nicks, "g", "left")
+    return x.withColumn("r", read_as("n", "sp", F.coalesce("other", F.lit("")))).filter(F.col("r.cost").isNotNull()).select(*kept, "r.*")
+
+
 def matches(keys: DataFrame, spellings: DataFrame, nicks: DataFrame) -> DataFrame:
     """(n, sp, cost, f, w): the spellings ``spellings.sp`` that the names of ``keys`` can be read as.
 
     Names and spellings, each different one once, meet under a word of their family names in one join. A
     family name that a large part of all names bears meets only its different spellings, one a given name.
     """
-    x = keys.join(spelling_keys(spellings), "k")
-    e = F.levenshtein(F.col("f"), F.col("t"), 2)
-    x = x.filter(F.when(F.col("f") == F.col("t"), F.col("k") == F.xxhash64("f")).otherwise(e >= 0)).select("n", "sp").distinct()
-    x = x.withColumn("g", F.substring_index("sp", "|", 1)).join(nicks, "g", "left")
-    return x.withColumn("r", read_as("n", "sp", F.coalesce("other", F.lit("")))).filter(F.col("r.cost").isNotNull()).select("n", "sp", "r.*")
+    x = _edited(keys.join(spelling_keys(spellings), "k").filter((F.col("f") != F.col("t")) | (F.col("k") == F.xxhash64("f"))))
+    return _read(x.select("n", "sp").distinct(), nicks)
+
