@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import cut
 
 PREFERENCES_MAX = 10_000  # rows of the preference list; a longer list is refused
 
@@ -52,19 +53,19 @@ def _long(rows: DataFrame, key: list[str], line: str, time: str, sources: str, f
     return long.withColumn("rang", trust(preferences, [f.name for f in fields])).drop("source")
 
 
-def precedence(long: DataFrame, keys: list[str]) -> DataFrame:
+def precedence(values: DataFrame, keys: list[str]) -> DataFrame:
     """(champ, older, newer, net): how much oftener ``newer`` follows ``older`` than the reverse.
 
-    Learned from consecutive different values of the timed rows of a group. Values of a group are
-    collapsed to their first time before they are ordered, so a group weighs by its values, not rows.
+    Learned from consecutive different values of a group, each at its ``first`` time, so a group weighs by its
+    values, not rows.
     """
-    first = long.filter(F.col("t").isNotNull()).groupBy(*keys, "champ", "v").agg(F.min("t").alias("t"))
-    w = Window.partitionBy(*keys, "champ").orderBy("t", "v")
-    steps = first.select("champ", F.lag("v").over(w).alias("older"), F.col("v").alias("newer")).filter(F.col("older").isNotNull())
+    w = Window.partitionBy(*keys, "champ").orderBy("first", "v")
+    steps = values.filter(F.col("first").isNotNull()).select("champ", F.lag("v").over(w).alias("older"), F.col("v").alias("newer")).filter(F.col("older").isNotNull())
     n = steps.groupBy("champ", "older", "newer").agg(F.count("*").alias("n"))
-    back = n.select("champ", F.col("older").alias("newer"), F.col("newer").alias("older"), F.col("n").alias("m"))
-    net = n.join(back, ["champ", "older", "newer"], "left").withColumn("net", F.col("n") - F.coalesce("m", F.lit(0)))
-    return net.filter(F.col("net") > 0).select("champ", "older", "newer", "net")
+    # both directions of a pair meet in one row
+    pair = n.groupBy("champ", F.least("older", "newer").alias("a"), F.greatest("older", "newer").alias("b")).agg(F.sum(F.when(F.col("older") < F.col("newer"), F.col("n")).otherwise(-F.col("n"))).alias("net"))
+    up = F.col("net") > 0
+    return pair.filter("net <> 0").select("champ", F.when(up, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("newer"), F.abs("net").alias("net"))
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def order_of_values(precedences: DataFrame) -> DataFrame:
     return precedences.select("champ", "older", "newer", "net").groupBy("champ").applyInArrow(_ordered, "champ string, older string, newer string")
 
 
-def _followed(values: DataFrame, long: DataFrame, keys: list[str]) -> DataFrame:
+def _followed(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, champ, v, followed): values of the highest trust that another one of their group follows, where that trust has a row without time.
 
     ``values`` has the highest trust ``top_r`` of its group, that of its own timed and untimed rows and the
@@ -102,7 +103,7 @@ def _followed(values: DataFrame, long: DataFrame, keys: list[str]) -> DataFrame:
     v = values.withColumn("untimed", F.coalesce(F.col("untimed_r") == F.col("top_r"), F.lit(False))).filter(F.col("best.r") == F.col("top_r"))
     v = v.withColumn("latest", F.max(F.when(F.col("best.timed"), F.col("best.t"))).over(w)).withColumn("unsure", F.max("untimed").over(w)).filter("unsure")
     rivals = v.filter(F.col("untimed") | (F.col("best.t") == F.col("latest"))).select(*keys, "champ", "v")
-    later = rivals.join(order_of_values(precedence(long, keys)).withColumnRenamed("older", "v"), ["champ", "v"])
+    later = rivals.join(order_of_values(precedence(values, keys)).withColumnRenamed("older", "v"), ["champ", "v"])
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "champ"]] + [F.col("l.newer") == F.col("r.v")]
     return later.alias("l").join(rivals.alias("r"), on, "left_semi").select(*keys, "champ", "v").distinct().withColumn("followed", F.lit(True))
 
@@ -123,11 +124,11 @@ def best_values(rows: DataFrame, preferences: DataFrame, key: list[str], line: s
     rank = F.coalesce(F.col("rang"), F.lit(2**31 - 1))
     values = long.groupBy(*keys, "champ", "v").agg(
         F.max(F.struct((-rank).alias("r"), F.col("t").isNotNull().alias("timed"), F.col("t").alias("t"))).alias("best"), F.min("line").alias("line"),
-        F.max(F.when(F.col("t").isNull(), -rank)).alias("untimed_r"),
+        F.max(F.when(F.col("t").isNull(), -rank)).alias("untimed_r"), F.min("t").alias("first"),
     )
-    values = values.withColumn("top_r", F.max("best.r").over(Window.partitionBy(*keys, "champ")))
+    values = cut(values.withColumn("top_r", F.max("best.r").over(Window.partitionBy(*keys, "champ"))))
     on = [F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "champ", "v"]]
-    scored = values.alias("x").join(_followed(values, long, keys).alias("s"), on, "left").select("x.*", F.coalesce("s.followed", F.lit(False)).alias("followed"))
+    scored = values.alias("x").join(_followed(values, keys).alias("s"), on, "left").select("x.*", F.coalesce("s.followed", F.lit(False)).alias("followed"))
     order = F.struct(F.col("best.r"), ~F.col("followed"), F.col("best.timed"), F.col("best.t"), (-F.col("line")).alias("l"))
     best = scored.groupBy(*keys, "champ").agg(F.max_by("line", order).alias("ligne"))
     size = rows.groupBy(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)]).agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
