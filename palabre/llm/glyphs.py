@@ -42,50 +42,55 @@ class Conflict(ValueError):
     """Two rules give the same sequence different outputs."""
 
 
-def _pairs(alphabet: str) -> dict[str, str]:
-    """The mapping for texts mostly in one alphabet ('' for texts in another one)."""
-    out: dict[str, str] = {}
+def _put(out: dict[str, str], a: str, b: str) -> None:
+    if a != b and out.setdefault(a, b) != b:
+        raise Conflict(f"{a!r}: {out[a]!r} and {b!r}")
 
-    def put(a: str, b: str) -> None:
-        if a == b:
-            return
-        if out.setdefault(a, b) != b:
-            raise Conflict(f"{a!r}: {out[a]!r} and {b!r}")
 
+@lru_cache(maxsize=1)
+def _common() -> dict[str, str]:
+    """The mapping for texts of every alphabet: widths, styles, spaces, hyphens, invisible characters, accents."""
+    out: dict[str, str] = {}
     for lo, hi in COMPATIBLE:
         for c in map(chr, range(lo, hi + 1)):
             n = unicodedata.normalize("NFKC", c)
             if n != c and all(x.isalnum() or 0x20 < ord(x) < 0x7F for x in n):
-                put(c, n)
-    for c in map(chr, range(0x110000)):
+                _put(out, c, n)
+    for c in map(chr, [*range(0x34000), *range(0xE0000, 0xE1000)]):  # no other code points are assigned
         kind = unicodedata.category(c)
         if c in out:
             continue
         if kind == "Zs":
-            put(c, " ")
+            _put(out, c, " ")
         elif kind == "Cf" or c in INVISIBLE or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
-            put(c, "")
+            _put(out, c, "")
         elif c in HYPHENS:
-            put(c, "-")
+            _put(out, c, "-")
         elif kind[0] == "L" and unicodedata.normalize("NFC", c) != c:
-            put(c, unicodedata.normalize("NFC", c))
+            _put(out, c, unicodedata.normalize("NFC", c))
         if kind[0] == "L" and len(d := unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFC", d) == c:
-            put(d, c)
+            _put(out, d, c)
             if len(d) > 2:  # a letter already composed in part, then the rest of its marks
                 for i in range(2, len(d)):
                     if (p := unicodedata.normalize("NFC", d[:i]) + d[i:]) != d:
-                        put(p, c)
+                        _put(out, p, c)
+    return out
+
+
+def _pairs(alphabet: str) -> dict[str, str]:
+    """The mapping for texts mostly in one alphabet ('' for texts in another one)."""
+    out = dict(_common())
     all_twins = [(CYRILLIC, CYRILLIC_AS), (CYRILLIC_NEAR, CYRILLIC_NEAR_AS), (GREEK, GREEK_AS), (GREEK_NEAR, GREEK_NEAR_AS), (ARMENIAN, ARMENIAN_AS), (LATIN_TWINS, LATIN_TWINS_AS)]
     twins = {"latin": all_twins, "cyrillic": [(CYRILLIC_AS, CYRILLIC)], "greek": [(GREEK_AS, GREEK)]}.get(alphabet, [])
     for a, b in twins:
         for x, y in zip(a, b, strict=True):
-            put(x, y)
+            _put(out, x, y)
     # a look-alike letter under separate marks: composed after it is replaced
     for a, b in list(out.items()):
         if len(a) == 1 and len(b) == 1 and b.isalpha():
             for m in "̧̀́̂̃̈̊̌":
                 if len(n := unicodedata.normalize("NFC", b + m)) == 1 and a + m not in out:
-                    put(a + m, n)
+                    _put(out, a + m, n)
     return out
 
 
@@ -103,7 +108,7 @@ def compile_trie(alphabet: str) -> dict:
 
 @lru_cache(maxsize=1)
 def _silent() -> frozenset[str]:
-    return frozenset(a for a, b in _pairs("").items() if b == "")
+    return frozenset(a for a, b in _common().items() if b == "")
 
 
 def alphabet_of(text: str) -> str:

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.text import words
-from .glyphs import consistent, consistent_text
+from .glyphs import PLAIN, consistent, consistent_text
 
 PARTICLES = ["le", "la", "de", "du", "des", "d", "l", "van", "von"]
 SLIP_LETTERS = 4  # a shorter family word must be met letter for letter: one letter off, it is another name
+MOST_LETTERS = 64  # a longer word or given name is looked up as it stands: its slips would be as many as its letters
 LONG_LETTERS = 7  # words from this length on may differ by two edits
 MOST = 2.9  # greatest cost of a match
 QUOTED = re.compile(r"[«“\"„][^»”\"]*[»”\"]")
+SURELY = re.compile(PLAIN)  # texts that are in their consistent form already
 GLUED = regex.compile(r"(\p{Ll})(\p{Lu})")
 
 
@@ -36,7 +38,9 @@ def folded_name(text: str | None) -> str:
     """Folded words of a name in its consistent form, without what is quoted; words glued together are parted at an inner capital. '' for null."""
     if not text:
         return ""
-    t = consistent(QUOTED.sub(" ", text))
+    t = QUOTED.sub(" ", text)
+    if not SURELY.match(t):
+        t = consistent(t)
     return folded(GLUED.sub(r"\1 \2", t) if not t.isupper() else t)
 
 
@@ -126,9 +130,9 @@ def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataF
     """
     tagged = lambda c: F.transform(deletions(c), lambda x: F.concat(F.lit("~"), x))
     none = F.array().cast("array<string>")
-    t = typed.select("w").distinct().select("w", F.explode(F.concat(F.array("w"), F.when(F.length("w") >= 3, tagged(F.col("w"))).otherwise(none))).alias("k"))
+    t = typed.select("w").distinct().select("w", F.explode(F.concat(F.array("w"), F.when(F.length("w").between(3, MOST_LETTERS), tagged(F.col("w"))).otherwise(none))).alias("k"))
     f = given_forms(given, nicks)
-    f = f.select("g", "form", "cost", "slip", F.explode(F.concat(F.array("form"), F.when((F.col("slip") > 0) & (F.length("form") >= 3), tagged(F.col("form"))).otherwise(none))).alias("k"))
+    f = f.select("g", "form", "cost", "slip", F.explode(F.concat(F.array("form"), F.when((F.col("slip") > 0) & F.length("form").between(3, MOST_LETTERS), tagged(F.col("form"))).otherwise(none))).alias("k"))
     x = t.join(f, "k")
     edits = F.levenshtein(F.col("w"), F.col("form"), 2)
     swapped = (F.length("w") == F.length("form")) & (F.sort_array(F.split("w", "")) == F.sort_array(F.split("form", "")))
@@ -249,7 +253,7 @@ def form_cost(typed: pd.Series, given: pd.Series) -> pd.Series:
 
 def word_keys(word: Column) -> Column:
     """Hashes under which a family word meets those that a slip may have made of it: of the word, and of what is left when a letter is taken out."""
-    return F.transform(F.when(F.length(word) >= SLIP_LETTERS, deletions(word)).otherwise(F.array(word)), lambda x: F.xxhash64(x))
+    return F.transform(F.when(F.length(word).between(SLIP_LETTERS, MOST_LETTERS), deletions(word)).otherwise(F.array(word)), lambda x: F.xxhash64(x))
 
 
 def name_keys(names: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 import re
 import unicodedata
+from collections import Counter
 from datetime import datetime as dt
+from functools import partial
 
 import numpy as np
 import pytest
@@ -23,23 +25,24 @@ def rows(df, *cols):
 JOBS = [("m1", "Sapeur-pompier"), ("m2", "Expert-comptable"), ("m3", "Comptable"), ("m4", "Hôte de l'air")]
 
 
-def test_similarity_join_is_exact(spark):
+def test_similarity_search_is_exact():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 6)))
     a = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)})
     b = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)})
     grams = lambda t: {f"_{w}_"[i : i + 2] for w in t.split() for i in range(len(w) + 1)}
     for least in (0.44, 0.7):
-        want = sorted((x, y) for x in a for y in b if len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least)
-        want = sorted(want, key=str)
-        got = canonical.similarity_join(spark.createDataFrame([(x,) for x in a], "seg string"), spark.createDataFrame([(y,) for y in b], "form string"), least)
-        assert rows(got, "seg", "form") == want
+        rarity = Counter(p for y in b for p in canonical.pairs(y))
+        index = canonical.Index([(y, y) for y in b], frozenset(b), dict(rarity), least)
+        want = {(x, y): len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for x in a for y in b}
+        want = {k: pytest.approx(v) for k, v in want.items() if v >= least}
+        assert {(x, b[k]): s for x in a for k, s in index.similar(x)} == want
 
 
 def test_values_are_mapped(spark):
     vals = ["Sapeur-pompier", "SAPEUSE POMPIERE", "sapeur-pomipier", "Exprt-comptable", "comptable à mi-temps", "Pompier pro", "dompteur", "", "  ", None, "hotesse de l'air", LONG, "Comptable, Lyon"]
     d = spark.createDataFrame([(i, v, "x", "y") for i, v in enumerate(vals * 2)], "ligne int, job string, v string, code string")
-    got = {r["ligne"]: r["code"] for r in canonical.map_column(d, "ligne", "job", JOBS, synonyms={"Sapeur-pompier": ["pompier pro"]}, genders=True).collect()}
+    got = {r["ligne"]: r["code"] for r in canonical.map_column(d, "ligne", "job", JOBS, synonyms=[("pompier pro", "m1")], genders=True).collect()}
     n = len(vals)
     want = {1: "m1", 2: "m1", 3: "m2", 4: "m3", 5: "m1", 6: "", 7: "", 8: "", 10: "m4", 11: "", 12: "m3"}
     assert {k: got.get(k) for k in want} == want and 0 not in got and 9 not in got
@@ -48,6 +51,26 @@ def test_values_are_mapped(spark):
     assert {r["code"] for r in canonical.map_column(d, "ligne", "job", []).collect()} == {""}
 
 
+def test_words_cut_short_and_slips_in_short_words(spark):
+    """Another domain: a list of devices."""
+    devices = [("d1", "Perceuse à colonne"), ("d2", "Scie circulaire plongeante"), ("d3", "Étau"), ("d4", "Rabot"), ("d5", "Visseuse")]
+    vals = {"perc colonne": "d1", "SCP": "d2", "scie circ plong": "d2", "rabbot": "d4", "Éteau": "d3", "viss": "d5", "la rabot bleu": "d4", "rabbot bleu": "", "perceuse": "d1", "marteau": ""}
+    d = spark.createDataFrame([(k,) for k in vals], "v string")
+    assert {r["v"]: r["code"] for r in canonical.map_values(d, devices).collect()} == vals
+
+
+def test_forms_are_learned_from_other_rows(spark):
+    """People who once wrote the entry of the list tell what their other words mean."""
+    data = [(f"p{i}", v) for i in range(6) for v in ("Comptable", f"gratte papier n {i}")] + [("q", "Comptable"), ("q", "dompteur"), ("r", "dompteur"), (None, "x"), ("s", None)]
+    d = spark.createDataFrame(data, "id string, job string")
+    mapped = canonical.map_values(d.select(F.col("job").alias("v")).dropna(), JOBS)
+    learned = canonical.learn_forms(d, ["id"], "job", mapped, JOBS)
+    assert ("gratte", "m3") in learned and not [x for x in learned if "dompteur" in x[0]]
+    again = canonical.map_values(d.select(F.col("job").alias("v")).dropna(), JOBS, synonyms=learned)
+    assert {r["code"] for r in again.filter("v like 'gratte%'").collect()} == {"m3"}
+    assert canonical.learn_forms(d.limit(0), ["id"], "job", mapped, JOBS) == []
+
+
 # ---- 2 spellings of names --------------------------------------------------------------------------
 
 PEOPLE = [("virginie-brobol", "Virginie Brobol", "Virginie"), ("noemie-tibum", "Noémie Tibum", "Noémie"), ("theo-tibum", "Théo Tibum", "Théo"), ("jean-luc-crivi", "Jean-Luc Crivi", "Jean-Luc"), ("ann-lee-wong", "Ann Lee Wong", None)]
@@ -81,6 +104,53 @@ def test_a_spelling_taken_over_links_another(spark):
     assert links(spark, part) == {("participations", 0): "virginie-brobol", ("participations", 1): "virginie-brobol"}
 
 
+def test_names_of_any_length_are_read(spark):
+    """Family names of two and three letters, names of nine words, given names of four."""
+    people = [("anh-le", "Anh Le", "Anh"), ("tom-roy", "Tom Roy", "Tom"), ("long", "Ana Maria Da Silva Pereira Costa Lima Souza Alves", "Ana"), ("four", "Jean Paul Marie Yves Tavernier", "Jean Paul Marie Yves")]
+    part = [("s", "le-anh", "LE Anh", None), ("s", "t-roy", "T. Roy", None), ("s", "x", "Ana Maria Da Silva Pereira Costa Lima Souza Alvez", None), ("s", "y", "Tavernier Jean-Paul-Marie-Yves", None), ("s", "rey", "Tom Rey", None)]
+    got = links(spark, part, people=people)
+    assert {k[1]: v for k, v in got.items()} == {0: "anh-le", 1: "tom-roy", 2: "long", 3: "four"}
+
+
+def test_nicknames_are_learned(spark):
+    """A form that no rule explains, met beside two family names of people who have the same given name."""
+    people = [(f"p{i}", f"Isabelle {f}", "Isabelle") for i, f in enumerate(("Marovin", "Tesquelet", "Brindacier"))] + [("o", "Karim Zorvat", "Karim")]
+    part = [("s", "a", "Zaza Marovin", None), ("s", "b", "Tesquelet Zaza", None), ("s", "c", "Zaza Brindacier", None), ("s", "d", "Momo Zorvat", None)]
+    assert {k[1]: v for k, v in links(spark, part, people=people).items()} == {0: "p0", 1: "p1", 2: "p2"}
+
+
+def test_initials_that_are_also_particles(spark):
+    people = [("ludivine-maronet", "Ludivine Maronet", "Ludivine"), ("dominique-tassin", "Dominique Tassin", "Dominique")]
+    part = [("s", "a", "L. Maronet", None), ("s", "b", "Tassin D.", None)]
+    assert {k[1]: v for k, v in links(spark, part, people=people).items()} == {0: "ludivine-maronet", 1: "dominique-tassin"}
+
+
+def test_unlisted_spellings_are_one_entity(spark):
+    part = [("s", "a", "Nicolas Dupertuis", None), ("s", "b", "Dupertuis Nicolas", None), ("s", "c", "Nicollas Dupertuis", None), ("s", "d", "Paul Autremer", None), ("t", "c", "Nicollas Dupertuis", None)]
+    p = spark.createDataFrame(part, "saison string, id string, nom string, nom_complet string")
+    q = spark.createDataFrame(PEOPLE, "id string, nom string, prenom string")
+    people, _, targets, nicks = identities.link_people(p, q)
+    ent = {(r["saison"], r["id"]): r["ent"] for r in identities.entities(people, targets.select("g").distinct(), nicks).collect()}
+    assert ent["s", "a"] == ent["s", "b"] == ent["s", "c"] != ent["s", "d"]
+
+
+def test_edits_equal_brute_force():
+    rng = random.Random(6)
+
+    def osa(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return min(3, d[-1][-1])
+
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert names.edits(a, b) == osa(a, b)
+
+
 def test_close_words_equals_brute_force(spark):
     rng = random.Random(5)
     ws = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(120)})
@@ -122,7 +192,7 @@ def test_sources_are_linked(spark):
     c = spark.createDataFrame(cards, "fiche int, edition string, libelle string, age int, metier string, ville string, genre string")
     q = spark.createDataFrame([(x[1], x[2], x[2].split()[0]) for x in part], "id string, nom string, prenom string")
     g = spark.createDataFrame([("s0", 1, "Titre Alphadeux", 2001), ("s1", 2, "Titre Alphaun", 2001)], "id string, numero int, titre string, annee int")
-    run = lambda p, c: linkage.link_sources(p, c, q, g, JOBS, [], {}, {})
+    run = lambda p, c: linkage.link_sources(p, c, q, g, partial(canonical.map_values, entries=JOBS), partial(canonical.map_values, entries=[]))
     got = run(p, c)
     assert rows(got, "saison", "id", "fiche") == sorted([(f"s{i % 2}", f"p{i}", i) for i in range(10)], key=str)
     assert all(0.5 <= r["confidence"] <= 1 for r in got.collect())
@@ -162,6 +232,16 @@ def test_precedence_where_times_are_missing(spark):
     assert survivors.precedence.__doc__
 
 
+def test_order_of_values_is_transitive(spark):
+    """20 before 21 and 21 before 22 are learned; 20 and 22 never meet but here. A weak precedence against the order is left out."""
+    t = lambda k: dt(2020, 1, k)
+    data = [(100 * g + i, f"k{g}", v, None, {}, t(1 + i), None, None) for g in range(6) for i, v in enumerate((20, 21) if g < 3 else (21, 22))]
+    data += [(900, "back", 22, None, {}, t(1), None, None), (901, "back", 20, None, {}, t(2), None, None)]
+    data += [(1, "open", 22, None, {}, None, None, None), (2, "open", 20, None, {}, None, None, None), (4, "half", 20, None, {}, t(9), None, None), (5, "half", 22, None, {}, None, None, None)]
+    got = best(spark, data)
+    assert ("open", "age", 1) in got and ("half", "age", 5) in got
+
+
 def test_survivors_equal_brute_force(spark):
     rng = random.Random(7)
     src = [None, "fandom", "wikipedia-fr", "Wikipédia FR (x)", "blog"]
