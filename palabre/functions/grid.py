@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 SPAN = re.compile(r"\b(rowspan|colspan)\s*=\s*[\"']?\s*(\d+)", re.IGNORECASE)
-MOST_SPAN = 1000  # a larger span is read as this
+MOST = {"colspan": 1000, "rowspan": 65534}  # where the HTML standard clamps a span; rows end with their table besides
+BARE = re.compile(r"^\s*(?:(?:rowspan|colspan|style|class|align|bgcolor|width|scope)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|]+)\s*)+", re.IGNORECASE)
 CELL = StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("text", StringType()), StructField("header", BooleanType()), StructField("origin", BooleanType())])
 
 
@@ -47,22 +48,30 @@ def _attributes(cell: str) -> tuple[dict[str, int], str]:
         elif c == "|" and depth == 0:
             head = cell[:i]
             if "=" in head or not head.strip():
-                return {k.lower(): max(1, min(MOST_SPAN, int(v))) for k, v in SPAN.findall(head)}, cell[i + 1 :].strip()
+                return _spans(head), cell[i + 1 :].strip()
             break
+    if m := BARE.match(cell):  # attributes whose bar is missing
+        return _spans(m.group()), cell[m.end() :].strip()
     return {}, cell.strip()
 
 
-def wiki_rows(text: str) -> list[list[tuple[str, bool, int, int]]]:
-    """Rows of (text, header, rows, columns) of the first table in wiki markup."""
-    m = re.search(r"^\s*\{\|.*$", text, re.MULTILINE)
-    if not m:
-        return []
-    rows: list[list] = [[]]
-    for line in text[m.end() :].split("\n"):
+def _spans(head: str) -> dict[str, int]:
+    return {k.lower(): max(1, min(MOST[k.lower()], int(v))) for k, v in SPAN.findall(head)}
+
+
+def wiki_tables(text: str) -> list[list[list[tuple[str, bool, int, int]]]]:
+    """Of every table in wiki markup its rows of (text, header, rows, columns)."""
+    tables: list[list[list]] = []
+    rows: list[list] | None = None
+    for line in text.split("\n"):
         s = line.strip()
-        if s.startswith("|}"):
-            break
-        if s.startswith("|-"):
+        if rows is None or s.startswith("{|"):
+            if s.startswith("{|"):
+                rows = [[]]
+                tables.append(rows)
+        elif s.startswith("|}"):
+            rows = None
+        elif s.startswith("|-"):
             rows.append([])
         elif s.startswith("|+"):
             continue
@@ -74,7 +83,16 @@ def wiki_rows(text: str) -> list[list[tuple[str, bool, int, int]]]:
         elif rows[-1] and s:  # text that goes on
             t, h, r, c = rows[-1][-1]
             rows[-1][-1] = (f"{t}\n{s}", h, r, c)
-    return [r for r in rows if r]
+    return [[r for r in t if r] for t in tables]
+
+
+def wiki_rows(text: str) -> list[list[tuple[str, bool, int, int]]]:
+    """Rows of the first table in wiki markup."""
+    return next(iter(wiki_tables(text)), [])
+
+
+def html_tables(text: str) -> list[list[list[tuple[str, bool, int, int]]]]:
+    return [r for m in re.finditer(r"<table\b[^>]*>.*?(?:</table>|$)", text, re.IGNORECASE | re.DOTALL) if (r := html_rows(m.group()))]
 
 
 def html_rows(text: str) -> list[list[tuple[str, bool, int, int]]]:
@@ -86,7 +104,7 @@ def html_rows(text: str) -> list[list[tuple[str, bool, int, int]]]:
     for r in re.split(r"<tr\b[^>]*>", m.group(1), flags=re.IGNORECASE)[1:]:
         row = []
         for tag, attrs, body in re.findall(r"<(t[hd])\b([^>]*)>(.*?)(?=<t[hd]\b|</t[hd]>|</tr>|$)", r, re.IGNORECASE | re.DOTALL):
-            a = {k.lower(): max(1, min(MOST_SPAN, int(v))) for k, v in SPAN.findall(attrs)}
+            a = _spans(attrs)
             row.append((" ".join(re.sub(r"<[^>]*>", " ", body).split()), tag.lower() == "th", a.get("rowspan", 1), a.get("colspan", 1)))
         if row:
             rows.append(row)
@@ -114,6 +132,22 @@ def _cells_of(t: str | None) -> list[dict] | None:
     return [dict(zip(CELL.names, c)) for c in expand_grid(wiki_rows(t) or html_rows(t))]
 
 
+TABLE_CELL = StructType([StructField("table", IntegerType()), *CELL.fields])
+
+
+@F.pandas_udf(ArrayType(TABLE_CELL))
+def _tables_udf(s: pd.Series) -> pd.Series:
+    def of(t: str | None) -> list[dict] | None:
+        return None if t is None else [{"table": k, **dict(zip(CELL.names, c))} for k, rows in enumerate(wiki_tables(t) or html_tables(t)) for c in expand_grid(rows)]
+
+    return s.map(of)
+
+
+def table_cells(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep, table, row, col, text, header, origin): one row a position of every table of each row's text."""
+    return df.select(*keep, F.inline(_tables_udf(F.col(text))))
+
+
 @F.pandas_udf(ArrayType(CELL))
 def _grid_udf(s: pd.Series) -> pd.Series:
     return s.map(_cells_of)

@@ -25,3 +25,10 @@ def words(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """URL key: folded words joined by hyphens."""
     return F.regexp_replace(words(c), " ", "-")
+
+
+def deletions(c: Column) -> Column:
+    """The word and the words that it leaves when one letter is taken out."""
+    n = F.length(c)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(c), F.when(n > 0, one).otherwise(F.array().cast("array<string>"))))
