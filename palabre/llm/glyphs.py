@@ -30,8 +30,7 @@ LATIN_TWINS_AS = "agivovwzI"
 HYPHENS = "‐‑‒−﹣֊˗⁃"
 # Code points that show nothing, beside the categories Cf and variation selectors.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ⠀"
-PASSES = 6  # at most; a text of one alphabet takes one that changes it
-COMPATIBLE = [(0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0xFB00, 0xFB06), (0x2100, 0x214F), (0x2160, 0x2188), (0x1D2C, 0x1D6A), (0x2C7C, 0x2C7D), (0x17F, 0x17F)]
+COMPATIBLE = [(0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0xFB00, 0xFB06), (0x2100, 0x214F), (0x2160, 0x2188), (0x1D2C, 0x1D6A), (0x2C7C, 0x2C7D), (0x132, 0x133), (0x13F, 0x140), (0x149, 0x149), (0x17F, 0x17F)]
 TWINNED = frozenset(CYRILLIC + CYRILLIC_AS + GREEK + GREEK_AS)
 JOINED = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gujarati}\p{Gurmukhi}\p{Kannada}\p{Malayalam}\p{Oriya}\p{Tamil}\p{Telugu}\p{Sinhala}\p{Extended_Pictographic}]")
 CLUSTER = regex.compile(r"\X")
@@ -159,12 +158,11 @@ def consistent(text: str | None) -> str | None:
     """
     if not text or text.isascii():
         return text
-    for _ in range(PASSES):
-        done = _one_pass(text)
-        if done == text:
-            break
-        text = done
-    return text
+    seen = []
+    while text not in seen:
+        seen.append(text)
+        text = _one_pass(text)
+    return min(seen[seen.index(text) :])  # one form; if forms ever led round in a circle, the first of them
 
 
 def _one_pass(text: str) -> str:
@@ -188,7 +186,7 @@ def _consistent_udf(s: pd.Series) -> pd.Series:
 
 
 # Characters that are in their form already: these texts never leave the JVM.
-PLAIN = r"^[\x00-\x7F¡-¬®-ž]*$"
+PLAIN = r"^[\x00-\x7F¡-¬®-ıĴ-ľŁ-ňŊ-ž]*$"
 
 
 def suspect(c: Column) -> Column:
