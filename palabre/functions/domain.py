@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import words
@@ -54,3 +56,19 @@ def enumerate_words(c: Column) -> Column:
 
 def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
+
+
+LIST_MAX = 10_000  # entries of a list of families; a longer one is refused
+
+
+def family_of(values: DataFrame, value: str, folded: Callable[[Column], Column], entries: DataFrame, label: str, order: str, family: str) -> DataFrame:
+    """(``value``, ``family``) of the values that hold an entry's words: the family of the first such entry by ``order``.
+
+    The entries are read on the driver, ``LIST_MAX`` of them at most, and asked in their order.
+    """
+    rows = entries.select(folded(F.col(label)).alias("w"), order, family).filter(F.col("w") != "").orderBy(order).limit(LIST_MAX + 1).collect()
+    if len(rows) > LIST_MAX:
+        raise ValueError(f"more than {LIST_MAX} entries")
+    listed = F.array(*[F.struct(F.lit(r["w"]).alias("w"), F.lit(r[family]).alias("f")) for r in rows])
+    d = values.select(value, folded(F.col(value)).alias("_t")).withColumn("_hit", F.filter(listed, lambda e: F.contains(F.col("_t"), e["w"])))
+    return d.filter(F.size("_hit") > 0).select(value, F.col("_hit")[0]["f"].alias(family))

@@ -30,20 +30,23 @@ def query(sql: str | None = None):
 P = f"with {PARTS_SQL}"
 PS = f"with {PARTS_SQL}, {SESSIONS_SQL}"
 FOLD = "trim(regexp_replace(regexp_replace(replace(replace(replace(strip_accents(lower({})), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
-# Families of occupations by keyword, the first that holds wins.
-FAMILIES = [("sante", ["infirm", "medecin", "kine", "pharma", "osteo", "soignant", "psycho"]), ("securite", ["pompier", "gendarme", "police", "policier", "securite", "militaire", "douan"]), ("enseignement", ["prof", "educat", "formateur", "instit"]), ("bouche", ["boulang", "patiss", "cuisin", "serveu", "barman", "boucher"]), ("etudes", ["etudiant"])]
-_CASE = " ".join("when " + " or ".join(f"contains(t, '{k}')" for k in ks) + f" then '{c}'" for c, ks in FAMILIES)
-
 
 @query(f"""select id, replace({FOLD.format("nom")}, ' ', '-') as slug from personnes""")
 def f01_slugs(spark, d):
     return table(spark, d, "personnes").select("id", slug(F.col("nom")).alias("slug"))
 
 
-@query(f"""select ligne, case when profession is not null then case {_CASE} else 'autre' end end as famille from (select ligne, profession, {FOLD.format("regexp_replace(profession, '[^[:ascii:]À-ÿŒœ]', ' ', 'g')")} as t from participations)""")
+_ASCII = "regexp_replace({}, '[^[:ascii:]À-ÿŒœ]', ' ', 'g')"
+
+
+@query(f"""with v as (select distinct profession, {FOLD.format(_ASCII.format("profession"))} as t from participations where profession is not null), r as (select code, poste, {FOLD.format(_ASCII.format("libelle"))} as mot from ref_metiers), f as (select v.profession, arg_min(r.poste, r.code) as poste from v join r on contains(v.t, r.mot) group by v.profession)
+select p.ligne, case when p.profession is not null then coalesce(f.poste, 'autre') end as famille from participations p left join f using (profession)""")
 def f03_job_families(spark, d):
-    c = F.regexp_replace("profession", r"[^\x00-\x7FÀ-ÿŒœ]", " ")
-    return table(spark, d, "participations").select("ligne", D.first_match(c, FAMILIES, "autre").alias("famille"))
+    """The family of an occupation: that of the list's first entry that the typed text holds."""
+    clean = lambda c: words(F.regexp_replace(c, r"[^\x00-\x7FÀ-ÿŒœ]", " "))
+    p = table(spark, d, "participations").select("ligne", "profession")
+    v = p.filter("profession is not null").select("profession").distinct()
+    return p.join(D.family_of(v, "profession", clean, table(spark, d, "ref_metiers"), "libelle", "code", "poste"), "profession", "left").select("ligne", F.when(F.col("profession").isNotNull(), F.coalesce("poste", F.lit("autre"))).alias("famille"))
 
 
 @query(f"""{P} select saison, id, case when sort = 'vainqueur' and genre = 'f' then 'Gagnante' when sort = 'vainqueur' then 'Gagnant' when sort = 'finaliste' then 'Finaliste' else sort end as libelle from parts""")

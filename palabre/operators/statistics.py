@@ -85,14 +85,14 @@ def null_draws(groups: DataFrame, keys: str, draws: int, seed: str, statistic: C
     return groups.mapInArrow(sums, "draw int, s double, c bigint").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("x"))
 
 
-def permutation_test(observed: DataFrame, draws: DataFrame) -> DataFrame:
+def permutation_test(observed: DataFrame, draws: DataFrame, slack: float = 1e-12) -> DataFrame:
     """(observed, expected, sd, z, p, n): two-sided around the null mean with the +1 correction.
 
-    ``observed.x`` is one row, ``draws.x`` a row a draw. A null without dispersion gives a null z.
+    ``observed.x`` is one row, ``draws.x`` a row a draw; draws within ``slack`` of it count as as far. A null without dispersion gives a null z.
     """
     m = draws.agg(F.avg("x").alias("expected"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))
     both = observed.select(F.col("x").alias("observed")).crossJoin(m)
-    k = draws.crossJoin(F.broadcast(both)).agg(F.count_if(F.abs(F.col("x") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected")) - 1e-12).alias("k"))  # one row
+    k = draws.crossJoin(F.broadcast(both)).agg(F.count_if(F.abs(F.col("x") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected")) - slack).alias("k"))  # one row
     z = F.when(F.col("sd") > 1e-12, (F.col("observed") - F.col("expected")) / F.col("sd"))
     return both.crossJoin(k).select("observed", "expected", "sd", z.alias("z"), ((F.col("k") + 1) / (F.col("n") + 1)).alias("p"), "n")
 
