@@ -22,16 +22,19 @@ LONG_LETTERS = 7  # words from this length on may differ by two edits
 MOST = 2.9  # greatest cost of a match
 QUOTED = re.compile(r"[«“\"„][^»”\"]*[»”\"]")
 SURELY = re.compile(PLAIN)  # texts that are in their consistent form already
+MAY_BE_GLUED = re.compile(r"[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]|[^\x00-ÿ]")  # what parted words match, and some more
 GLUED = regex.compile(r"(\p{Ll})(\p{Lu})")
+LIGATURES = str.maketrans({"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "đ": "d", "ł": "l"})
+MARKS = regex.compile(r"\p{M}+")
+WORDS = re.compile(r"[^\W_]+")
 
 
 def folded(text: str) -> str:
     """Words of a text in lower case, without accents, parted by single spaces."""
     t = text.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t.replace("œ", "oe").replace("æ", "ae").replace("ß", "ss").replace("ø", "o").replace("đ", "d").replace("ł", "l"))
-        t = "".join(c for c in t if not unicodedata.combining(c))
-    return " ".join(re.findall(r"[^\W_]+", t))
+        t = MARKS.sub("", unicodedata.normalize("NFKD", t.translate(LIGATURES)))
+    return " ".join(WORDS.findall(t))
 
 
 def folded_name(text: str | None) -> str:
@@ -39,9 +42,9 @@ def folded_name(text: str | None) -> str:
     if not text:
         return ""
     t = QUOTED.sub(" ", text)
-    if not SURELY.match(t):
+    if not t.isascii() and not SURELY.match(t):
         t = consistent(t)
-    return folded(GLUED.sub(r"\1 \2", t) if not t.isupper() else t)
+    return folded(GLUED.sub(r"\1 \2", t) if MAY_BE_GLUED.search(t) else t)
 
 
 def _spelled(*columns: pd.Series) -> pd.Series:
@@ -49,8 +52,13 @@ def _spelled(*columns: pd.Series) -> pd.Series:
     out = []
     for row in zip(*columns):
         if (n := known.get(row)) is None:
-            texts = [folded_name(x) for x in row]
-            n = known[row] = next((t for t in texts if " " in t), None) or next((t for t in texts if t), "")
+            first = n = ""
+            for x in row:
+                n = folded_name(x)
+                if " " in n:
+                    break
+                first = first or n
+            n = known[row] = n if " " in n else first
         out.append(n)
     return pd.Series(out)
 
