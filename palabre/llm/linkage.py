@@ -232,7 +232,7 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     bears = bears.join(given, "g", "left_semi").select("saison", "ent", "g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), initials))).alias("i")).distinct()
     singles = _single_words(c.select("n"))
     named = c.filter(F.col("typed").isNotNull()).join(singles, "n").join(given_matches(singles.select("w"), given, nicks), "w")
-    named = named.select("fiche", F.col("typed").alias("saison"), "g", "i", "gcost", "age", "job", "place")
+    named = cut(named.select("fiche", F.col("typed").alias("saison"), "g", "i", "gcost", "age", "job", "place"))
     once = bears.select("saison", "g", "ent").distinct().groupBy("saison", "g").agg(F.count("*").alias("k"), F.min("ent").alias("ent")).withColumn("i", F.lit("")).unionByName(bears.filter(F.col("i") != "").groupBy("saison", "g", "i").agg(F.countDistinct("ent").alias("k"), F.min("ent").alias("ent")))
     b = named.join(once.filter(F.col("k") == 1), ["saison", "g", "i"]).select("fiche", "saison", "ent", (F.col("gcost") + 1.0).alias("cost"), F.lit(3).alias("v_name"))
     keyed = bears.join(who, ["saison", "ent"])
