@@ -10,13 +10,15 @@ square of its length. Results of words are kept in a cache of bounded size in ea
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import even
 
@@ -111,7 +113,7 @@ def encoder(path: str, pattern: str = PATTERN) -> Encoder:
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(SparkFiles.get(path)).encode
         for b in batches:
             ids = pa.array([encode(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], ["id", "ids"])
@@ -119,9 +121,19 @@ def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The vocabulary file sent to every executor, once for each context; its name there."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_palabre_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sc._palabre_files = sent | {path}
+    return os.path.basename(path)
+
+
 def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path).count
+        count = encoder(SparkFiles.get(path)).count
         for b in batches:
             i = b.schema.get_field_index("text")
             yield b.remove_column(i).append_column("n_tokens", pa.array([count(t) for t in b.column(i).to_pylist()], pa.int64()))
@@ -133,7 +145,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, path: str = BYTE_BPE_
     """(``doc_id``, ids) of every row. Empty and null texts give an empty array; repeated rows come out
     as often; special tokens don't exist, their strings are ordinary text. Only narrow work, no shuffle."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = even(docs.select(docs[doc_id].alias("id"), docs[text].alias("text")), "id").mapInArrow(_encoding(path), f"id {kind}, ids array<int>")
+    out = even(docs.select(docs[doc_id].alias("id"), docs[text].alias("text")), "id").mapInArrow(_encoding(shipped(docs.sparkSession, path)), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", doc_id)
 
 
@@ -141,4 +153,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str, path: str = BYTE_B
     """``keep`` and ``n_tokens`` of every row; an empty or null text has none."""
     slim = docs.select(*[docs[c].alias(c) for c in keep], docs[text].alias("text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return even(slim, keep[0]).mapInArrow(_counting(path), f"{kinds}, n_tokens bigint")
+    return even(slim, keep[0]).mapInArrow(_counting(shipped(docs.sparkSession, path)), f"{kinds}, n_tokens bigint")
