@@ -69,6 +69,6 @@ def family_of(values: DataFrame, value: str, folded: Callable[[Column], Column],
     rows = entries.select(folded(F.col(label)).alias("w"), order, family).filter(F.col("w") != "").orderBy(order).limit(LIST_MAX + 1).collect()
     if len(rows) > LIST_MAX:
         raise ValueError(f"more than {LIST_MAX} entries")
-    listed = F.array(*[F.struct(F.lit(r["w"]).alias("w"), F.lit(r[family]).alias("f")) for r in rows])
+    listed = F.array(*[F.struct(F.lit(r["w"]).alias("w"), F.lit(r[family]).alias("f")) for r in rows]).cast("array<struct<w:string,f:string>>")
     d = values.select(value, folded(F.col(value)).alias("_t")).withColumn("_hit", F.filter(listed, lambda e: F.contains(F.col("_t"), e["w"])))
     return d.filter(F.size("_hit") > 0).select(value, F.col("_hit")[0]["f"].alias(family))

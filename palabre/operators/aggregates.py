@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,3 +87,20 @@ def longest_run(df: DataFrame, by: list[str], order: list[str], value: str) -> D
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with its place under a total order, from a sort by ranges: no task holds all rows.
+
+    ``cut`` materialises the sorted rows, so that a partition is the same when it is counted and when it is
+    numbered; one count a partition comes to the driver.
+    """
+    part = F.spark_partition_id()
+    rows = cut(df.orderBy(*order).withColumn("_p", part).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
+    counts = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    start = df.sparkSession.createDataFrame(starts, "_p int, _s bigint")
+    return rows.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")  # a row a partition

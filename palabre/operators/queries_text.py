@@ -9,7 +9,8 @@ from ..functions import domain as D
 from ..functions import grid as G
 from ..functions.text import slug, words
 from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
-from ..session import table
+from ..session import cut, table
+from . import aggregates as A
 from . import quality as V
 from .resolution import cascade, fill_if_unanimous
 
@@ -141,9 +142,9 @@ select id, editions, cast(victoires as bigint) as victoires, derniere, parcours,
 def v01_person_cards(spark, d):
     p = parts(spark, d).filter("annee is not null")
     g = p.groupBy("id").agg(F.count("*").alias("editions"), F.sum("vi").cast("bigint").alias("victoires"), F.max("annee").alias("derniere"), F.array_sort(F.collect_list(F.struct("annee", "saison", "sort"))).alias("l"))
-    w = Window.orderBy(F.coalesce("victoires", F.lit(0)).desc(), "id")  # a published ranking numbers every person in one order
     path = F.array_join(F.transform("l", lambda x: F.concat(x["saison"], F.lit(":"), F.coalesce(x["sort"], F.lit("?")))), " ")
-    return g.select("id", "editions", "victoires", "derniere", path.alias("parcours"), F.rank().over(w).alias("rang"))
+    g = g.select("id", "editions", "victoires", "derniere", path.alias("parcours"))
+    return A.global_rank(g, [F.coalesce("victoires", F.lit(0)).desc(), F.col("id").asc()], "rang", cut)
 
 
 @query(f"""{P} select saison, string_agg(id, ',' order by coalesce(jour, 9999) desc, id) filter (where sort in ('vainqueur', 'finaliste')) as finalistes, count(*) as n, cast(sum(vi) as bigint) as victoires from parts group by saison""")

@@ -264,3 +264,45 @@ def test_clusters_beyond_four_and_without_outliers(spark):
     blobs = [Vectors.dense(*rng.normal(c, 0.3)) for c in at for _ in range(40)]
     groups = lambda rows: sorted(r["count"] for r in _best_clusters(spark.createDataFrame([(v,) for v in rows], ["features"]).cache()).groupBy("prediction").count().collect())
     assert groups(blobs) == [40] * 5
+
+
+def test_every_table_of_a_text_and_wide_spans(spark):
+    from palabre.functions import grid as G
+
+    text = "{|\n| a || colspan=2000 | b\n|}\nx\n{|\n! c\n|-\n| rowspan=99999 d\n|}"
+    t = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "<table><tr><td>e</table> <TABLE><tr><th colspan=2>f</TABLE>")], "id int, text string")
+    c = G.table_cells(t, ["id"], "text").collect()
+    assert {(r["id"], r["table"]) for r in c} == {(1, 0), (1, 1), (4, 0), (4, 1)}
+    assert sum(r["table"] == 0 and r["id"] == 1 for r in c) == 1001  # a span of columns ends at 1000, as in HTML
+    assert [(r["row"], r["text"]) for r in c if r["id"] == 1 and r["table"] == 1] == [(0, "c"), (1, "d")]
+    assert sum(r["id"] == 4 and r["text"] == "f" for r in c) == 2
+
+
+def test_pages_without_anything(spark):
+    from palabre.functions import wiki as K
+
+    t = spark.createDataFrame([(1, None), (2, ""), (3, "texte"), (4, "{{Infobox\n| a2 = x\n| vide =\n}}\n| b = y\n== T ==\nc")], "id int, text string")
+    assert sorted(map(tuple, K.infobox(t, ["id"], "text").collect())) == [(4, "a", 2, "x")]
+    assert sorted(map(tuple, K.sections(t, ["id"], "text").collect())) == [(4, "T", "c")]
+    assert K.by_header(t, ["id"], "text", {"x": ["x"]}).count() == 0
+
+
+def test_global_rank_is_a_row_number(spark):
+    from palabre.operators.aggregates import global_rank
+    from palabre.session import cut
+
+    d = spark.createDataFrame([(i, i % 7) for i in range(500)], "id int, v int").repartition(9)
+    got = global_rank(d, [F.col("v").desc(), F.col("id").asc()], "rank", cut).collect()
+    want = sorted(((i, i % 7) for i in range(500)), key=lambda x: (-x[1], x[0]))
+    assert [(r["id"], r["v"]) for r in sorted(got, key=lambda r: r["rank"])] == want and {r["rank"] for r in got} == set(range(1, 501))
+    assert global_rank(d.limit(0), [F.col("id").asc()], "rank", cut).count() == 0
+
+
+def test_family_of_a_list(spark):
+    from palabre.functions.domain import family_of
+    from palabre.functions.text import words
+
+    v = spark.createDataFrame([("Ancien maçon, Lyon",), ("maçon boulanger",), ("dompteur",), (None,), ("",)], "v string")
+    e = spark.createDataFrame([("b", "Maçon", "chantier"), ("a", "Boulanger", "bouche"), ("c", None, "x"), ("d", "", "y")], "code string, libelle string, poste string")
+    assert sorted(map(tuple, family_of(v, "v", words, e, "libelle", "code", "poste").collect())) == [("Ancien maçon, Lyon", "chantier"), ("maçon boulanger", "bouche")]
+    assert family_of(v, "v", words, e.limit(0), "libelle", "code", "poste").count() == 0
