@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as X
@@ -102,17 +102,36 @@ def st08_detrended_years(spark, d):
     return a.crossJoin(F.broadcast(f)).select(F.col("x").alias("annee"), R6(F.col("y") - (F.col("s") * F.col("x") + F.col("i")), "reste"))  # one row
 
 
-@query()
+@query(f"""{P}, t as (select count(*) filter (where genre = 'f' and sort in ('vainqueur', 'finaliste')) as f1, count(*) filter (where genre = 'f' and sort not in ('vainqueur', 'finaliste')) as f0, count(*) filter (where genre = 'h' and sort in ('vainqueur', 'finaliste')) as h1, count(*) filter (where genre = 'h' and sort not in ('vainqueur', 'finaliste')) as h0 from reg where genre in ('f', 'h') and sort is not null),
+ m as (select *, f1 + f0 as r, f1 + h1 as c, f1 + f0 + h1 + h0 as n from t), k as (select m.*, unnest(range(greatest(0, r + c - n), least(r, c) + 1)) as i from m),
+ q as (select *, exp(lgamma(c + 1) - lgamma(i + 1) - lgamma(c - i + 1) + lgamma(n - c + 1) - lgamma(r - i + 1) - lgamma(n - c - r + i + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1)) as q from k)
+ select f1, f0, h1, h0, round(least(1, sum(q) filter (where q <= (select max(q) from q where i = f1) * (1 + 1e-7))), 6) as p from q group by all""")
 def st09_fisher_gender_and_final(spark, d):
-    r = regular(parts(spark, d)).filter("genre in ('f', 'h') and sort is not null").agg(*[F.count_if((F.col("genre") == g) & (F.col("sort").isin("vainqueur", "finaliste") == F.lit(e))).alias(f"{g}{int(e)}") for g in "fh" for e in (True, False)]).collect()[0]
-    return spark.createDataFrame([(r["f1"], r["f0"], r["h1"], r["h0"], X.fisher_exact(r["f1"], r["f0"], r["h1"], r["h0"]))], "f1 bigint, f0 bigint, h1 bigint, h0 bigint, p double")
+    """Fisher's exact test of gender and final, made on an executor from the one row of counts."""
+    r = regular(parts(spark, d)).filter("genre in ('f', 'h') and sort is not null").agg(*[F.count_if((F.col("genre") == g) & (F.col("sort").isin("vainqueur", "finaliste") == F.lit(e))).alias(f"{g}{int(e)}") for g in "fh" for e in (True, False)])
 
+    def test(batches):
+        for b in batches:
+            yield b.assign(p=[round(X.fisher_exact(*map(int, t)), 6) for t in zip(b["f1"], b["f0"], b["h1"], b["h0"])])
 
-@query()
+    return r.mapInPandas(test, "f1 bigint, f0 bigint, h1 bigint, h0 bigint, p double")
+
+
+@query(f"""{P}, f as (select count(*) filter (where genre = 'f') as k, count(*) as n from reg where sort = 'vainqueur' and genre is not null), t as (select k, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5)) as q from f, (select unnest(range(0, n + 1)) as i from f))
+ select k, n, round(least(1, sum(q) filter (where q <= (select max(q) from t where i = k) * (1 + 1e-7))), 6) as p, case when k > 0 then 0.025 else 0.0 end as sous_bas, case when k < n then 0.025 else 0.0 end as sur_haut from t group by k, n""")
 def st10_binomial_women_winners(spark, d):
-    r = regular(parts(spark, d)).filter("sort = 'vainqueur' and genre is not null").agg(F.count("*").alias("n"), F.count_if(F.col("genre") == "f").alias("k")).collect()[0]
-    lo, hi = X.clopper_pearson(r["k"], r["n"]) if r["n"] else (None, None)
-    return spark.createDataFrame([(r["k"], r["n"], X.binomial_test(r["k"], r["n"]), lo, hi)], "k bigint, n bigint, p double, low double, high double")
+    """The exact binomial test, and the chances of as many or more at the interval's lower bound and of as few or fewer at its upper one."""
+    r = regular(parts(spark, d)).filter("sort = 'vainqueur' and genre is not null").agg(F.count_if(F.col("genre") == "f").alias("k"), F.count("*").alias("n"))
+
+    def test(batches):
+        for b in batches:
+            rows = []
+            for k, n in zip(map(int, b["k"]), map(int, b["n"])):
+                lo, hi = X.clopper_pearson(k, n) if n else (0.0, 1.0)
+                rows.append((X.binomial_test(k, n), X.incomplete_beta(k, n - k + 1, lo) if 0 < k else 0.0, 1 - X.incomplete_beta(k + 1, n - k, hi) if k < n else 0.0))
+            yield b.assign(**{c: [round(x[i], 6) for x in rows] for i, c in enumerate(("p", "sous_bas", "sur_haut"))})
+
+    return r.mapInPandas(test, "k bigint, n bigint, p double, sous_bas double, sur_haut double")
 
 
 _RATE = f"""v as (select saison, votant as id, count(*) as n, cast(count(*) filter (where cible = elimine) as double) / count(*) as x from ballots where type = 'elimination' and votant_ok and votant is distinct from elimine and elimine is not null group by all)"""
@@ -288,4 +307,59 @@ def m18_mechanical_hazard(spark, d):
     return g.select("decile", "n", R6(F.col("a") / F.col("n"), "attendu"), R6(F.col("k") / F.col("n"), "observe"))
 
 
+def _zeros(*names: str) -> str:
+    return "select * from (values " + ", ".join(f"('{n}', 0.0::double)" for n in names) + ") t(term, score)"
+
+
+def _score(rows: DataFrame, **terms: Column) -> DataFrame:
+    """(term, score): the sums of the terms' scores over all rows, which vanish where the likelihood is greatest."""
+    one = rows.agg(*[(F.round(F.sum(x), 4) + 0.0).alias(n) for n, x in terms.items()])
+    return one.unpivot([], list(terms), "term", "score")
+
+
+@query(_zeros("intercept", "age", "vi"))
+def m07_score_at_the_estimate(spark, d):
+    """The logit model's estimates put into its score, ridge included."""
+    rows = cut(_model_rows(spark, d))
+    b = [float(x) for x in S.logit(rows, ["age", "vi"], "gagne", 1e-3)]
+    r = rows.dropna(subset=["age", "vi", "gagne"])
+    e = F.col("gagne") - 1 / (1 + F.exp(-(b[0] + b[1] * F.col("age") + b[2] * F.col("vi"))))
+    t = _score(r, intercept=e, age=e * F.col("age"), vi=e * F.col("vi"))
+    ridge = F.when(F.col("term") == "intercept", b[0]).when(F.col("term") == "age", b[1]).otherwise(b[2]) * 1e-3
+    return t.select("term", (F.round(F.col("score") - ridge, 2) + 0.0).alias("score"))
+
+
+@query(_zeros("intercept", "age", "femme"))
+def m06_score_at_the_estimate(spark, d):
+    """The Poisson model's estimates put into its score."""
+    rows = cut(_model_rows(spark, d))
+    b = [float(x) for x in S.poisson(rows, ["age", "femme"], "votes", "jour")]
+    r = rows.dropna(subset=["age", "femme", "votes", "jour"]).filter("jour > 0")
+    e = F.col("votes") - F.col("jour") * F.exp(b[0] + b[1] * F.col("age") + b[2] * F.col("femme"))
+    return _score(r, intercept=e, age=e * F.col("age"), femme=e * F.col("femme"))
+
+
+@query(_zeros("intercept", "age", "femme", "vi"))
+def m10_residuals_are_orthogonal(spark, d):
+    """Residuals of the least squares, summed with each regressor."""
+    rows = cut(_model_rows(spark, d))
+    b = {r["term"]: r["estimate"] for r in S.ols(rows, ["age", "femme", "vi"], "survie", "saison").collect()}  # a row a term
+    e = F.col("survie") - (b["intercept"] + b["age"] * F.col("age") + b["femme"] * F.col("femme") + b["vi"] * F.col("vi"))
+    return _score(rows.dropna(subset=["age", "femme", "vi", "survie", "saison"]), intercept=e, age=e * F.col("age"), femme=e * F.col("femme"), vi=e * F.col("vi"))
+
+
+@query(_zeros("age", "vi", "votes"))
+def m11_score_at_the_estimate(spark, d):
+    """The choice model's estimates put into its score by season, ridge included."""
+    rows = cut(_model_rows(spark, d))
+    xs = ["age", "vi", "votes"]
+    b = [float(x) for x in S.conditional_logit(rows, ["saison"], xs, "gagne", 1e-3)]
+    w = Window.partitionBy("saison")
+    r = rows.dropna(subset=xs).withColumn("n", F.sum("gagne").over(w)).filter("n = 1").withColumn("e", F.exp(sum((F.lit(c) * F.col(x) for c, x in zip(b, xs)), F.lit(0.0))))
+    r = r.withColumn("q", F.col("gagne") - F.col("e") / F.sum("e").over(w))
+    t = _score(r, **{x: F.col("q") * F.col(x) for x in xs})
+    ridge = F.when(F.col("term") == "age", b[0]).when(F.col("term") == "vi", b[1]).otherwise(b[2]) * 1e-3
+    return t.select("term", (F.round(F.col("score") - ridge, 2) + 0.0).alias("score"))
+
+
 QUERIES = Q
