@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import PARTICLES, form_cost, given_matches, matches, name_keys, nicknames, profiled, spelled, split_words
+from .names import PARTICLES, form_cost, given_matches, matches, merged, name_keys, nicknames, profiled, spelled, split_words
 
 MARGIN = 0.25  # by which the best match must be ahead of another person's
 AGAIN = 0.2  # cost of a match with a spelling taken over
@@ -57,10 +57,10 @@ def learned_forms(names: DataFrame, targets: DataFrame) -> DataFrame:
     d = names.select("n", split_words(F.col("n")).alias("ws"))
     d = d.filter(F.size("ws") > 1).select("n", "ws", F.explode(F.array_distinct("ws")).alias("f"))
     left = F.filter("ws", lambda x: (x != F.col("f")) & ~x.isin(PARTICLES))
-    d = d.join(alone.select("f", "sp", "g"), "f").withColumn("left", left).filter(F.size("left").between(1, 2)).select("sp", "g", F.array_join("left", " ").alias("nick"))
+    d = d.join(merged(alone.select("f", "sp", "g")), "f").withColumn("left", left).filter(F.size("left").between(1, 2)).select("sp", "g", F.array_join("left", " ").alias("nick"))
     votes = d.filter((F.length("nick") > 1) & (F.col("nick") != F.col("g"))).distinct().groupBy("nick", "g").agg(F.count("*").alias("n"))
     votes = votes.withColumn("all", F.sum("n").over(Window.partitionBy("nick"))).filter((F.col("n") >= SUPPORT) & (F.col("n") >= F.lit(SHARE) * F.col("all")))
-    votes = votes.join(targets.select(F.col("g").alias("nick")).distinct(), "nick", "left_anti")
+    votes = votes.join(merged(targets.select(F.col("g").alias("nick")).distinct()), "nick", "left_anti")
     return votes.filter(F.coalesce(form_cost("nick", "g"), F.lit(9.0)) >= EXPLAINED).select("nick", F.col("g").alias("given"))
 
 
@@ -78,15 +78,15 @@ def resolve(names: DataFrame, targets: DataFrame, known: DataFrame, evidence: Da
     known = cut(known.select("nick", "given").union(learned_forms(names.union(evidence).distinct(), targets)).distinct())
     forms = other_forms(known)
     found = cut(one(matches(name_keys(names), targets.select("sp").distinct(), forms).withColumnRenamed("sp", "own")))
-    linked = cut(clear_best(found, ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
+    linked = cut(clear_best(found, ["n"], "own").join(merged(spellings), "own").select("n", "own", "pid", "f", "w"))
     fresh = linked
     while True:
         # spellings of the names merged last that their profiles don't have yet
         spelled = fresh.filter(F.length("w") > 2).select(F.concat_ws("|", "w", "f").alias("sp"), "own").filter(F.col("sp") != F.col("own")).distinct()
-        still = names.join(linked.select("n"), "n", "left_anti")
-        more = matches(name_keys(still), spelled, forms).join(spelled, "sp").select("n", "own", (F.col("cost") + F.lit(AGAIN)).alias("cost"), "f", "w")
+        still = names.join(merged(linked.select("n")), "n", "left_anti")
+        more = matches(name_keys(still), spelled, forms).join(merged(spelled), "sp").select("n", "own", (F.col("cost") + F.lit(AGAIN)).alias("cost"), "f", "w")
         found = cut(one(found.unionByName(more)))
-        fresh = cut(clear_best(found.join(linked.select("n"), "n", "left_anti"), ["n"], "own").join(spellings, "own").select("n", "own", "pid", "f", "w"))
+        fresh = cut(clear_best(found.join(merged(linked.select("n")), "n", "left_anti"), ["n"], "own").join(merged(spellings), "own").select("n", "own", "pid", "f", "w"))
         if fresh.isEmpty():
             break
         linked = linked.unionByName(fresh)
@@ -106,7 +106,7 @@ def own_spellings(people: DataFrame, given: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("o"), F.element_at("ws", 1).alias("g"), part(2, n - 1).alias("fs")),
         F.struct(F.lit(1).alias("o"), F.element_at("ws", -1).alias("g"), part(1, n - 1).alias("fs")),
     )
-    d = d.select("ent", "ws", F.inline(cuts)).join(given.select("g", F.lit(True).alias("known")), "g", "left")
+    d = d.select("ent", "ws", F.inline(cuts)).join(merged(given.select("g", F.lit(True).alias("known"))), "g", "left")
     each = d.groupBy("ent", "ws").agg(F.collect_set(F.struct(F.coalesce("known", F.lit(False)).alias("known"), "o", "g", "fs")).alias("cuts"))  # three at most
     top = F.array_max("cuts")
     each = each.select("ent", F.inline(F.when(top["known"], F.array(top)).otherwise(F.col("cuts"))))
@@ -124,15 +124,15 @@ def entities(people: DataFrame, given: DataFrame, nicks: DataFrame) -> DataFrame
     open_ = people.filter(F.col("pid").isNull() & F.col("n").contains(" ")).select("saison", "n", none.alias("key")).distinct()
     own = own_spellings(open_.select(F.col("n").alias("ent"), "n"), given)
     met = matches(name_keys(open_.select("n").distinct()), own, other_forms(nicks, both=True)).filter(F.col("cost") <= MERGED)
-    met = met.join(own.select(F.col("ent").alias("m"), "sp"), "sp").groupBy("n", "m").agg(F.min("cost").alias("cost"))
+    met = met.join(merged(own.select(F.col("ent").alias("m"), "sp")), "sp").groupBy("n", "m").agg(F.min("cost").alias("cost"))
     there = open_.select("saison", F.col("n").alias("m"), F.col("key").alias("other"))
-    edges = open_.join(met, "n").join(there, ["saison", "m"]).filter(F.col("key") != F.col("other")).groupBy("saison", "key", "other").agg(F.min("cost").alias("cost"))
+    edges = open_.join(merged(met), "n").join(merged(there), ["saison", "m"]).filter(F.col("key") != F.col("other")).groupBy("saison", "key", "other").agg(F.min("cost").alias("cost"))
     best = clear_best(edges, ["saison", "key"], "other").select("saison", "key", F.least("key", "other").alias("to"))
     best = cut(best)
     on = best.select("saison", F.col("key").alias("to"), F.col("to").alias("last"))
-    best = best.join(on, ["saison", "to"], "left").select("saison", "key", F.coalesce(F.least("last", "to"), F.col("to")).alias("to"))
+    best = best.join(merged(on), ["saison", "to"], "left").select("saison", "key", F.coalesce(F.least("last", "to"), F.col("to")).alias("to"))
     keyed = people.withColumn("key", F.when(F.col("n").contains(" "), none).otherwise(F.col("id")))
-    return keyed.join(best, ["saison", "key"], "left").withColumn("ent", F.coalesce("pid", F.concat(F.lit("\u0001"), F.coalesce("to", "key")))).drop("key", "to")
+    return keyed.join(merged(best), ["saison", "key"], "left").withColumn("ent", F.coalesce("pid", F.concat(F.lit("\u0001"), F.coalesce("to", "key")))).drop("key", "to")
 
 
 def _single_words(names: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def _among_group(labels: DataFrame, present: DataFrame, nicks: DataFrame) -> Dat
     counted = whole.select("saison", "g", "i", "people", "pid").unionByName(part.select("saison", "g", "i", "people", "pid").filter(F.col("i") != ""))
     singles = _single_words(labels.select("n"))
     given = given_matches(singles.select("w"), present.select("g"), nicks)
-    x = labels.select("saison", "n").distinct().join(singles, "n").join(given, "w").join(counted, ["saison", "g", "i"])
+    x = labels.select("saison", "n").distinct().join(merged(singles), "n").join(merged(given), "w").join(merged(counted), ["saison", "g", "i"])
     # the cheapest reading decides; it must mean one person
     level = x.groupBy("saison", "n").agg(F.min("gcost").alias("least"))
-    x = x.join(level, ["saison", "n"]).filter(F.col("gcost") < F.col("least") + MARGIN)
+    x = x.join(merged(level), ["saison", "n"]).filter(F.col("gcost") < F.col("least") + MARGIN)
     return x.groupBy("saison", "n").agg(F.sum("people").alias("people"), F.min("pid").alias("pid")).filter((F.col("people") == 1) & F.col("pid").isNotNull()).select("saison", "n", "pid")
 
 
@@ -180,13 +180,13 @@ def link_people(part: DataFrame, persons: DataFrame, more: DataFrame | None = No
     quoted = part.select(F.explode(F.array("nom", "nom_complet")).alias("nom")).filter(F.col("nom").isNotNull()).distinct()
     targets = cut(profiles(persons, "id", "nom", "prenom"))
     listed = persons.select("id").dropna().distinct().withColumn("pid", F.col("id"))
-    keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(listed, "id", "left")
+    keyed = part.select("saison", "id", "nom", "nom_complet").distinct().join(merged(listed), "id", "left")
     keyed = cut(spell_rows(keyed.withColumn("slug", F.replace("id", F.lit("-"), F.lit(" "))), ["nom_complet", "nom", "slug"]).select("saison", "id", "n", "pid"))
     names = keyed.filter(F.col("pid").isNull() & (F.col("n") != "")).select("n")
     names = (names if more is None else names.union(more.select("n"))).distinct()
     linked, found, nicks = resolve(names, targets, nicknames(quoted, "nom"), names.limit(0) if evidence is None else evidence.select("n"))
     via = linked.filter(F.col("pid").isNotNull()).select("n", F.col("pid").alias("via"))
-    people = keyed.join(via, "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
+    people = keyed.join(merged(via), "n", "left").select("saison", "id", "n", F.coalesce("pid", "via").alias("pid"))
     return cut(people), found, targets, nicks
 
 
@@ -204,29 +204,29 @@ def spelling_links(part: DataFrame, councils: DataFrame, persons: DataFrame) ->
     listed = persons.select("id").dropna().distinct()
     mine = people.filter(F.col("pid").isNotNull() & (F.col("pid") != F.col("id")))
     mine = mine.groupBy("saison", "id").agg(F.min("pid").alias("pid"), F.countDistinct("pid").alias("k")).filter(F.col("k") == 1)
-    rows = part.select("ligne", "saison", "id").join(listed, "id", "left_anti").join(mine, ["saison", "id"]).select(F.lit("participations").alias("origine"), "ligne", F.col("pid").alias("id"))
+    rows = part.select("ligne", "saison", "id").join(merged(listed), "id", "left_anti").join(merged(mine), ["saison", "id"]).select(F.lit("participations").alias("origine"), "ligne", F.col("pid").alias("id"))
 
     # who was there: listed people, and others under their own id
     who = people.select("saison", "n", F.coalesce("pid", F.concat(F.lit("\u0001"), F.col("id"))).alias("pid")).distinct()
     initials = F.transform(split_words(F.substring_index("sp", "|", -1)), lambda f: F.substring(f, 1, 1))
-    named = cut(who.select("saison", "pid").distinct().join(targets, "pid"))
+    named = cut(who.select("saison", "pid").distinct().join(merged(targets), "pid"))
     given = targets.select("g").distinct()
     strangers = who.filter(F.col("pid").startswith("\u0001")).select("saison", "pid", split_words(F.col("n")).alias("ws"))
     runs = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(2), F.size("ws") - s + 1)), lambda k: F.array_join(F.slice("ws", s, k), " ")))
-    strangers = strangers.filter(F.size("ws") > 0).select("saison", "pid", "ws", F.explode(F.array_distinct(F.flatten(runs))).alias("g")).join(given, "g")
+    strangers = strangers.filter(F.size("ws") > 0).select("saison", "pid", "ws", F.explode(F.array_distinct(F.flatten(runs))).alias("g")).join(merged(given), "g")
     strangers = strangers.select("saison", "pid", "g", F.explode(F.array_distinct(F.transform("ws", lambda f: F.substring(f, 1, 1)))).alias("i"))
     present = cut(named.select("saison", "pid", "g", F.explode(initials).alias("i")).unionByName(strangers).distinct())
 
     keys = labels.select("saison", "n").distinct()
     # full names: matched against everybody, kept among those who were there
     there = named.groupBy("saison", F.col("sp").alias("own")).agg(F.when(F.count("*") == 1, F.min("pid")).alias("pid"))
-    cand = keys.join(full, "n").join(there, ["saison", "own"]).select("saison", "n", "own", "pid", "cost")
+    cand = keys.join(merged(full), "n").join(merged(there), ["saison", "own"]).select("saison", "n", "own", "pid", "cost")
     # spellings under which the people of a season stand in that season count as theirs
-    own = people.filter(F.col("pid").isNotNull()).select("saison", "n", "pid").distinct().join(keys, ["saison", "n"]).join(targets.select("pid", F.col("sp").alias("own")), "pid").withColumn("cost", F.lit(0.0))
+    own = people.filter(F.col("pid").isNotNull()).select("saison", "n", "pid").distinct().join(merged(keys), ["saison", "n"]).join(merged(targets.select("pid", F.col("sp").alias("own"))), "pid").withColumn("cost", F.lit(0.0))
     cand = cand.unionByName(own.select(cand.columns)).groupBy("saison", "n", "own").agg(F.min(F.struct("cost", "pid")).alias("b")).select("saison", "n", "own", "b.*")
     cand = cut(cand)
     best = clear_best(cand, ["saison", "n"], "own").filter(F.col("pid").isNotNull()).select("saison", "n", "pid")
-    alone = _among_group(keys.join(cand.select("saison", "n").distinct(), ["saison", "n"], "left_anti"), present, nicks)
-    alone = alone.join(listed.select(F.col("id").alias("pid")), "pid", "left_semi")
-    hits = labels.join(best.unionByName(alone.select("saison", "n", "pid")), ["saison", "n"])
+    alone = _among_group(keys.join(merged(cand.select("saison", "n").distinct()), ["saison", "n"], "left_anti"), present, nicks)
+    alone = alone.join(merged(listed.select(F.col("id").alias("pid"))), "pid", "left_semi")
+    hits = labels.join(merged(best.unionByName(alone.select("saison", "n", "pid"))), ["saison", "n"])
     return rows.unionByName(hits.select(F.lit("conseils").alias("origine"), "ligne", F.col("pid").alias("id")))

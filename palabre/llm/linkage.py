@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..session import cut
 from .identities import _single_words, link_people, other_forms, own_spellings, spell_rows
-from .names import close_words, given_matches, matches, matches_within, name_keys, split_words
+from .names import close_words, given_matches, matches, matches_within, merged, name_keys, split_words
 
 VOTES = ["v_name", "v_group", "v_age", "v_job", "v_place", "v_gender"]
 LEVELS = {"v_name": 5, "v_group": 2, "v_age": 5, "v_job": 3, "v_place": 3, "v_gender": 3}
@@ -157,11 +157,11 @@ def resolve_groups(typed: DataFrame, groups: DataFrame) -> DataFrame:
     e = e.withColumn("number", number.try_cast("int")).withColumn("year", year)
     e = e.withColumn("title", F.trim(F.regexp_replace(F.regexp_replace("t", r"(?:^|\s)(?:19|20)\d\d(?=$|\s)", " "), r"\s+", " ")))
     g = groups.select(F.col("id").alias("saison"), "numero", F.col("annee").alias("annee"), words(F.col("titre")).alias("name")).filter(F.col("name") != "")
-    by_number = e.join(g, F.col("number") == F.col("numero")).select("edition", "saison")
+    by_number = e.join(merged(g), F.col("number") == F.col("numero")).select("edition", "saison")
     g = g.withColumn("core", F.element_at(F.split("name", " "), -1))
     t = e.filter(F.col("number").isNull() & (F.col("title") != "")).select("edition", "title", "year", F.explode(F.array_distinct(F.split("title", " "))).alias("w")).filter(F.length("w") >= 4)
     met = close_words(t.select(F.col("w").alias("a")).distinct(), g.select(F.col("core").alias("b")).distinct())
-    x = t.join(met, F.col("w") == F.col("a")).join(g, F.col("b") == F.col("core"))
+    x = t.join(merged(met), F.col("w") == F.col("a")).join(merged(g), F.col("b") == F.col("core"))
     off = F.levenshtein("title", "name")
     x = x.withColumn("cost", off + F.when(F.col("year").isNull() | (F.col("year") == F.col("annee")), 0).otherwise(3))
     x = x.filter(F.col("cost") <= 4).groupBy("edition", "saison").agg(F.min("cost").alias("cost"))
@@ -202,51 +202,51 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     there = people.select("saison", "ent").distinct()
     strangers = own_spellings(people.filter(F.col("pid").isNull()), given)
     mine = listed.select(F.col("pid").alias("ent"), "g", "sp").unionByName(strangers)
-    bears = cut(there.join(mine, "ent"))  # (saison, ent, g, sp) of those who took part
+    bears = cut(there.join(merged(mine), "ent"))  # (saison, ent, g, sp) of those who took part
 
     # attributes of a person in a season, as sets bounded by their domains
     job_codes = _codes(part.select(F.col("profession").alias("v")).union(cards.select("metier")), job_map)
     place_codes = _codes(part.select(F.col("localisation").alias("v")).union(cards.select("ville")), place_map)
     usable = F.when(F.col("age").between(16, 80), F.col("age"))
     rows = part.select("saison", "id", usable.alias("age"), "profession", "localisation", F.substring("genre", 1, 1).alias("genre")).distinct()
-    rows = rows.join(job_codes.select(F.col("v").alias("profession"), F.col("code").alias("job")), "profession", "left").join(place_codes.select(F.col("v").alias("localisation"), F.col("code").alias("place")), "localisation", "left")
+    rows = rows.join(merged(job_codes.select(F.col("v").alias("profession"), F.col("code").alias("job"))), "profession", "left").join(merged(place_codes.select(F.col("v").alias("localisation"), F.col("code").alias("place"))), "localisation", "left")
     ids = people.groupBy("saison", "id").agg(F.min("ent").alias("ent"))
-    who = rows.join(ids, ["saison", "id"]).groupBy("saison", "ent").agg(F.collect_set("age").alias("ages"), F.collect_set("job").alias("jobs"), F.collect_set("place").alias("places"), F.collect_set("genre").alias("genders"))
+    who = rows.join(merged(ids), ["saison", "id"]).groupBy("saison", "ent").agg(F.collect_set("age").alias("ages"), F.collect_set("job").alias("jobs"), F.collect_set("place").alias("places"), F.collect_set("genre").alias("genders"))
     who = cut(who)
 
-    c = c.join(resolve_groups(cards, groups).withColumnRenamed("saison", "typed"), "edition", "left")
-    c = c.join(job_codes.select(F.col("v").alias("metier"), F.col("code").alias("job")), "metier", "left").join(place_codes.select(F.col("v").alias("ville"), F.col("code").alias("place")), "ville", "left")
+    c = c.join(merged(resolve_groups(cards, groups).withColumnRenamed("saison", "typed")), "edition", "left")
+    c = c.join(merged(job_codes.select(F.col("v").alias("metier"), F.col("code").alias("job"))), "metier", "left").join(merged(place_codes.select(F.col("v").alias("ville"), F.col("code").alias("place"))), "ville", "left")
     c = cut(c.select("fiche", "n", "typed", F.col("edition").isNull().alias("unsaid"), "age", "job", "place", "gender"))
 
     # full names, within the season where it is said; a typed nickname may stand for the given name, or the given
     # name for a nickname that is all that is known
     forms = other_forms(nicks, both=True)
     said = c.filter(F.col("typed").isNotNull()).select("fiche", "n", F.col("typed").alias("saison"))
-    a = said.join(matches_within(said, bears, "saison", forms), ["saison", "n"]).select("fiche", "saison", "ent", "cost")
+    a = said.join(merged(matches_within(said, bears, "saison", forms)), ["saison", "n"]).select("fiche", "saison", "ent", "cost")
     unsaid = c.filter(F.col("typed").isNull() & F.col("unsaid")).select("fiche", "n")
-    any_ = matches(name_keys(unsaid.select("n").distinct()), bears, forms).select("n", "sp", "cost").join(unsaid, "n").join(bears.select("saison", "ent", "sp"), "sp")
+    any_ = matches(name_keys(unsaid.select("n").distinct()), bears, forms).select("n", "sp", "cost").join(merged(unsaid), "n").join(merged(bears.select("saison", "ent", "sp")), "sp")
     a = a.unionByName(any_.select("fiche", "saison", "ent", "cost"))
     a = a.withColumn("v_name", F.when(F.col("cost") <= 0.05, 0).when(F.col("cost") <= 1.0, 1).otherwise(2))
     # a given name, alone or with an initial: those who alone bear it in the season, or who agree in two attributes
     initials = F.transform(split_words(F.substring_index("sp", "|", -1)), lambda f: F.substring(f, 1, 1))
-    bears = bears.join(given, "g", "left_semi").select("saison", "ent", "g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), initials))).alias("i")).distinct()
+    bears = bears.join(merged(given), "g", "left_semi").select("saison", "ent", "g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), initials))).alias("i")).distinct()
     singles = _single_words(c.select("n"))
-    named = c.filter(F.col("typed").isNotNull()).join(singles, "n").join(given_matches(singles.select("w"), given, nicks), "w")
+    named = c.filter(F.col("typed").isNotNull()).join(merged(singles), "n").join(merged(given_matches(singles.select("w"), given, nicks)), "w")
     named = cut(named.select("fiche", F.col("typed").alias("saison"), "g", "i", "gcost", "age", "job", "place"))
     once = bears.select("saison", "g", "ent").distinct().groupBy("saison", "g").agg(F.count("*").alias("k"), F.min("ent").alias("ent")).withColumn("i", F.lit("")).unionByName(bears.filter(F.col("i") != "").groupBy("saison", "g", "i").agg(F.countDistinct("ent").alias("k"), F.min("ent").alias("ent")))
-    b = named.join(once.filter(F.col("k") == 1), ["saison", "g", "i"]).select("fiche", "saison", "ent", (F.col("gcost") + 1.0).alias("cost"), F.lit(3).alias("v_name"))
-    keyed = bears.join(who, ["saison", "ent"])
+    b = named.join(merged(once.filter(F.col("k") == 1)), ["saison", "g", "i"]).select("fiche", "saison", "ent", (F.col("gcost") + 1.0).alias("cost"), F.lit(3).alias("v_name"))
+    keyed = bears.join(merged(who), ["saison", "ent"])
     key = lambda p, x, q, y: F.concat(F.lit(p), x.cast("string"), F.lit(q), y.cast("string"))
     cross = lambda p, xs, q, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: key(p, x, q, y))))
     keyed = keyed.select("saison", "ent", "g", "i", F.explode(F.concat(cross("a", F.col("ages"), "j", F.col("jobs")), cross("a", F.col("ages"), "p", F.col("places")), cross("j", F.col("jobs"), "p", F.col("places")))).alias("k"))
     near = F.when(F.col("age").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.col("age") - 2, F.col("age") + 2))
     one = lambda x: F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.array(x))
     mine = named.select("fiche", "saison", "g", "i", "gcost", F.explode(F.concat(cross("a", near, "j", one(F.col("job"))), cross("a", near, "p", one(F.col("place"))), cross("j", one(F.col("job")), "p", one(F.col("place"))))).alias("k"))
-    d = mine.alias("m").join(keyed.alias("t"), (F.col("m.saison") == F.col("t.saison")) & (F.col("m.g") == F.col("t.g")) & (F.col("m.k") == F.col("t.k")) & ((F.col("m.i") == "") | (F.col("m.i") == F.col("t.i"))))
+    d = mine.alias("m").join(merged(keyed).alias("t"), (F.col("m.saison") == F.col("t.saison")) & (F.col("m.g") == F.col("t.g")) & (F.col("m.k") == F.col("t.k")) & ((F.col("m.i") == "") | (F.col("m.i") == F.col("t.i"))))
     d = d.select("m.fiche", "m.saison", "t.ent", (F.col("m.gcost") + 1.2).alias("cost"), F.lit(4).alias("v_name"))
     pairs = a.unionByName(b).unionByName(d).groupBy("fiche", "saison", "ent").agg(F.min(F.struct("v_name", "cost")).alias("x")).select("fiche", "saison", "ent", "x.*")
 
-    pairs = pairs.join(c, "fiche").join(who, ["saison", "ent"])
+    pairs = pairs.join(merged(c), "fiche").join(merged(who), ["saison", "ent"])
     pairs = pairs.withColumn("v_group", F.when(F.col("typed").isNotNull(), 0).otherwise(1)).withColumn("v_age", _vote_age(F.col("age"), F.col("ages"))).withColumn("v_job", _vote_same(F.col("job"), F.col("jobs")))
     pairs = pairs.withColumn("v_place", _vote_same(F.col("place"), F.col("places"))).withColumn("v_gender", _vote_same(F.col("gender"), F.col("genders")))
     gap = F.coalesce(F.array_min(F.transform("ages", lambda x: F.abs(x - F.col("age")))), F.lit(99))
@@ -255,4 +255,4 @@ def link_sources(part: DataFrame, cards: DataFrame, persons: DataFrame, groups:
     order = [F.round("confidence", 3).desc(), F.col("cost"), F.col("gap")]
     w = Window.partitionBy("fiche").orderBy(*order)
     best = scored.withColumn("r", F.rank().over(w)).filter(F.col("r") == 1).withColumn("k", F.count("*").over(Window.partitionBy("fiche"))).filter(F.col("k") == 1)
-    return best.join(ids, ["saison", "ent"]).select("saison", "id", "fiche", "confidence")
+    return best.join(merged(ids), ["saison", "ent"]).select("saison", "id", "fiche", "confidence")

@@ -80,6 +80,12 @@ spelled = F.pandas_udf(_spelled, StringType())
 profiled = F.pandas_udf(_profiled, StructType([StructField("g", StringType()), StructField("sp", StringType())]))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is merged whatever the sizes: these tables grow with the data, and what Spark
+    takes for a small one (a checkpoint, an exploded column) may be many times its estimate. Skewed keys are split by AQE."""
+    return dmerged(f)
+
+
 def split_words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
@@ -141,7 +147,7 @@ def given_matches(typed: DataFrame, given: DataFrame, nicks: DataFrame) -> DataF
     t = typed.select("w").distinct().select("w", F.explode(F.concat(F.array("w"), F.when(F.length("w").between(3, MOST_LETTERS), tagged(F.col("w"))).otherwise(none))).alias("k"))
     f = given_forms(given, nicks)
     f = f.select("g", "form", "cost", "slip", F.explode(F.concat(F.array("form"), F.when((F.col("slip") > 0) & F.length("form").between(3, MOST_LETTERS), tagged(F.col("form"))).otherwise(none))).alias("k"))
-    x = t.join(f, "k")
+    x = t.join(merged(f), "k")
     edits = F.levenshtein(F.col("w"), F.col("form"), 2)
     swapped = (F.length("w") == F.length("form")) & (F.sort_array(F.split("w", "")) == F.sort_array(F.split("form", "")))
     x = x.withColumn("e", F.when((edits == 2) & swapped, 1).otherwise(edits)).filter(F.col("e") >= 0)
@@ -298,13 +304,13 @@ def matches_within(names: DataFrame, spellings: DataFrame, group: str, nicks: Da
     x = x.select(group, "n", "f", F.explode(half_keys(F.col("f"), True)).alias("k"))
     y = spellings.select(group, "sp", "ent").distinct().select(group, "sp", "ent", F.explode(F.array_distinct(split_words(F.substring_index("sp", "|", -1)))).alias("t"))
     y = y.select(group, "sp", "ent", "t", F.explode(half_keys(F.col("t"), False)).alias("k"))
-    return _read(_edited(x.join(y, [group, "k"])).select(group, "n", "sp", "ent").distinct(), nicks).groupBy(group, "n", "ent").agg(F.min("cost").alias("cost"))
+    return _read(_edited(x.join(merged(y), [group, "k"])).select(group, "n", "sp", "ent").distinct(), nicks).groupBy(group, "n", "ent").agg(F.min("cost").alias("cost"))
 
 
 def _read(x: DataFrame, nicks: DataFrame) -> DataFrame:
     """``x`` (n, sp, ...) with the cost of reading the name so, for those that can be."""
     kept = x.columns
-    x = x.withColumn("g", F.substring_index("sp", "|", 1)).join(nicks, "g", "left")
+    x = x.withColumn("g", F.substring_index("sp", "|", 1)).join(merged(nicks), "g", "left")
     return x.withColumn("r", read_as("n", "sp", F.coalesce("other", F.lit("")))).filter(F.col("r.cost").isNotNull()).select(*kept, "r.*")
 
 
@@ -313,7 +319,8 @@ def matches(keys: DataFrame, spellings: DataFrame, nicks: DataFrame) -> DataFram
 
     Names and spellings, each different one once, meet under a word of their family names in one join. A
     family name that a large part of all names bears meets only its different spellings, one a given name.
+    The join is merged, never broadcast: both sides are many times what their tables' sizes tell.
     """
-    x = _edited(keys.join(spelling_keys(spellings), "k").filter((F.col("f") != F.col("t")) | (F.col("k") == F.xxhash64("f"))))
+    x = _edited(keys.join(merged(spelling_keys(spellings)), "k").filter((F.col("f") != F.col("t")) | (F.col("k") == F.xxhash64("f"))))
     return _read(x.select("n", "sp").distinct(), nicks)
 
