@@ -230,6 +230,17 @@ def m03_named_by_excess(spark, d):
     return x.groupBy("couleur").agg(F.max_by("genre", "ecart").alias("nom"), F.max("ecart").alias("e")).filter("e > 5").select("couleur", "nom", R6(F.col("e"), "ecart"))
 
 
+@query(f"""{P}, k as (select id, saison, 100.0::double * jour / duree_jours as survie, lead(saison) over (partition by id order by annee, saison) is not null as rappel from parts where annee is not null and jour is not null), q as (select *, (row_number() over (partition by rappel_groupe order by survie, saison, id) - 1) * 5 // count(*) over (partition by rappel_groupe) as quintile from (select *, saison as rappel_groupe from k))
+ select cast(quintile as bigint) as quintile, count(*) as n, round(100.0 * count(*) filter (where rappel) / count(*), 6) as taux from q group by quintile""")
+def m13_recall_by_quintile(spark, d):
+    """How often people play again, by the fifth of their season's order of survival."""
+    w = Window.partitionBy("id").orderBy("annee", "saison")
+    k = parts(spark, d).filter("annee is not null and jour is not null").select("id", "saison", (100.0 * F.col("jour") / F.col("duree_jours")).alias("s"), F.lead("saison").over(w).isNotNull().alias("r"))
+    g = Window.partitionBy("saison")
+    q = k.withColumn("quintile", F.floor((F.row_number().over(g.orderBy("s", "id")) - 1) * 5 / F.count("*").over(g)))
+    return q.groupBy("quintile").agg(F.count("*").alias("n"), R6(A.share(F.count_if("r"), F.count("*")), "taux"))
+
+
 @query("""with t as (select saison, id, len(parcours) as pas, parcours[1].jour_fin as fin from participations where retire_le is null and len(parcours) >= 2) select saison, mode_fin as fusion, n from (select saison, fin as mode_fin, count(*) as n, row_number() over (partition by saison order by count(*) desc, fin) as r from t where fin is not null group by saison, fin) where r = 1 and mode_fin between 2 and 100""")
 def m16_day_of_merger(spark, d):
     """The day on which most first tribes of a season end, within bounds."""

@@ -129,7 +129,7 @@ def t20_rank_by_votes_before(spark, d):
 
 
 def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray:
-    """Share of rows whose dealt item pays: ``pays[i][j]`` tells whether row i wants item j; both in the order of the keys."""
+    """Mean of what the dealt items pay: ``pays[i][j]`` is what item j is worth to row i; both in the order of the keys."""
     order = np.lexsort((h[1], h[0]), axis=0)
     m = np.array(row["pays"], float)
     return m[np.arange(len(m))[:, None], order].mean(0)
@@ -149,18 +149,18 @@ def _dealt(rows: DataFrame, seed: str, wants) -> DataFrame:
     return _record(g.agg(F.avg(seen).alias("x")), cut(S.null_draws(g, "keys", DRAWS, seed, _dealt_share)))
 
 
-def _dealt_sql(ctes: str, seed: str, wants: str) -> str:
-    """``c`` (saison, numero, key, mine, item); ``wants`` says when ``a.mine`` wants ``b.item``."""
+def _dealt_sql(ctes: str, seed: str, pays: str) -> str:
+    """``c`` (saison, numero, key, mine, item); ``pays`` is what ``b.item`` is worth to ``a.mine``."""
     return f"""{ctes}, k as (select saison, numero from c group by all having count(*) >= 2), r as (select c.*, row_number() over (partition by saison, numero order by key) as i from c join k using (saison, numero)),
- o as (select avg(s) as x from (select a.saison, a.numero, avg(case when {wants} then 1 else 0 end) as s from r a join r b on a.saison = b.saison and a.numero = b.numero and a.i = b.i group by all)),
+ o as (select avg(s) as x from (select a.saison, a.numero, avg({pays}) as s from r a join r b on a.saison = b.saison and a.numero = b.numero and a.i = b.i group by all)),
  w as (select d.draw, r.saison, r.numero, r.item, row_number() over (partition by d.draw, saison, numero order by md5('{seed}|' || d.draw || '|' || key), key) as i from r, (select unnest(range(1, {DRAWS + 1})) as draw) d),
- x as (select draw, avg(s) as x from (select b.draw, a.saison, a.numero, avg(case when {wants} then 1 else 0 end) as s from r a join w b on a.saison = b.saison and a.numero = b.numero and a.i = b.i group by all) group by draw){_RECORD}"""
+ x as (select draw, avg(s) as x from (select b.draw, a.saison, a.numero, avg({pays}) as s from r a join w b on a.saison = b.saison and a.numero = b.numero and a.i = b.i group by all) group by draw){_RECORD}"""
 
 
 _KEY = "b.saison || '|' || b.numero || '|' || lpad(cast(b.pos as varchar), 4, '0') as key"
 
 
-@query(_dealt_sql(f"{PS}, c as (select b.saison, b.numero, {_KEY}, v.genre as mine, t.genre as item from ballots b join parts v on v.saison = b.saison and v.id = b.votant join parts t on t.saison = b.saison and t.id = b.cible where b.type = 'elimination' and b.complet and v.genre is not null and t.genre is not null)", "sexe", "a.mine = b.item"))
+@query(_dealt_sql(f"{PS}, c as (select b.saison, b.numero, {_KEY}, v.genre as mine, t.genre as item from ballots b join parts v on v.saison = b.saison and v.id = b.votant join parts t on t.saison = b.saison and t.id = b.cible where b.type = 'elimination' and b.complet and v.genre is not null and t.genre is not null)", "sexe", "(a.mine = b.item)::int"))
 def t07_votes_within_a_gender(spark, d):
     """Whether ballots go to the voter's own gender, against the session's targets dealt anew among its ballots."""
     g = parts(spark, d).filter("genre is not null").select("saison", "id", "genre")
@@ -169,7 +169,7 @@ def t07_votes_within_a_gender(spark, d):
     return _dealt(b, "sexe", lambda a, x: a == x)
 
 
-@query(_dealt_sql(f"{PS}, {_BEFORE_SQL}, e as (select saison, i, cible as id, '|' || string_agg(distinct votant, '|' order by votant) || '|' as mine from a where votant is not null and cible is not null group by all), c as (select b.saison, b.numero, {_KEY}, coalesce(e.mine, '') as mine, b.cible as item from ballots b join i using (saison, numero) left join e on e.saison = b.saison and e.i = i.i and e.id = b.votant where b.type = 'elimination' and b.complet and b.votant_ok and b.cible_ok)", "retour", "contains(a.mine, '|' || b.item || '|')"))
+@query(_dealt_sql(f"{PS}, {_BEFORE_SQL}, e as (select saison, i, cible as id, '|' || string_agg(distinct votant, '|' order by votant) || '|' as mine from a where votant is not null and cible is not null group by all), c as (select b.saison, b.numero, {_KEY}, coalesce(e.mine, '') as mine, b.cible as item from ballots b join i using (saison, numero) left join e on e.saison = b.saison and e.i = i.i and e.id = b.votant where b.type = 'elimination' and b.complet and b.votant_ok and b.cible_ok)", "retour", "contains(a.mine, '|' || b.item || '|')::int"))
 def t14_ballots_returned(spark, d):
     """Whether ballots go to those who named the voter at the session before."""
     i, a = _before(spark, d)
@@ -179,6 +179,36 @@ def t14_ballots_returned(spark, d):
     return _dealt(b.select("saison", "numero", "pos", mine.alias("mine"), F.col("cible").alias("item")), "retour", lambda m, x: F.contains(m, F.concat(F.lit("|"), x, F.lit("|"))))
 
 
+@query(_dealt_sql(f"{PS}, {_VOTERS_SQL}, {_BEFORE_SQL}, q as (select saison, i, cible as id, k, rank() over (partition by saison, i order by k desc) as r from (select saison, i, cible, count(*) as k from a where cible is not null group by all)), u as (select saison, numero, cible as id, count(*) as k from ballots where type = 'elimination' and complet and cible is not null group by all), c as (select v.saison, v.numero, v.saison || '|' || v.numero || '|' || v.id as key, case when q.r = 1 then 1 else 0 end as mine, coalesce(u.k, 0) as item from v join i using (saison, numero) left join q on q.saison = v.saison and q.i = i.i and q.id = v.id left join u on u.saison = v.saison and u.numero = v.numero and u.id = v.id where v.out = 0)", "cible", "a.mine * b.item"))
+def t13_target_again(spark, d):
+    """Votes that the most named of the session before receive again, against the counts of those who stay dealt anew among them; who leaves keeps theirs."""
+    i, a = _before(spark, d)
+    n = a.filter("cible is not null").groupBy("saison", "i", F.col("cible").alias("id")).agg(F.count("*").alias("q"))
+    n = n.withColumn("r", F.rank().over(Window.partitionBy("saison", "i").orderBy(F.desc("q"))))
+    u = ballots(spark, d).filter("type = 'elimination' and complet and cible is not null").groupBy("saison", "numero", F.col("cible").alias("id")).agg(F.count("*").alias("u"))
+    x = _voters(spark, d).filter("out = 0").join(i, ["saison", "numero"]).join(n, ["saison", "i", "id"], "left").join(u, ["saison", "numero", "id"], "left")
+    rows = x.select("saison", "numero", F.col("id").alias("pos"), F.coalesce((F.col("r") == 1).cast("int"), F.lit(0)).alias("mine"), F.coalesce("u", F.lit(0)).cast("int").alias("item"))
+    return _dealt(rows, "cible", lambda m, x: m * x)
+
+
+def _raced(h: np.ndarray, row: dict) -> np.ndarray:
+    """The value of the member who is first in a race of exponential times, each as fast as its weight."""
+    u = ((h[0] >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+    first = (-np.log(u) / np.array(row["w"], float)[:, None]).argmin(0)
+    return np.array(row["n"], float)[first]
+
+
+@query(f"""{P}, c as (select saison, id, age as n, vi + 1 as w, case when sort = 'vainqueur' then 1 else 0 end as out from reg where age is not null and vi is not null), k as (select saison from c group by all having sum(out) = 1 and count(*) >= 2), r as (select c.* from c join k using (saison)), o as (select avg(n) as x from r where out = 1),
+ t as (select d.draw, r.saison, min_by(r.n, -ln((('0x' || substr(md5('titre|' || d.draw || '|' || saison || '|' || id), 1, 13))::bigint + 0.5) / pow(2, 52)) / r.w) as n from r, (select unnest(range(1, {DRAWS + 1})) as draw) d group by all), x as (select draw, avg(n) as x from t group by draw){_RECORD}""")
+def t17_winner_by_strength(spark, d):
+    """The winner's age against that of somebody drawn in proportion to contests won and one."""
+    c = regular(parts(spark, d)).filter("age is not null and vi is not null").select("saison", "id", F.col("age").alias("n"), (F.col("vi") + 1).alias("w"), F.coalesce((F.col("sort") == "vainqueur").cast("int"), F.lit(0)).alias("out"))
+    k = c.groupBy("saison").agg(F.sum("out").alias("o"), F.count("*").alias("m")).filter("o = 1 and m >= 2").select("saison")
+    r = cut(c.join(k, "saison"))
+    g = _spread(r, "saison").groupBy("saison").agg(F.sort_array(F.collect_list(F.struct(F.concat_ws("|", "saison", "id").alias("key"), "n", "w"))).alias("m")).select(F.col("m.key").alias("keys"), F.col("m.n").alias("n"), F.col("m.w").alias("w"))
+    return _record(r.filter("out = 1").agg(F.avg("n").alias("x")), cut(S.null_draws(g, "keys", DRAWS, "titre", _raced)))
+
+
 # ---- an order dealt anew -----------------------------------------------------------------------------
 
 

@@ -362,4 +362,20 @@ def m11_score_at_the_estimate(spark, d):
     return t.select("term", (F.round(F.col("score") - ridge, 2) + 0.0).alias("score"))
 
 
+@query(_zeros("vi", "votes"))
+def m12_jury_choice_at_the_estimate(spark, d):
+    """The jury's choice among its targets by contests won and votes received: the estimates put into the score."""
+    b = ballots(spark, d).filter("type = 'jury' and cible is not null")
+    pick = b.select("saison", "numero", "pos", F.col("cible").alias("choix"))
+    who = b.select("saison", "numero", F.col("cible").alias("id")).distinct().join(regular(parts(spark, d)).select("saison", "id", F.col("vi").cast("double").alias("vi"), F.col("votes_recus").cast("double").alias("votes")).dropna(), ["saison", "id"])
+    rows = cut(pick.join(who, ["saison", "numero"]).withColumn("y", (F.col("id") == F.col("choix")).cast("double")))
+    keys, xs = ["saison", "numero", "pos"], ["vi", "votes"]
+    beta = [float(x) for x in S.conditional_logit(rows, keys, xs, "y", 1e-3)]
+    w = Window.partitionBy(*keys)
+    r = rows.withColumn("n", F.sum("y").over(w)).filter("n = 1").withColumn("e", F.exp(sum((F.lit(c) * F.col(x) for c, x in zip(beta, xs)), F.lit(0.0))))
+    r = r.withColumn("q", F.col("y") - F.col("e") / F.sum("e").over(w))
+    t = _score(r, **{x: F.col("q") * F.col(x) for x in xs})
+    return t.select("term", (F.round(F.col("score") - F.when(F.col("term") == "vi", beta[0]).otherwise(beta[1]) * 1e-3, 2) + 0.0).alias("score"))
+
+
 QUERIES = Q
