@@ -83,7 +83,7 @@ profiled = F.pandas_udf(_profiled, StructType([StructField("g", StringType()), S
 def merged(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join that is merged whatever the sizes: these tables grow with the data, and what Spark
     takes for a small one (a checkpoint, an exploded column) may be many times its estimate. Skewed keys are split by AQE."""
-    return dmerged(f)
+    return df.hint("merge")
 
 
 def split_words(c: Column) -> Column:
