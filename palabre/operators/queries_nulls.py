@@ -138,9 +138,9 @@ def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray:
 def _dealt(rows: DataFrame, seed: str, wants) -> DataFrame:
     """Targets of a session dealt anew among its ballots: the share of ballots for which ``wants(ballot, target's row)`` holds.
 
-    ``rows``: (saison, numero, pos, mine, item); a ballot's key is its session and place.
+    ``rows``: (saison, numero, pos, mine, item); a row's key is its session and ``pos``, a text.
     """
-    key = F.concat_ws("|", "saison", F.col("numero").cast("string"), F.lpad(F.col("pos").cast("string"), 4, "0"))
+    key = F.concat_ws("|", "saison", F.col("numero").cast("string"), "pos")
     r = cut(rows.select("saison", "numero", key.alias("key"), "mine", "item"))
     g = _spread(r, "saison", "numero").groupBy("saison", "numero").agg(F.sort_array(F.collect_list(F.struct("key", "mine", "item"))).alias("m")).filter(F.size("m") >= 2)
     pays = F.transform("m", lambda a: F.transform("m", lambda b: wants(a["mine"], b["item"]).cast("int")))  # ballots of a session squared
@@ -164,7 +164,7 @@ _KEY = "b.saison || '|' || b.numero || '|' || lpad(cast(b.pos as varchar), 4, '0
 def t07_votes_within_a_gender(spark, d):
     """Whether ballots go to the voter's own gender, against the session's targets dealt anew among its ballots."""
     g = parts(spark, d).filter("genre is not null").select("saison", "id", "genre")
-    b = ballots(spark, d).filter("type = 'elimination' and complet").select("saison", "numero", "pos", "votant", "cible")
+    b = ballots(spark, d).filter("type = 'elimination' and complet").select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), "votant", "cible")
     b = b.join(g.withColumnsRenamed({"id": "votant", "genre": "mine"}), ["saison", "votant"]).join(g.withColumnsRenamed({"id": "cible", "genre": "item"}), ["saison", "cible"])
     return _dealt(b, "sexe", lambda a, x: a == x)
 
@@ -176,7 +176,7 @@ def t14_ballots_returned(spark, d):
     e = a.filter("votant is not null and cible is not null").groupBy("saison", "i", F.col("cible").alias("votant")).agg(F.array_join(F.sort_array(F.collect_set("votant")), "|").alias("e"))
     b = ballots(spark, d).filter("type = 'elimination' and complet and votant_ok and cible_ok").join(i, ["saison", "numero"]).join(e, ["saison", "i", "votant"], "left")
     mine = F.when(F.col("e").isNull(), "").otherwise(F.concat(F.lit("|"), "e", F.lit("|")))
-    return _dealt(b.select("saison", "numero", "pos", mine.alias("mine"), F.col("cible").alias("item")), "retour", lambda m, x: F.contains(m, F.concat(F.lit("|"), x, F.lit("|"))))
+    return _dealt(b.select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), mine.alias("mine"), F.col("cible").alias("item")), "retour", lambda m, x: F.contains(m, F.concat(F.lit("|"), x, F.lit("|"))))
 
 
 @query(_dealt_sql(f"{PS}, {_VOTERS_SQL}, {_BEFORE_SQL}, q as (select saison, i, cible as id, k, rank() over (partition by saison, i order by k desc) as r from (select saison, i, cible, count(*) as k from a where cible is not null group by all)), u as (select saison, numero, cible as id, count(*) as k from ballots where type = 'elimination' and complet and cible is not null group by all), c as (select v.saison, v.numero, v.saison || '|' || v.numero || '|' || v.id as key, case when q.r = 1 then 1 else 0 end as mine, coalesce(u.k, 0) as item from v join i using (saison, numero) left join q on q.saison = v.saison and q.i = i.i and q.id = v.id left join u on u.saison = v.saison and u.numero = v.numero and u.id = v.id where v.out = 0)", "cible", "a.mine * b.item"))
