@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and the plain letter each stands for.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłşţğ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyszccdlstg"
+# Letters with marks of the Latin alphabets, and the plain letter that each stands for: by decomposition, and a few that have none.
+_BARE = {chr(c): d[0] for c in range(0xE0, 0x250) if chr(c).islower() and len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+_BARE |= {"ø": "o", "đ": "d", "ł": "l"}
+MARKED, PLAIN = "".join(_BARE), "".join(_BARE.values())
 
 
 def fold(c: Column) -> Column:

@@ -263,7 +263,7 @@ def m11_conditional_logit(spark, d):
 def m05_luce(spark, d):
     c = ballots(spark, d).filter("type = 'elimination' and cible_ok").groupBy("saison", "numero", F.col("cible").alias("id")).agg(F.max(F.coalesce((F.col("cible") == F.col("elimine")).cast("int"), F.lit(0))).alias("won"))
     field = cut(c.select(F.concat_ws("#", "saison", F.col("numero").cast("string")).alias("contest"), "id", "won"))
-    return S.luce(field, rounds=500, cut=cut, tolerance=1e-10)
+    return S.luce(field, rounds=500, cut=cut, tolerance=1e-10).withColumnRenamed("wins", "sorties")
 
 
 @query()
