@@ -529,11 +529,11 @@ def n28_value_by_season(spark, d):
     return s.select("id", "saison", F.coalesce(F.try_element_at("m", F.col("saison")), F.try_element_at("m", F.lit(""))).alias("valeur"))
 
 
-@query("""select doc_id, lower(regexp_replace(trim(split_part(text, chr(10), 1)), '\\s+', '_', 'g')) as page, substr(sha256(text), 1, 12) as empreinte from documents where text is not null and length(trim(split_part(text, chr(10), 1))) between 1 and 40""")
+@query("""with l as (select doc_id, text, regexp_replace(split_part(text, chr(10), 1), '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g') as ligne from documents where text is not null) select doc_id, lower(regexp_replace(ligne, '[ \\t\\r]+', '_', 'g')) as page, substr(sha256(text), 1, 12) as empreinte from l where length(ligne) between 1 and 40""")
 def n29_page_names(spark, d):
     """The first line as a page's name in one form, with the page's fingerprint."""
-    line = F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))
-    return table(spark, d, "documents").filter(F.col("text").isNotNull() & F.length(line).between(1, 40)).select("doc_id", F.lower(F.regexp_replace(line, r"[ \t\n\x0B\f\r]+", "_")).alias("page"), F.substring(F.sha2("text", 256), 1, 12).alias("empreinte"))
+    line = F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"^[ \t\r]+|[ \t\r]+$", "")
+    return table(spark, d, "documents").filter(F.col("text").isNotNull() & F.length(line).between(1, 40)).select("doc_id", F.lower(F.regexp_replace(line, r"[ \t\r]+", "_")).alias("page"), F.substring(F.sha2("text", 256), 1, 12).alias("empreinte"))
 
 
 @query(f"""{P} select id, sum(vi) as gagnees, sum(jour) as jours, round(sum(vi) / cast(sum(jour) as double), 6) as taux from parts where vi is not null and jour is not null group by id having sum(jour) > 0""")
