@@ -199,6 +199,36 @@ def test_sources_are_linked(spark):
     assert run(p.limit(0), c).count() == 0 and run(p, c.limit(0)).count() == 0
 
 
+def test_title_between_two_is_looked_up_in_both(spark):
+    g = spark.createDataFrame([("s0", 1, "Rosurelao", 2001), ("s1", 2, "Rosulelao", 2002), ("s2", 3, "Cap sur Rosuelaon", 2003)], "id string, numero int, titre string, annee int")
+    e = spark.createDataFrame([("Rosuelao",), ("Rosurelao",), ("Rosurelao 2001",), ("Saison 3",), ("Autre chose",)], "edition string")
+    got = {(r["edition"], r["saison"]): r["off"] for r in linkage.resolve_groups(e, g).collect()}
+    assert got[("Rosuelao", "s0")] == got[("Rosuelao", "s1")] == got[("Rosurelao", "s0")] == got[("Saison 3", "s2")] == 0
+    assert ("Rosurelao 2001", "s1") not in got and got[("Rosurelao", "s1")] == 1 and not [k for k in got if k[0] == "Autre chose"]
+    part = [(f"s{i % 2}", f"p{i}", f"Prénom{'abcdefghij'[i]} Famil{'qrstuvwxyz'[i] * 3}ec", None, 20 + i, "Comptable", None, "f") for i in range(10)]
+    cards = [(i, "Rosuelao" if i % 2 else "Inconnue au bataillon", part[i][2], 20 + i, "comptable", None, "femme") for i in range(10)]
+    p = spark.createDataFrame(part, "saison string, id string, nom string, nom_complet string, age int, profession string, localisation string, genre string")
+    c = spark.createDataFrame(cards, "fiche int, edition string, libelle string, age int, metier string, ville string, genre string")
+    q = spark.createDataFrame([(x[1], x[2], x[2].split()[0]) for x in part], "id string, nom string, prenom string")
+    out = linkage.link_sources(p, c, q, g, partial(canonical.map_values, entries=JOBS), partial(canonical.map_values, entries=[]))
+    assert rows(out, "saison", "id", "fiche") == sorted([(f"s{i % 2}", f"p{i}", i) for i in range(10)], key=str)
+
+
+def test_forms_are_learned_in_a_season_where_no_family_name_is_one_persons(spark):
+    names_ = ["Titovard", "Mulochet", "Garibeau"]
+    q = spark.createDataFrame([(f"{g}-{f}", f"{g} {f}", g) for f in names_ for g in ("Christophe", "Hélène")], "id string, nom string, prenom string")
+    p = spark.createDataFrame([(f"s{i}", f"Christophe-{f}", f"Christophe {f}", None) for i, f in enumerate(names_)], "saison string, id string, nom string, nom_complet string")
+    seen = spark.createDataFrame([(f"s{i}", f"tof {f.lower()}") for i, f in enumerate(names_)], "saison string, n string")
+    assert rows(identities.link_people(p, q, evidence=seen, seen=seen)[3], "nick", "given") == [("tof", "christophe")]
+
+
+def test_typed_name_of_two_is_that_of_who_stands_in_the_season(spark):
+    people = spark.createDataFrame([("s", "a", "anna borvilet", "a"), ("s", "x", "anna borvolet", None), ("t", "x", "anna borvolet", None)], "saison string, id string, n string, pid string")
+    full = spark.createDataFrame([("anna borvolet", "anna|borvilet", 1.0), ("anna borvolet", "anna|borvalet", 1.0)], "n string, own string, cost double")
+    listed = spark.createDataFrame([("a", "anna", "anna|borvilet"), ("b", "anna", "anna|borvalet")], "pid string, g string, sp string")
+    assert rows(linkage._linked_within(people, full, listed), "saison", "id", "pid") == sorted([("s", "a", "a"), ("s", "x", "a"), ("t", "x", None)], key=str)
+
+
 # ---- 4 survivors ---------------------------------------------------------------------------------------
 
 PREFS = [("age", "wikipedia-fr", 1), ("age", "fandom", 2), ("day", "fandom", 1)]
