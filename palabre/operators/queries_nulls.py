@@ -7,6 +7,7 @@ the group stands and one number a draw leaves it.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,6 +275,18 @@ def st11_student_tail(spark, d):
 
 
 ROBUST = 1000  # draws of weights
+CELLS = 1 << 18  # scores held at once
+
+
+def _leads(z: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """In how many draws each person has the greatest sum of facets times weights; of equal ones the last leads."""
+    n, draws = len(z[0]), weights.shape[1]
+    out, step = np.zeros(n, np.int64), max(1, CELLS // n)
+    for at in range(0, draws, step):
+        w = weights[:, at : at + step, None]
+        score = z[0] * w[0] + z[1] * w[1] + z[2] * w[2]
+        out += np.bincount(n - 1 - score[:, ::-1].argmax(1), minlength=n)
+    return out
 
 
 @query(f"""{P}, b as (select saison, id, vi, votes_recus, jour from reg where vi is not null and votes_recus is not null and jour is not null), m as (select avg(vi) as a1, stddev_pop(vi) as s1, avg(votes_recus) as a2, stddev_pop(votes_recus) as s2, avg(jour) as a3, stddev_pop(jour) as s3 from b),
@@ -287,10 +300,18 @@ def st14_robust_leaders(spark, d):
     z = b.crossJoin(F.broadcast(m)).select("saison", "id", *[(F.lit(s) * (F.col(c) - F.col(f"a_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c, s in cols.items()])  # one row
     u = spark.range(1, ROBUST + 1).withColumnRenamed("id", "draw")
     w = [-F.log((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("poids"), F.col("draw").cast("string"), F.lit(str(i + 1)))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)) for i in range(3)]
-    u = u.select("draw", *[x.alias(f"w{i}") for i, x in enumerate(w)])
-    score = sum((F.col(f"z_{c}") * F.col(f"w{i}") for i, c in enumerate(cols)), F.lit(0.0))
-    lead = z.crossJoin(F.broadcast(u)).groupBy("draw", "saison").agg(F.max_by("id", F.struct(score.alias("s"), "id")).alias("id"))  # ROBUST rows, joined to each person and aggregated at once
-    return lead.groupBy("saison", "id").agg(R6(F.count("*") / F.lit(float(ROBUST)), "part"))
+    weights = np.array(u.select("draw", *w).collect())[:, 1:].T  # (3, ROBUST)
+    # a season's people leave it as one row, so that its draws are made where it stands
+    g = z.groupBy("saison").agg(F.sort_array(F.collect_list(F.struct("id", *[f"z_{c}" for c in cols]))).alias("m")).select("saison", F.col("m.id").alias("ids"), *[F.col(f"m.z_{c}").alias(f"z{i}") for i, c in enumerate(cols)])
+
+    def lead(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                k = _leads([np.array(r[f"z{i}"], float) for i in range(3)], weights)
+                at = np.flatnonzero(k)
+                yield pa.RecordBatch.from_arrays([pa.array([r["saison"]] * len(at), pa.string()), pa.array([r["ids"][i] for i in at], pa.string()), pa.array(k[at])], ["saison", "id", "k"])
+
+    return g.mapInArrow(lead, "saison string, id string, k bigint").select("saison", "id", R6(F.col("k") / F.lit(float(ROBUST)), "part"))
 
 
 @query(f"""{P}, n as (select genre, prenom, count(*) as n from personnes where genre is not null and prenom is not null group by all), t as (select genre, sum(n) as t from n group by genre), p as (select genre, count(*) as k from parts where genre is not null group by genre), o as (select split_part(nom, ' ', 1) as prenom, count(*) as vus from parts where nom is not null group by 1),

@@ -306,3 +306,15 @@ def test_family_of_a_list(spark):
     e = spark.createDataFrame([("b", "Maçon", "chantier"), ("a", "Boulanger", "bouche"), ("c", None, "x"), ("d", "", "y")], "code string, libelle string, poste string")
     assert sorted(map(tuple, family_of(v, "v", words, e, "libelle", "code", "poste").collect())) == [("Ancien maçon, Lyon", "chantier"), ("maçon boulanger", "bouche")]
     assert family_of(v, "v", words, e.limit(0), "libelle", "code", "poste").count() == 0
+
+
+def test_robust_leaders_leave_no_row_a_draw(spark):
+    from conftest import DATA
+
+    from palabre.operators import queries_nulls
+
+    rng = np.random.default_rng(1)
+    z, w = [rng.integers(-3, 4, 9).astype(float) for _ in range(3)], rng.random((3, 40))
+    brute = [max((sum(float(z[k][i]) * float(w[k][t]) for k in range(3)), i) for i in range(9))[1] for t in range(40)]
+    assert queries_nulls._leads(z, w).tolist() == np.bincount(brute, minlength=9).tolist()
+    assert "draw" not in queries_nulls.st14_robust_leaders(spark, DATA)._jdf.queryExecution().executedPlan().toString()
