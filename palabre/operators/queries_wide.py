@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
-from ..session import checkpoint_folder, table
+from ..session import checkpoint_folder, spread, table
 from ..sources import files
 from . import aggregates as A
 from . import relational as R
@@ -73,10 +73,10 @@ def s09_display_file(spark, d):
 
 @query("""select format('{}.json', saison) as fichier, n from (select saison, count(*) as n from participations group by saison)""")
 def s11_a_file_a_card(spark, d):
-    """One folder of JSON cards a season, written in one job by partition; read back with the season that its path tells."""
-    path = _folder(spark, "cards")
-    table(spark, d, "participations").select("saison", "id", "nom", "age").write.partitionBy("saison").json(path)
-    g = spark.read.schema("id string, nom string, age int, saison string").json(path).groupBy("saison").agg(F.count("*").alias("n"))
+    """One file of JSON cards a season, read back with the season that its name tells."""
+    path, n = _folder(spark, "cards"), 4 * spread(spark, 0, 1)
+    files.write_cards(table(spark, d, "participations").select("saison", "id", "nom", "age"), "saison", path, n)
+    g = files.read_cards(spark, "saison", path, "id string, nom string, age int", n).groupBy("saison").agg(F.count("*").alias("n"))
     return g.select(F.concat("saison", F.lit(".json")).alias("fichier"), "n")
 
 

@@ -308,6 +308,25 @@ def test_family_of_a_list(spark):
     assert family_of(v, "v", words, e.limit(0), "libelle", "code", "poste").count() == 0
 
 
+def test_cards_are_one_file_a_value(spark, tmp_path):
+    from palabre.sources.files import read_cards, write_cards
+
+    odd = ["a b/é%+", "", None, "_x", "s0000001"]
+    d = spark.createDataFrame([(v, f"p{i}", i) for i in range(50) for v in odd], "saison string, id string, age int").repartition(8)
+    write_cards(d, "saison", f"file:{tmp_path}/cards", 3)
+    assert len([f for f in (tmp_path / "cards").iterdir() if f.suffix == ".json"]) == len(odd)
+    assert rows(read_cards(spark, "saison", f"file:{tmp_path}/cards", "id string, age int", 2), "saison", "id", "age") == rows(d, "saison", "id", "age")
+
+
+def test_cards_of_a_season_come_from_one_task(spark, tmp_path, monkeypatch):
+    from palabre.operators import queries_wide
+
+    spark.createDataFrame([(f"s{i % 7}", f"p{i}", "x", i) for i in range(70)], "saison string, id string, nom string, age int").repartition(5).write.parquet(f"{tmp_path}/participations.parquet")
+    monkeypatch.setattr(queries_wide, "_folder", lambda *_: f"file:{tmp_path}/cards")
+    assert rows(queries_wide.s11_a_file_a_card(spark, str(tmp_path)), "fichier", "n") == [(f"s{i}.json", 10) for i in range(7)]
+    assert len([f for f in (tmp_path / "cards").rglob("*.json") if not f.name.startswith(("_", "."))]) == 7
+
+
 def test_robust_leaders_leave_no_row_a_draw(spark):
     from conftest import DATA
 
