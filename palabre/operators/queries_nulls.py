@@ -136,6 +136,12 @@ def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray:
     return m[np.arange(len(m))[:, None], order].mean(0)
 
 
+def _dealt_alike(row: dict) -> float | None:
+    """The mean of a session in which every deal pays the same: what is paid is a sum of the ballot's part and the item's."""
+    m = np.array(row["pays"], float)
+    return None if (m - m[:, :1] - m[:1] + m[0, 0]).any() else m.diagonal().mean()
+
+
 def _dealt(rows: DataFrame, seed: str, wants) -> DataFrame:
     """Targets of a session dealt anew among its ballots: the share of ballots for which ``wants(ballot, target's row)`` holds.
 
@@ -147,7 +153,7 @@ def _dealt(rows: DataFrame, seed: str, wants) -> DataFrame:
     pays = F.transform("m", lambda a: F.transform("m", lambda b: wants(a["mine"], b["item"]).cast("int")))  # ballots of a session squared
     g = g.select(F.col("m.key").alias("keys"), pays.alias("pays"))
     seen = F.aggregate(F.transform("pays", lambda x, i: F.element_at(x, i + 1)), F.lit(0), lambda s, x: s + x) / F.size("pays")
-    return _record(g.agg(F.avg(seen).alias("x")), cut(S.null_draws(g, "keys", DRAWS, seed, _dealt_share)))
+    return _record(g.agg(F.avg(seen).alias("x")), cut(S.null_draws(g, "keys", DRAWS, seed, _dealt_share, _dealt_alike)))
 
 
 def _dealt_sql(ctes: str, seed: str, pays: str) -> str:

@@ -337,3 +337,17 @@ def test_robust_leaders_leave_no_row_a_draw(spark):
     brute = [max((sum(float(z[k][i]) * float(w[k][t]) for k in range(3)), i) for i in range(9))[1] for t in range(40)]
     assert queries_nulls._leads(z, w).tolist() == np.bincount(brute, minlength=9).tolist()
     assert "draw" not in queries_nulls.st14_robust_leaders(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["t07_votes_within_a_gender", "t13_target_again", "t14_ballots_returned"])
+def test_sessions_that_pay_the_same_in_every_deal_are_not_hashed(query):
+    """By what a session pays: one gender of targets or voters, nobody named before, nobody to return a vote to."""
+    from palabre.functions.draws import md5_draws
+    from palabre.operators import queries_nulls as N
+
+    alike = {"t07_votes_within_a_gender": [[1, 0, 1], [1, 0, 1], [1, 0, 1]], "t13_target_again": [[0, 0], [0, 0]], "t14_ballots_returned": [[0, 0, 0]] * 3}[query]
+    other = {"t07_votes_within_a_gender": [[1, 0], [0, 1]], "t13_target_again": [[0, 0], [2, 1]], "t14_ballots_returned": [[0, 1, 0], [0, 0, 0], [0, 0, 0]]}[query]
+    value = N._dealt_alike({"pays": alike})
+    assert (N._dealt_share(md5_draws("seed", list("abc")[: len(alike)], 50), {"pays": alike}) == value).all()
+    dealt = N._dealt_share(md5_draws("seed", list("abc")[: len(other)], 50), {"pays": other})
+    assert N._dealt_alike({"pays": other}) is None and len(set(dealt)) > 1
