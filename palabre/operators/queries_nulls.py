@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import places
 from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
 from ..session import cut
 from . import statistics as S
@@ -131,9 +132,9 @@ def t20_rank_by_votes_before(spark, d):
 
 def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray:
     """Mean of what the dealt items pay: ``pays[i][j]`` is what item j is worth to row i; both in the order of the keys."""
-    order = np.lexsort((h[1], h[0]), axis=0)
     m = np.array(row["pays"], float)
-    return m[np.arange(len(m))[:, None], order].mean(0)
+    n = len(m)
+    return m.T.ravel().take(places(h) + n * np.arange(n)[:, None]).sum(0) / n
 
 
 def _dealt_alike(row: dict) -> float | None:

@@ -351,3 +351,24 @@ def test_sessions_that_pay_the_same_in_every_deal_are_not_hashed(query):
     assert (N._dealt_share(md5_draws("seed", list("abc")[: len(alike)], 50), {"pays": alike}) == value).all()
     dealt = N._dealt_share(md5_draws("seed", list("abc")[: len(other)], 50), {"pays": other})
     assert N._dealt_alike({"pays": other}) is None and len(set(dealt)) > 1
+
+
+def test_dealt_sessions_are_hashed_and_placed_without_a_sort(monkeypatch):
+    """t07, t14: digests of keys that share a beginning, of one or several blocks, and places in their order; only equal halves are sorted."""
+    from hashlib import md5
+
+    from palabre.functions import draws as D
+
+    for seed, keys in (("sexe", [f"s|7|{i:04d}" for i in range(12)]), ("q" * 60, ["a", "b", "é" * 40, "a"]), ("retour", ["s|7|0001"]), ("q" * 118, ["ab", "ac"])):
+        h = D.md5_draws(seed, keys, 1012)
+        for i, key in enumerate(keys):
+            for t in (1, 9, 10, 99, 100, 999, 1000, 1012):
+                assert f"{h[0, i, t - 1]:016x}{h[1, i, t - 1]:016x}" == md5(f"{seed}|{t}|{key}".encode()).hexdigest()
+    h = np.random.default_rng(1).integers(0, 2**64, (2, 12, 200), dtype=np.uint64)
+    h[0, 3, 5], h[:, 4, 6] = h[0, 2, 5], h[:, 1, 6]
+    want = np.lexsort((h[1], h[0]), axis=0).argsort(0)
+    assert (D.places(h) == want).all()
+    wide = np.concatenate([h[:, :, 10:]] * 6, 1)
+    assert (D.places(wide) == np.lexsort((wide[1], wide[0]), axis=0).argsort(0)).all()
+    monkeypatch.setattr(D.np, "lexsort", None)
+    assert (D.places(h[:, :, 10:]) == want[:, 10:]).all()
