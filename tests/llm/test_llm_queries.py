@@ -15,3 +15,23 @@ def test_runs(spark, name):
     assert df.columns == COLUMNS.get(name, df.columns) and df.count() > 0
     if name.endswith("_found"):
         assert df.distinct().count() == df.count()
+
+
+def test_p3_generates_no_classes_for_its_many_stages(spark, monkeypatch):
+    from palabre.llm import queries
+
+    key, seen = "spark.sql.codegen.wholeStage", []
+
+    def link(*_):
+        seen.append(spark.conf.get(key))
+        raise LookupError
+
+    monkeypatch.setattr(queries, "link_sources", link)
+    monkeypatch.setattr(queries, "_job_forms", lambda *_: seen.append(spark.conf.get(key)) or [])
+    for before in ("true", "false"):
+        spark.conf.set(key, before)
+        with pytest.raises(LookupError):
+            queries.p3_found(spark, DATA)
+        assert spark.conf.get(key) == before
+    spark.conf.unset(key)
+    assert seen == ["false"] * 4
