@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.draws import places
 from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
-from ..session import cut
+from ..session import cut, java_function, spread
 from . import statistics as S
 from .queries_statistics import DRAWS, P, R6, _first, _spread
 
@@ -129,12 +130,14 @@ def t20_rank_by_votes_before(spark, d):
 
 # ---- ballots dealt anew within a session -------------------------------------------------------------
 
+CHUNK = 8192  # ballots whose draws are summed at once
 
-def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray:
+
+def _dealt_share(h: np.ndarray, row: dict) -> np.ndarray | None:
     """Mean of what the dealt items pay: ``pays[i][j]`` is what item j is worth to row i; both in the order of the keys."""
     m = np.array(row["pays"], float)
-    n = len(m)
-    return m.T.ravel().take(places(h) + n * np.arange(n)[:, None]).sum(0) / n
+    n, valued = len(m), np.count_nonzero(m[0] == m[0])  # an item whose worth isn't known isn't counted
+    return np.nan_to_num(m).T.ravel().take(places(h) + n * np.arange(n)[:, None]).sum(0) / valued if valued else None
 
 
 def _dealt_alike(row: dict) -> float | None:
@@ -150,11 +153,21 @@ def _dealt(rows: DataFrame, seed: str, wants) -> DataFrame:
     """
     key = F.concat_ws("|", "saison", F.col("numero").cast("string"), "pos")
     r = cut(rows.select("saison", "numero", key.alias("key"), "mine", "item"))
-    g = _spread(r, "saison", "numero").groupBy("saison", "numero").agg(F.sort_array(F.collect_list(F.struct("key", "mine", "item"))).alias("m")).filter(F.size("m") >= 2)
+    seen = F.avg(wants(F.col("mine"), F.col("item")).cast("int"))
+    observed = cut(r.groupBy("saison", "numero").agg(seen.alias("x"), F.count("*").alias("m")).filter("m >= 2").agg(F.avg("x").alias("x"), F.count("x").alias("c")))
     pays = F.transform("m", lambda a: F.transform("m", lambda b: wants(a["mine"], b["item"]).cast("int")))  # ballots of a session squared
-    g = g.select(F.col("m.key").alias("keys"), pays.alias("pays"))
-    seen = F.aggregate(F.transform("pays", lambda x, i: F.element_at(x, i + 1)), F.lit(0), lambda s, x: s + x) / F.size("pays")
-    return _record(g.agg(F.avg(seen).alias("x")), cut(S.null_draws(g, "keys", DRAWS, seed, _dealt_share, _dealt_alike)))
+    m, by = F.sort_array(F.collect_list(F.struct("key", "mine", "item"))).alias("m"), ["saison", "numero"]
+    if f := java_function(r.sparkSession, "Dealt", ArrayType(DoubleType())):
+        tasks = 4 * spread(r.sparkSession, 0, 1)
+        chunk = F.pmod(F.xxhash64(*by), F.lit(max(4 * tasks, r.count() // CHUNK)))
+        g = r.withColumn("chunk", chunk).repartition(tasks, "chunk").groupBy("chunk", *by).agg(m).filter(F.size("m") >= 2)
+        g = g.groupBy("chunk").agg(F.collect_list(F.struct(F.col("m.key").alias("keys"), F.flatten(pays).alias("pays"))).alias("g"))
+        s = g.select(F.posexplode(F.call_udf(f, F.struct("g"), F.lit(seed), F.lit(DRAWS))).alias("draw", "s")).groupBy("draw").agg(F.sum("s").alias("s"))
+        x = s.crossJoin(F.broadcast(observed)).filter("c > 0").select("draw", (F.col("s") / F.col("c")).alias("x"))  # one row
+    else:
+        g = _spread(r, *by).groupBy(*by).agg(m).filter(F.size("m") >= 2).select(F.col("m.key").alias("keys"), pays.alias("pays"))
+        x = S.null_draws(g, "keys", DRAWS, seed, _dealt_share, _dealt_alike)
+    return _record(observed.select("x"), cut(x))
 
 
 def _dealt_sql(ctes: str, seed: str, pays: str) -> str:
@@ -184,7 +197,7 @@ def t14_ballots_returned(spark, d):
     e = a.filter("votant is not null and cible is not null").groupBy("saison", "i", F.col("cible").alias("votant")).agg(F.array_join(F.sort_array(F.collect_set("votant")), "|").alias("e"))
     b = ballots(spark, d).filter("type = 'elimination' and complet and votant_ok and cible_ok").join(i, ["saison", "numero"]).join(e, ["saison", "i", "votant"], "left")
     mine = F.when(F.col("e").isNull(), "").otherwise(F.concat(F.lit("|"), "e", F.lit("|")))
-    return _dealt(b.select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), mine.alias("mine"), F.col("cible").alias("item")), "retour", lambda m, x: F.contains(m, F.concat(F.lit("|"), x, F.lit("|"))))
+    return _dealt(b.select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), mine.alias("mine"), F.concat(F.lit("|"), "cible", F.lit("|")).alias("item")), "retour", F.contains)
 
 
 @query(_dealt_sql(f"{PS}, {_VOTERS_SQL}, {_BEFORE_SQL}, q as (select saison, i, cible as id, k, rank() over (partition by saison, i order by k desc) as r from (select saison, i, cible, count(*) as k from a where cible is not null group by all)), u as (select saison, numero, cible as id, count(*) as k from ballots where type = 'elimination' and complet and cible is not null group by all), c as (select v.saison, v.numero, v.saison || '|' || v.numero || '|' || v.id as key, case when q.r = 1 then 1 else 0 end as mine, coalesce(u.k, 0) as item from v join i using (saison, numero) left join q on q.saison = v.saison and q.i = i.i and q.id = v.id left join u on u.saison = v.saison and u.numero = v.numero and u.id = v.id where v.out = 0)", "cible", "a.mine * b.item"))

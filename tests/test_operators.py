@@ -372,3 +372,41 @@ def test_dealt_sessions_are_hashed_and_placed_without_a_sort(monkeypatch):
     assert (D.places(wide) == np.lexsort((wide[1], wide[0]), axis=0).argsort(0)).all()
     monkeypatch.setattr(D.np, "lexsort", None)
     assert (D.places(h[:, :, 10:]) == want[:, 10:]).all()
+
+
+@pytest.mark.parametrize("seed, keys", [("retour", [f"s0000016|3|{i:04d}" for i in range(9)]), ("q" * 55, ["a", "b", "\u00e9" * 40, "a", "c" * 70]), ("cible", ["ab", "ac"])])
+def test_dealt_sessions_are_summed_in_the_jvm(spark, seed, keys):
+    """t14 (t07, t13): the same sums as by hashlib, one block or several, an item whose worth is unknown and equal keys, and as many as sessions."""
+    from hashlib import md5
+
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    from palabre.session import java_function
+
+    n = len(keys)
+    pays = np.random.default_rng(2).integers(-1, 3, (n, n)).astype(object)
+    pays[:, -1] = None
+    same = np.ones((n, n), int)
+    same[:, 0] = 4
+    g = [(keys, pays.ravel().tolist()), (keys, same.ravel().tolist()), (keys, [None] * (n * n))]
+    df = spark.createDataFrame([(g,)], "g array<struct<keys: array<string>, pays: array<int>>>").coalesce(1)
+    f = java_function(spark, "Dealt", ArrayType(DoubleType()))
+    got = df.select(F.call_udf(f, F.struct("g"), F.lit(seed), F.lit(1012)).alias("s")).first().s
+    for t, s in enumerate(got, 1):
+        order = sorted(range(n), key=lambda j: (md5(f"{seed}|{t}|{keys[j]}".encode()).digest(), j))
+        assert s == pytest.approx(np.mean([pays[i, j] for i, j in enumerate(order) if pays[i, j] is not None]) + same.diagonal().mean())
+
+
+def test_ballots_returned_are_dealt_without_python(spark, monkeypatch):
+    """t14: neither hashed nor placed by numpy where the JVM can do it, and the same row by numpy."""
+    from conftest import DATA
+
+    from palabre.operators import queries_nulls as N
+
+    way = S.null_draws
+    monkeypatch.setattr(N, "DRAWS", 200)
+    monkeypatch.setattr(S, "null_draws", None)
+    row = N.t14_ballots_returned(spark, DATA).collect()
+    monkeypatch.setattr(S, "null_draws", way)
+    monkeypatch.setattr(N, "java_function", lambda *_: None)
+    assert N.t14_ballots_returned(spark, DATA).collect() == row
