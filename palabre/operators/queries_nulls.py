@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.draws import places
-from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, parts, regular, sessions
-from ..session import cut, java_function, spread
+from ..plans.silver import PARTS_SQL, SESSIONS_SQL, ballots, latest, parts, regular, sessions
+from ..session import cut, java_function, spread, table
 from . import statistics as S
 from .queries_statistics import DRAWS, P, R6, _first, _spread
 
@@ -193,11 +193,15 @@ def t07_votes_within_a_gender(spark, d):
 @query(_dealt_sql(f"{PS}, {_BEFORE_SQL}, e as (select saison, i, cible as id, '|' || string_agg(distinct votant, '|' order by votant) || '|' as mine from a where votant is not null and cible is not null group by all), c as (select b.saison, b.numero, {_KEY}, coalesce(e.mine, '') as mine, b.cible as item from ballots b join i using (saison, numero) left join e on e.saison = b.saison and e.i = i.i and e.id = b.votant where b.type = 'elimination' and b.complet and b.votant_ok and b.cible_ok)", "retour", "contains(a.mine, '|' || b.item || '|')::int"))
 def t14_ballots_returned(spark, d):
     """Whether ballots go to those who named the voter at the session before."""
-    i, a = _before(spark, d)
-    e = a.filter("votant is not null and cible is not null").groupBy("saison", "i", F.col("cible").alias("votant")).agg(F.array_join(F.sort_array(F.collect_set("votant")), "|").alias("e"))
-    b = ballots(spark, d).filter("type = 'elimination' and complet and votant_ok and cible_ok").join(i, ["saison", "numero"]).join(e, ["saison", "i", "votant"], "left")
-    mine = F.when(F.col("e").isNull(), "").otherwise(F.concat(F.lit("|"), "e", F.lit("|")))
-    return _dealt(b.select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), mine.alias("mine"), F.concat(F.lit("|"), "cible", F.lit("|")).alias("item")), "retour", F.contains)
+    ok = F.zip_with("votes.votant_rattache", "votes.cible_rattachee", lambda v, c: F.coalesce(v & c, F.lit(False)))
+    c = table(spark, d, "conseils").filter("saison is not null and numero is not null").select("saison", "numero", "type", "complet", F.arrays_zip("votes.votant", "votes.cible", "votes.annule", ok.alias("ok")).alias("v"), "maj", "ligne")
+    c = latest(c, ["saison", "numero"], ["maj", "ligne"]).filter("coalesce(type, 'elimination') = 'elimination'")
+    c = c.withColumn("a", F.lag("v").over(Window.partitionBy("saison").orderBy("numero"))).filter("complet")  # sessions of a season
+    named = F.filter("a", lambda y: F.coalesce(~y["annule"], F.lit(True)) & y["votant"].isNotNull())
+    by = F.transform("v", lambda x: F.sort_array(F.array_distinct(F.transform(F.filter("a", lambda y: y["cible"] == x["votant"]), lambda y: y["votant"]))))
+    text = F.zip_with("v", by, lambda x, e: F.struct((x["ok"] & F.coalesce(~x["annule"], F.lit(True))).alias("ok"), F.when(F.size(e) > 0, F.concat(F.lit("|"), F.array_join(e, "|"), F.lit("|"))).otherwise("").alias("mine"), F.concat(F.lit("|"), x["cible"], F.lit("|")).alias("item")))
+    b = c.withColumn("a", named).select("saison", "numero", F.posexplode(text).alias("pos", "t")).filter("t.ok")
+    return _dealt(b.select("saison", "numero", F.lpad(F.col("pos").cast("string"), 4, "0").alias("pos"), "t.mine", "t.item"), "retour", F.contains)
 
 
 @query(_dealt_sql(f"{PS}, {_VOTERS_SQL}, {_BEFORE_SQL}, q as (select saison, i, cible as id, k, rank() over (partition by saison, i order by k desc) as r from (select saison, i, cible, count(*) as k from a where cible is not null group by all)), u as (select saison, numero, cible as id, count(*) as k from ballots where type = 'elimination' and complet and cible is not null group by all), c as (select v.saison, v.numero, v.saison || '|' || v.numero || '|' || v.id as key, case when q.r = 1 then 1 else 0 end as mine, coalesce(u.k, 0) as item from v join i using (saison, numero) left join q on q.saison = v.saison and q.i = i.i and q.id = v.id left join u on u.saison = v.saison and u.numero = v.numero and u.id = v.id where v.out = 0)", "cible", "a.mine * b.item"))

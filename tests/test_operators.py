@@ -410,3 +410,29 @@ def test_ballots_returned_are_dealt_without_python(spark, monkeypatch):
     monkeypatch.setattr(S, "null_draws", way)
     monkeypatch.setattr(N, "java_function", lambda *_: None)
     assert N.t14_ballots_returned(spark, DATA).collect() == row
+
+
+def test_ballots_returned_on_odd_ballots(spark, tmp_path):
+    """t14: a target that isn't known, lists that are null or empty, annulled ballots and an unread session before, as in SQL."""
+    import duckdb
+    from conftest import DATA, canonical
+
+    from palabre.operators import queries_nulls as N
+
+    v = lambda a, b, out=False, known=True: (a, True, b, known, out)
+    votes = {
+        1: [v("a", "b"), v("c", "b"), v("b", "a"), v("d", "b", True), v(None, "c"), v("a", None)],
+        2: [v("b", "a"), v("a", "b"), v("c", None), v("d", "c", None), v(None, "a"), v("b", "c", known=None)],
+        3: None, 4: [v("a", "b"), v("b", "c")], 5: [], 6: [v("a", "b"), v("b", "a"), v("c", "a")], 7: [v("a", "c"), v("c", "b"), v("b", "a")], 8: [v("x", None), v("y", None)],
+    }
+    rows = [(i, s, n, None if n == 2 else "elimination", n != 6, x) for i, (s, n, x) in enumerate([("s1", n, x) for n, x in votes.items()] + [("s2", None, votes[1]), ("s2", 4, votes[2]), (None, 1, votes[1]), (None, 2, votes[2])])]
+    kind = "ligne long, saison string, numero int, type string, complet boolean, votes array<struct<votant string, votant_rattache boolean, cible string, cible_rattachee boolean, annule boolean>>"
+    texts = ["episode", "elimine", "annulation"]
+    c = spark.createDataFrame(rows, kind).withColumns({x: F.lit(None).cast("string") for x in texts} | {x: F.lit(0) for x in ("votes_contre", "votes_exprimes")} | {"elimine_rattache": F.lit(True), "maj": F.lit("2020-01-01").cast("timestamp")})
+    c.coalesce(1).write.parquet(str(tmp_path / "conseils.parquet"))
+    duck = duckdb.connect()
+    for name in ("participations", "saisons"):
+        duck.execute(f"create view {name} as select * from read_parquet('{DATA}/{name}.parquet')")
+    duck.execute(f"create view conseils as select * from read_parquet('{tmp_path}/conseils.parquet/*.parquet')")
+    got, want = N.t14_ballots_returned(spark, str(tmp_path)), duck.sql(N.SQL["t14_ballots_returned"])
+    assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(want.fetchall(), want.columns)
